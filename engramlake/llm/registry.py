@@ -21,8 +21,15 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_records": op7_token_records,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}

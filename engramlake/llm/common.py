@@ -71,11 +71,7 @@ def word_chars() -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _powers() -> np.ndarray:
-    out = np.empty(64, dtype=np.uint64)
-    out[0] = 1
-    for i in range(1, 64):
-        out[i] = out[i - 1] * np.uint64(0x100000001B3)
-    return out
+    return np.cumprod(np.concatenate(([1], np.full(63, 0x100000001B3))).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:

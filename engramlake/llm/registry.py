@@ -27,7 +27,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_join": op3_ngram_join,
     "op7_token_records": op7_token_records,
     "op9_language_id": op9_language_id,
 }

@@ -78,6 +78,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Memory(dict):
+    """What has been made of a key before, or is made of it now."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, so that what it remembers serves the next task too."""
+    return Encoder(path)
+
+
 class Encoder:
     """Encodes texts with a public tokenizer file, as encode(add_special_tokens=False) does.
 
@@ -94,8 +111,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.memory = self.tokenizer.model, memory
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(self._piece), Memory(self._word)
         self.dtype, self.code = ("<u4", "I") if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else ("<u2", "H")
         made = json.loads(self.tokenizer.to_str())
         pre, model = made["pre_tokenizer"] or {}, made["model"]
@@ -107,33 +123,32 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (data := self.words.get(word)) is None:
-            shown = "\u0120" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters())
-            data = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return data
-
-    def _piece(self, text: str) -> bytes:
-        if text[1:].isalpha() and text[0] == " ":
-            return self._word(text)
-        if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,":
-            return self._word(text[:-1]) + self._word(text[-1])
-        return b"".join(map(self._word, self.cut(text)))
+        shown = "\u0120" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_letters())
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece comes without its space; one that a lone line feed leads has none."""
+        words = self.words
+        if piece.isalpha():
+            return words[" " + piece]
+        if piece[-1] in ".," and piece[:-1].isalpha():
+            return words[" " + piece[:-1]] + words[piece[-1]]
+        if piece[0] == "\n" and piece[1:].isalpha():
+            return words["\n"] + words[piece[1:]]
+        return b"".join(map(words.__getitem__, self.cut(piece if piece[0] == "\n" else " " + piece)))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The ids of one text; a null one has none."""
         if not text:
             return np.empty(0, dtype=self.dtype)
-        if not self.piecewise or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        if not self.piecewise or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " ":
             return np.frombuffer(self._whole(text), dtype=self.dtype)
-        for memory in (self.known, self.words):
+        for memory in (self.pieces, self.words):
             if len(memory) > self.memory:
                 memory.clear()
-        # in the memory a piece stands without its space; a line feed that stands alone is a border too
         first, *rest = text.replace("\n", " \n").split(" ")
-        known = self.known
-        for piece in set(rest).difference(known):
-            known[piece] = self._piece(piece if piece[:1] == "\n" else " " + piece)
-        return np.frombuffer(self._piece(first) + b"".join(map(known.__getitem__, rest)), dtype=self.dtype)
+        data = b"".join(map(self.words.__getitem__, self.cut(first))) + b"".join(map(self.pieces.__getitem__, rest))
+        return np.frombuffer(data, dtype=self.dtype)
 
 
 def _filesystem(path: str):
@@ -156,7 +171,7 @@ class RecordWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        encode = Encoder(self.tokenizer)
+        encode = encoder(self.tokenizer)
         fs, base = _filesystem(self.path)
         fs.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"

@@ -15,6 +15,12 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated_passages
+
+    return contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_records import token_digest
 
@@ -35,6 +41,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
+    "op6_decontamination": op6_decontamination,
     "op7_token_records": op7_token_records,
     "op9_language_id": op9_language_id,
 }

@@ -33,6 +33,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import TARGETS, document_domains, mixing_rates
+
+    return mixing_rates(table(spark, sf_dir, "documents"), document_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similarity_classes
 
@@ -40,6 +46,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_ngram_join": op3_ngram_join,
     "op6_decontamination": op6_decontamination,
     "op7_token_records": op7_token_records,

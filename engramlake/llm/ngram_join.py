@@ -210,7 +210,8 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
     likely = stored(by_node(member).mapInArrow(screen, member.schema), "likely")
 
     # the sets themselves, only of what is left
-    wanted = docs.select("doc_id", "text").join(likely.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    # the list of them grows with the documents and is never broadcast
+    wanted = docs.select("doc_id", "text").join(likely.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in rows_of(batches, "doc_id", "text"):

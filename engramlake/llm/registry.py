@@ -15,6 +15,12 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_template import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated_passages
 
@@ -48,6 +54,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op5_html_template": op5_html_template,
     "op6_decontamination": op6_decontamination,
     "op7_token_records": op7_token_records,
     "op9_language_id": op9_language_id,

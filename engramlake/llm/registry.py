@@ -16,6 +16,12 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import find_licenses
+
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_template import main_text
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_license_scan": op4_license_scan,
     "op5_html_template": op5_html_template,
     "op6_decontamination": op6_decontamination,
     "op7_token_records": op7_token_records,

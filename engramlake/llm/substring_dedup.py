@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, rows_of
+from .common import mix64, rows_of, stored
 
 WINDOW_STEPS = 4  # doublings: 16 bytes
 SHORTEST, SPREAD, LONGEST = 12, 24, 256  # bytes: the least, how many more on average, the most
@@ -107,6 +107,8 @@ def repeated_passages(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> Dat
     chunks = chunk_rows(docs)
     shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     # how often a chunk occurs isn't bounded: its rows are a skewed join key, which Spark can split
+    # where the other side isn't aggregated in the same stage
+    shared = stored(shared, "shared-chunks")
     hits = chunks.join(shared.select("digest", "first_doc").hint("merge"), "digest").select("doc_id", "start", "size", "first_doc")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,23 +85,35 @@ def _shape(words: Column) -> Column:
     return F.lower(F.regexp_replace(words, "[0-9]", "0"))
 
 
-def candidates(text: Column) -> Column:
-    """Identifier-like tokens: start, end, the token itself and the words around it (up to two before, one after)."""
-    found = located(text, r"(?<!\S)(?=\S{6})(?=[^\s0-9]*+[0-9])\S++")
-    after = F.concat(F.slice(F.transform(found, lambda x: x["gap"]), F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.substring(text, F.try_element_at(found, F.lit(-1))["end"] + 1, F.lit(80))))
-
-    def token(x: Column, next_gap: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["hit"], r"^[^\p{L}\p{N}+]*+", 0))
+def _in_context(text: Column, start: Column, end: Column, kind: Column) -> Column:
+    """A span, what it holds, and the words around it: two before; one before and one after."""
+    left = F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
+    right = F.substring(text, end + 1, F.lit(80))
+    return F.struct(
+        start.alias("start"),
+        end.alias("end"),
+        F.xxhash64(F.substring(text, start + 1, end - start)).alias("instance"),
+        kind.alias("kind"),
+        F.array(
+            _shape(F.regexp_extract(left, r"(\S+\s+\S+)\s+$", 1)),
+            _shape(F.concat_ws(" _ ", F.regexp_extract(left, r"(\S+)\s+$", 1), F.regexp_extract(right, r"^\s+(\S+)", 1))),
+        ).alias("contexts"),
+    )
+
+
+def instances(text: Column, base: Column) -> Column:
+    """The base spans as seeds, and the identifier-like tokens outside them (kind null), in context.
+
+    Identifier-like: six characters at least, a digit among them, without the marks at its ends."""
+
+    def trimmed(x: Column) -> Column:
         core = F.regexp_replace(x["hit"], r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$", "")
-        return F.struct(
-            (x["start"] + lead).alias("start"),
-            (x["start"] + lead + F.length(core)).alias("end"),
-            core.alias("core"),
-            _shape(F.regexp_extract(x["gap"], r"(\S+\s+\S+)\s+$", 1)).alias("before"),
-            _shape(F.concat_ws(" _ ", F.regexp_extract(x["gap"], r"(\S+)\s+$", 1), F.regexp_extract(next_gap, r"^\s+(\S+)", 1))).alias("around"),
-        )
+        start = x["start"] + F.length(F.regexp_extract(x["hit"], r"^[^\p{L}\p{N}+]*+", 0))
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"))
 
-    return F.when(F.size(found) > 0, F.zip_with(found, after, token))
+    tokens = F.transform(located(text, r"(?<!\S)(?=\S{6})(?=[^\s0-9]*+[0-9])\S++"), trimmed)
+    free = F.filter(tokens, lambda t: (t["end"] - t["start"] >= 6) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return F.concat(F.transform(base, lambda b: _in_context(text, b["start"], b["end"], b["kind"])), F.transform(free, lambda t: _in_context(text, t["start"], t["end"], F.lit(None).cast("int"))))
 
 
 def find_pii(docs: DataFrame, *, rounds: int = 3, trust: float = 0.6, least_seeds: int = 3) -> DataFrame:
@@ -114,18 +126,13 @@ def find_pii(docs: DataFrame, *, rounds: int = 3, trust: float = 0.6, least_seed
     their own with equal results; other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     made = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), text.alias("text"))
-    made = made.select("doc_id", "key", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("tokens"))
-    made = stored(made, "base-spans")
-
-    # one row for each token and pattern; a seed is a token in which a base span begins, and what
-    # else lies in base spans is neither
-    seed = F.try_element_at(F.filter("base", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.end"))), F.lit(1))
-    inside = F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))
-    tokens = made.select("key", "base", F.explode("tokens").alias("t")).filter("length(t.core) >= 6")
-    tokens = tokens.select("key", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.xxhash64("t.core").alias("instance"), F.when(inside & seed.isNull(), -1).otherwise(seed["kind"]).alias("kind"), F.array("t.before", "t.around").alias("contexts")).filter("kind is null or kind >= 0")
+    made = made.select("doc_id", "key", "text", base_spans(F.col("text")).alias("base"))
+    made = stored(made.select("doc_id", "key", "base", instances(F.col("text"), F.col("base")).alias("instances")), "base-spans")
+
+    # one row for each span and pattern
     pattern = F.when(F.col("context") != "", F.xxhash64("form", "context"))
-    edges = tokens.select("key", "start", "end", "instance", "kind", F.posexplode("contexts").alias("form", "context")).select("key", "start", "end", "instance", "kind", pattern.alias("pattern")).filter("pattern is not null")
-    edges = stored(edges, "edges")
+    edges = made.select("key", F.explode("instances").alias("i")).select("key", "i.*").select("key", "start", "end", "instance", "kind", F.posexplode("contexts").alias("form", "context"))
+    edges = stored(edges.select("key", "start", "end", "instance", "kind", pattern.alias("pattern")).filter("pattern is not null"), "edges")
 
     # the graph: how often they meet doesn't count, so copies of a document add nothing
     graph = stored(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "graph")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 SCALE = 1024
 LEVELS = (4, 16)  # segments, coarse to fine
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
+AT_ONCE = 256  # queries whose coarse bounds are held at once
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -48,11 +49,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     levels = [(segment_statistics(qf, s), segment_statistics(cf, s)) for s in LEVELS]
     (qm, qd), (cm, cd) = levels[0]
-    coarse = qm @ cm.T + qd @ cd.T
-    order_of_ids = np.argsort(c_ids, kind="stable")
     rows, cols, scores = [], [], []
     for i in range(len(q)):
-        bound = coarse[i].copy()
+        if i % AT_ONCE == 0:
+            coarse = qm[i : i + AT_ONCE] @ cm.T + qd[i : i + AT_ONCE] @ cd.T
+        bound = coarse[i % AT_ONCE]
         own = np.flatnonzero(c_ids == q_ids[i])
         bound[own] = -np.inf
         n = len(bound) - len(own)
@@ -64,7 +65,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         got = c[first] @ q[i]
         least = np.sort(got)[-k] if len(got) >= k else -np.inf
         slack = 1e-6 * (1 + abs(least) if np.isfinite(least) else 1) + 1e-3
-        alive = np.flatnonzero(bound >= least - slack)
+        alive = np.flatnonzero(np.isfinite(bound) & (bound >= least - slack))
         for (qm2, qd2), (cm2, cd2) in levels[1:]:
             alive = alive[cm2[alive] @ qm2[i] + cd2[alive] @ qd2[i] >= least - slack]
         exact = c[alive] @ q[i]

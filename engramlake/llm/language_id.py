@@ -95,18 +95,20 @@ def parse_table(model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """One table for all languages, the row of each one's root, and log2 of the symbols it learned.
 
     An entry holds twice the offset of the next row, plus one if a phrase ends before this symbol.
+    The last row of a language is where symbols lead that it never has, each a phrase of its own.
     The last symbol of a row is padding: it changes nothing."""
     width = FIRST + len(model.letters) + 1
     parts, roots, base, logs = [], [], 0, []
     for _, text in model.texts:
         learned = symbols(text, model.letters)
         goes = suffix_automaton(learned.tolist())
-        own = np.arange(len(goes), dtype=np.int64)
-        root = np.zeros(width, dtype=np.int64)
+        own = np.arange(len(goes) + 1, dtype=np.int64)
+        root = np.full(width, len(goes), dtype=np.int64)
         for c, to in goes[0].items():
             root[c] = to
-        t = np.tile(((root * width + base) << 1) | 1, (len(goes), 1))
-        state = np.repeat(own, [len(g) for g in goes])
+        t = np.tile(((root * width + base) << 1) | 1, (len(own), 1))
+        t[0] &= ~1
+        state = np.repeat(own[:-1], [len(g) for g in goes])
         t[state, np.fromiter((c for g in goes for c in g), dtype=np.int64)] = (np.fromiter((x for g in goes for x in g.values()), dtype=np.int64) * width + base) << 1
         t[:, -1] = (own * width + base) << 1
         roots.append(base)
@@ -182,15 +184,15 @@ def _excerpt(text: str, letters: str, room: int) -> str:
     return "".join(names[s] for s in symbols(text, letters)[:room].tolist())
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred, score and bits; columns of these names are replaced.
+def predict(docs: DataFrame, model: LanguageModel, columns: tuple[str, str, str] = NEW_COLUMNS) -> DataFrame:
+    """``docs`` with lang_pred, score and bits (or other names); columns of these names are replaced.
 
     lang_pred is ``und`` where the text is null or has no letter, or nothing was learned; ties go to
     the language with more labelled rows.  score is 1 - bits / bits of the runner-up (0: a tie; 1 if
     only one language is known).  bits is the cross-entropy per symbol under lang_pred, the first phrase not
     counted, so that a text of few letters isn't called improbable."""
-    docs = docs.drop(*NEW_COLUMNS)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+    docs = docs.drop(*columns)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(columns, (T.StringType(), T.DoubleType(), T.DoubleType()))]])
     names = [lang for lang, _ in model.texts]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,5 +221,6 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows that some learned language explains better than chance: a symbol costs less than one
     drawn evenly from the letters told apart.  Rows with an undetermined language go."""
     chance = float(np.log2(FIRST + max(1, len(model.letters))))
-    found = predict(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("bits") < chance))
-    return found.select(*[c for c in docs.columns if c not in NEW_COLUMNS])
+    lang, _, bits = names = ("__lang_pred", "__score", "__bits")
+    found = predict(docs, model, names).filter((F.col(lang) != UNDETERMINED) & (F.col(bits) < chance))
+    return found.select(*docs.columns)

@@ -149,7 +149,7 @@ def repeated_passages(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> Dat
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the copies of passages cut out of text; the first document keeps its own."""
-    spans = repeated_passages(docs, **options).filter("repeats").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int")))).alias("__spans"))
+    spans = repeated_passages(docs, **options).filter("repeats").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__spans"))
     ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length("text")))
     begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
     kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))), "")

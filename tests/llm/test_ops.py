@@ -425,7 +425,7 @@ def test_language_edges(spark, documents):
     got = {r.doc_id: r for r in language_id.predict(docs_of(spark, [*EDGE, (40, "123 !!")]), model).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 40)] == ["und"] * 4 and got[1].score == 0
     kept = language_id.accepted(docs_of(spark, EDGE), model)
-    assert kept.columns == [c for c in docs_of(spark, EDGE).columns] and {r.doc_id for r in kept.collect()} >= {5, 6} and not {1, 2, 3} & {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs_of(spark, EDGE).columns and {r.doc_id for r in kept.collect()} >= {5, 6} and not {1, 2, 3} & {r.doc_id for r in kept.collect()}
     none = language_id.fit(documents.filter("false"))
     assert {r.lang_pred for r in language_id.predict(docs_of(spark, EDGE), none).collect()} == {"und"}
 

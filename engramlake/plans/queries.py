@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import fts, json as js, scalar, vectors
 from ..functions.models import HashEmbedder, embed
 from ..operators import changes, context, lists, search
-from ..sources import memory
+from ..sources import memory, versions
+from ..streaming import ingest
 from .oracles import NEWEST, PLAIN, TOKENS, cosine, single_rank, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -654,3 +655,49 @@ def _(s, d):
 @query("log_tail", f"SELECT seq, level, message FROM ({_LINES}) WHERE level IN ('warn', 'error') ORDER BY seq DESC LIMIT 5000")
 def _(s, d):
     return changes.log_tail(_log(s, d), 5000, "warn").select("seq", "level", "message")
+
+
+# streams over the given tables: they run until what is there is done, and what they wrote is read back
+
+_TOOL_EVENTS = "SELECT 'u' || user_id AS session_id, event_type AS tool_name, 'p' || (user_id % 5) AS project, count(*) AS events FROM events WHERE event_type NOT IN ('view') AND user_id % 5 <> 3 GROUP BY ALL"
+
+
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's files as a stream."""
+    return s.readStream.schema(memory.read(s, d, name).schema).parquet(f"{d}/{name}.parq[u]et")
+
+
+def _run(df: DataFrame, s: SparkSession, mode: str = "append") -> DataFrame:
+    path = versions.scratch_path(s)
+    df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(df.schema).parquet(f"{path}/out")
+
+
+def _hooks(e: DataFrame) -> DataFrame:
+    """The events table as raw hook payloads."""
+    body = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sessionId"), F.col("event_type").alias("toolName"), F.col("props").alias("toolInput"), F.concat(F.lit("/w/p"), (F.col("user_id") % 5).cast("string")).alias("cwd")))
+    return e.select(F.lit("post-tool-use").alias("event"), F.col("ts").cast("timestamp").alias("received_at"), body.alias("payload"))
+
+
+@query("hook_stream", _TOOL_EVENTS)
+def _(s, d):
+    events = ingest.accepted_tools(ingest.normalized(_hooks(_stream(s, d, "events"))), deny="P3", skip="View")
+    return _run(events, s).groupBy("session_id", "tool_name", "project").agg(F.count("*").alias("events"))
+
+
+@query("queue_enqueue", "SELECT content_session_id, message_type, status, created_at FROM (SELECT 'u' || user_id AS content_session_id, 'observation' AS message_type, 'pending' AS status, epoch_us(ts) AS created_at FROM events)")
+def _(s, d):
+    queue = ingest.queue_messages(ingest.accepted_tools(ingest.normalized(_hooks(_stream(s, d, "events")))))
+    return _run(queue, s).select("content_session_id", "message_type", "status", F.unix_micros("created_at").alias("created_at"))
+
+
+@query("stream_prompt_numbering", "SELECT 'c' || conv_id AS session_id, text AS prompt, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS BIGINT) AS prompt_number FROM conversations WHERE role = 'user'")
+def _(s, d):
+    said = _stream(s, d, "conversations").filter("role = 'user'").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.timestamp_seconds(F.lit(memory.EPOCH0) + F.col("turn") * 60).alias("received_at"), F.col("text").alias("prompt"))
+    return _run(ingest.numbered_prompts(said), s).select("session_id", "prompt", "prompt_number")
+
+
+@query("stream_without_replays", "SELECT count(DISTINCT (user_id, ts, event_type)) AS messages FROM events")
+def _(s, d):
+    queue = ingest.queue_messages(ingest.normalized(_hooks(_stream(s, d, "events").union(_stream(s, d, "events")))).withColumn("project", F.lit("p")))
+    return _run(ingest.without_replays(queue, "60 days"), s).agg(F.count("*").alias("messages"))

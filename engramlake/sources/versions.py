@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the session's shared one; a folder of our own only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class VersionedTable:
     """``root/v=<n>``; readers take the highest version that was finished.
 

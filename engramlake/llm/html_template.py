@@ -17,6 +17,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, stored
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote opens only behind an equals sign; one that is never closed doesn't count
+MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|/?([a-zA-Z][^\s/>]*)([^>=]*(?:=(?:\s*(?:\"[^\"]*\"|'[^']*'))?[^>=]*)*)>)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,76 +68,92 @@ def _names(attributes: str) -> tuple[str, set[str]]:
 def parse(source: str) -> Page:
     """Blocks of text with decoded character references and single spaces, in page order, and the tags."""
     page, stack, parts, linked = Page(), [], [], 0
+    nowhere = ("", "", False, False)
     # an element on the stack: name, path, whether it is or lies in a main element, or one that is set aside
+    near = nowhere  # the innermost block element
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = "".join(parts)
             parts.clear()
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                top = next((e for e in reversed(stack) if e[0] in BLOCK), None) or (stack[-1] if stack else ("", "", False, False))
+                top = near if near is not nowhere or not stack else stack[-1]
                 page.blocks.append(Block(text, top[1], tuple(e[1] for e in stack if e[0] in BLOCK), top[2], top[3], linked))
         linked = 0
 
+    def cut(depth: int) -> None:
+        """Closes the elements from a depth on."""
+        nonlocal near, links
+        del stack[depth:]
+        near = next((e for e in reversed(stack) if e[0] in BLOCK), nowhere)
+        links = sum(e[0] == "a" for e in stack)
+
     at, size, links = 0, len(source), 0
     while at < size:
         m = MARKUP.search(source, at)
-        chunk = source[at : m.start() if m else size]
-        if chunk:
-            parts.append(chunk)
-            linked += len(chunk) if links else 0
+        start = m.start() if m else size
+        if start > at:
+            parts.append(source[at:start])
+            linked += start - at if links else 0
         if not m:
             break
         at = m.end()
-        name = (m[1] or "").lower()
-        if not name:
+        if not m[1]:
             continue
-        if source[m.start() + 1] == "/":
-            if name in BLOCK:
-                flush()
+        name, block = m[1].lower(), False
+        if name in BLOCK:
+            block = True
+            flush()
+        if source[start + 1] == "/":
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and not (name not in BLOCK and any(e[0] in BLOCK for e in stack[depth + 1 :])):
-                del stack[depth:]
-            elif depth is not None:
+            if depth is None:
+                continue
+            if not block and any(e[0] in BLOCK for e in stack[depth + 1 :]):
                 del stack[depth]  # inline markup that was left open over a block
-            links = sum(e[0] == "a" for e in stack)
+                links = sum(e[0] == "a" for e in stack)
+            else:
+                cut(depth)
             continue
-        if name in BLOCK:
-            flush()
-            if name in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-                if depth is not None and stack[depth][0] == "p":
-                    del stack[depth:]
+        if block:
+            if near[0] == "p" and name in CLOSES_P:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i] is near))
             if rivals := SIBLINGS.get(name):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in rivals:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                         break
-            links = sum(e[0] == "a" for e in stack)
         elif name == "br":
             parts.append(" ")
-        mark, words = _names(m[2]) if m[2] else ("", set())
-        up = next((e for e in reversed(stack) if e[0] in BLOCK), ("", "", False, False))
-        path = f"{up[1]}/{name}{mark}"
+        mark, words = _names(m[2]) if "=" in m[2] else ("", frozenset())
+        path = f"{near[1]}/{name}{mark}"
         page.tags.append(path)
-        if name in VOID or m[2].endswith("/") and name in RAW:
+        if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = end.end() if end else size
+            if not m[2].endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                at = end.end() if end else size
             continue
-        main = up[2] or name in ("article", "main") or bool(words & MAIN_WORDS)
+        main = near[2] or name in ("article", "main") or bool(words & MAIN_WORDS)
         # the title of an article may stand in a header of its own
-        aside = up[3] or (name in ASIDE and not (name == "header" and up[2])) or bool(words & ASIDE_WORDS)
-        stack.append((name, path, main, aside))
+        aside = near[3] or (name in ASIDE and not (name == "header" and near[2])) or bool(words & ASIDE_WORDS)
+        stack.append(element := (name, path, main, aside))
+        if block:
+            near = element
         links += name == "a"
     flush()
     return page
 
 
+@lru_cache(maxsize=1 << 16)
+def tag_hash(path: str) -> int:
+    return token_hash("tag", path)
+
+
 def token_hash(kind: str, what: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind} {what}") - (1 << 63)
 
@@ -155,12 +173,12 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 page = parse(source or "")
                 seen: dict[tuple[int, int], list[int]] = {}
                 for place, path in enumerate(page.tags):
-                    seen.setdefault((token_hash("tag", path), 0), [0, place, 0])[0] += 1
+                    seen.setdefault((tag_hash(path), 0), [0, place, 0])[0] += 1
                 for place, b in enumerate(page.blocks):
                     seen.setdefault((token_hash("text", f"{b.path} {b.text}"), 1), [0, place, 0])[0] += 1
                     if not b.aside:
                         for slot in b.slots:
-                            if got := seen.get((token_hash("tag", slot), 0)):
+                            if got := seen.get((tag_hash(slot), 0)):
                                 got[2] += max(0, len(b.text) - 2 * b.linked)
                 out += [(host, key, t, kind, *v) for (t, kind), v in seen.items()]
             cols = list(zip(*out)) if out else [[]] * 7
@@ -210,7 +228,7 @@ def extract(source: str, constant: set[int], main: int | None) -> str:
     else:
         kept = [b for b in blocks if token_hash("text", f"{b.path} {b.text}") not in constant]
         if main is not None:
-            kept = [b for b in kept if any(token_hash("tag", s) == main for s in b.slots)] or kept
+            kept = [b for b in kept if any(tag_hash(s) == main for s in b.slots)] or kept
     return "\n".join(b.text for b in kept)
 
 

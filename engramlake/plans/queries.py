@@ -609,10 +609,10 @@ def _(s, d):
     return memory.read(s, d, "events").select("event_id", scalar.tool_prompt(F.col("event_type"), F.col("props"), F.lit("ok"), F.lit("/w"), F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("prompt"))
 
 
-@query("summary_prompt", "SELECT conv_id, turn, 'Project: p' || chr(10) || chr(10) || 'Last assistant message:' || chr(10) || text AS prompt FROM conversations WHERE strlen(text) <= 8000")
+@query("summary_prompt", "SELECT conv_id, turn, strlen(text) > 8000 AS cut, CASE WHEN strlen(text) <= 8000 THEN 'Project: p' || chr(10) || chr(10) || 'Last assistant message:' || chr(10) || text END AS prompt FROM conversations")
 def _(s, d):
-    c = memory.read(s, d, "conversations").filter(F.octet_length("text") <= 8000)
-    return c.select("conv_id", "turn", scalar.summary_prompt(F.col("text"), F.lit("p")).alias("prompt"))
+    c = memory.read(s, d, "conversations").withColumn("cut", F.octet_length("text") > 8000)
+    return c.select("conv_id", "turn", "cut", F.when(~F.col("cut"), scalar.summary_prompt(F.col("text"), F.lit("p"))).alias("prompt"))
 
 
 @query("parse_observation_json", "SELECT event_id, event_id % 3 <> 0 AS valid, CASE WHEN event_id % 3 <> 0 THEN event_type END AS title, CASE WHEN event_id % 3 <> 0 THEN ['a', event_type] END AS facts FROM events")

@@ -248,7 +248,8 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
     linked = judged.groupBy("set_key").agg(F.sum("links").alias("links"))
     known = reps.select("set_key", "rep", "copies").join(linked, "set_key", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("set_key", F.col("rep").alias("copy_of"), F.col("copies").alias("n_copies"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = prints.select("doc_id", "set_key").join(known, "set_key", "left")
+    # copies make a skewed join key, which Spark can split against a table that is read, not made, there
+    out = prints.select("doc_id", "set_key").join(stored(known, "classes"), "set_key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
     none = F.lit(None).cast("long")
     return out.union(docs.filter(F.col("doc_id").isNull()).select(none, none, F.lit(0).cast("long"), none, F.lit(1).cast("long")))

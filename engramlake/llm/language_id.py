@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,19 +151,19 @@ def fit(docs: DataFrame, *, docs_per_language: int = 96, max_symbols: int = 60_0
     The sample is bounded: of each language the ``docs_per_language`` rows whose hashed doc_id is
     smallest, of which ``max_symbols`` symbols count, fewer where many languages would make the
     tables exceed ``max_table_mb``, and equally many for each language that has them."""
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)))
-    key = F.xxhash64(F.col("doc_id"))
-    picked = []
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
     shares = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    for lang in sorted(shares):
-        ids = known.filter(F.col("lang") == lang).select("doc_id", key.alias("k")).orderBy("k", "doc_id").limit(docs_per_language)
-        picked += [(r.doc_id, lang) for r in ids.collect()]
-    if not picked:
+    # Spark keeps no more than the wanted rows of a language in each partition before they meet
+    key = F.xxhash64("doc_id")
+    order = Window.partitionBy("lang").orderBy("k", "doc_id")
+    picked = known.select("doc_id", "lang", key.alias("k")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_language)
+    ids = [(r.doc_id,) for r in picked.select("doc_id").distinct().collect()]
+    if not ids:
         return LanguageModel((), "")
-    wanted = known.filter(F.col("doc_id").isin([i for i, _ in picked if i is not None]) | F.col("doc_id").isNull())
+    wanted = known.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id")  # docs_per_language a language: a proven bound
     texts: dict[str, list[tuple]] = {}
-    for r in wanted.select("doc_id", "lang", "text", key.alias("k")).limit(2 * len(picked)).collect():
-        texts.setdefault(r.lang, []).append((r.k, r.doc_id or 0, r.text))
+    for r in wanted.select("doc_id", "lang", "text", key.alias("k")).limit(2 * len(ids)).collect():
+        texts.setdefault(r.lang, []).append((r.k, r.doc_id, r.text))
     counts: dict[str, int] = {}
     plain = {}
     for lang, rows in texts.items():

@@ -42,7 +42,8 @@ def text_hits(df: DataFrame, fields: list[tuple[str, str]], query: str, config:
 def nearest(df: DataFrame, vector: list[float], k: int) -> DataFrame:
     """id and semantic_score of the k rows closest to a vector; rows without one take no part."""
     scored = df.filter("embedding is not null").select("id", cosine_similarity(F.col("embedding"), vector_literal(vector)).alias("semantic_score"))
-    return scored.filter("semantic_score is not null").orderBy(F.desc("semantic_score"), "id").limit(k)
+    # filtered behind the cut: before it, Spark would push the filter down and score each row twice
+    return scored.orderBy(F.desc_nulls_last("semantic_score"), "id").limit(k).filter("semantic_score is not null")
 
 
 def _hybrid(rows: DataFrame, fields: list[tuple[str, str]], query: str, vector: list[float], limit: int, config: str) -> DataFrame:

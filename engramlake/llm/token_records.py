@@ -10,9 +10,8 @@ constant, so that a checksum of bytes that hold checksums is not degenerate.  Be
 ``X.rec`` lies ``X.idx``, an array of uint64 byte offsets, one for each record, by which a loader
 can read records in any order.  Files are numbered in the order of the data.
 
-Written and read through a Spark data source (``format("token_records")``): each task writes its own
-attempt-named files, and only committed attempts enter the manifest, so a lost executor or a
-repeated task leaves nothing behind that a reader would see.
+Each task writes a file under a name of its own, and only what the successful attempts report enters
+the manifest, so a lost executor or a repeated task leaves nothing behind that a reader would see.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +30,6 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import rows_of, scratch_path
 
@@ -155,96 +151,6 @@ def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    first: tuple
-    file: str
-    records: int
-    ids: int
-    bytes: int
-
-
-class RecordWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.tokenizer, self.end_id = options["path"], options.get("tokenizer"), int(options.get("end_id", END_ID))
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        from pyspark import TaskContext
-
-        encode = encoder(self.tokenizer)
-        fs, base = _filesystem(self.path)
-        fs.create_dir(base, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        offsets, at, n_ids, first = [], 0, 0, None
-        end = np.array([self.end_id], dtype=np.uint32)
-        with fs.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as out:
-            for doc_id, text in rows_of(iterator, "doc_id", "text"):
-                ids = np.append(encode(text), end)
-                data = frame(doc_id, ids)
-                out.write(data)
-                first = first or (doc_id is not None, doc_id or 0)
-                offsets.append(at)
-                at, n_ids = at + len(data), n_ids + len(ids)
-        with fs.open_output_stream(f"{base}/{name}.idx") as out:
-            out.write(np.array(offsets, dtype="<u8").tobytes())
-        return Written(first or (False, 0), name, len(offsets), n_ids, at)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        """Files in the order of their first document; each gets the count of ids before it."""
-        fs, base = _filesystem(self.path)
-        files, start = [], 0
-        for m in sorted((m for m in messages if m and m.records), key=lambda m: (m.first, m.file)):
-            files.append({"file": m.file, "records": m.records, "ids": m.ids, "bytes": m.bytes, "start": start})
-            start += m.ids
-        with fs.open_output_stream(f"{base}/manifest.json") as out:
-            out.write(json.dumps(files).encode())
-
-    def abort(self, messages: list[Written | None]) -> None:
-        fs, base = _filesystem(self.path)
-        for m in messages:
-            if m:
-                for kind in ("rec", "idx"):
-                    fs.delete_file(f"{base}/{m.file}.{kind}")
-
-
-class RecordReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"]
-
-    def partitions(self) -> list[InputPartition]:
-        fs, base = _filesystem(self.path)
-        with fs.open_input_stream(f"{base}/manifest.json") as f:
-            files = json.loads(f.read())
-        return [InputPartition((x["file"], x["start"])) for x in files] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        name, start = partition.value
-        fs, base = _filesystem(self.path)
-        with fs.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as f:
-            while head := f.read(HEAD.size):
-                length = HEAD.unpack(head)[0]
-                doc_id, ids, _ = read_frame(head + f.read(length + 4))
-                yield doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
-                start += len(ids)
-
-
-class TokenRecords(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "token_records"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema: T.StructType) -> RecordReader:
-        return RecordReader(self.options)
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> RecordWriter:
-        return RecordWriter(self.options)
-
-
 def read_record(path: str, file: str, n: int) -> tuple[int | None, np.ndarray]:
     """Record n of a file, found by its offset index alone."""
     fs, base = _filesystem(path)
@@ -255,6 +161,42 @@ def read_record(path: str, file: str, n: int) -> tuple[int | None, np.ndarray]:
         return read_frame(f.read_at(HEAD.size + length + 4, at))[:2]
 
 
+def _write_file(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Writes one file and its offsets, and describes it in a row; without records there is no row."""
+    encode = encoder(tokenizer)
+    fs, base = _filesystem(path)
+    fs.create_dir(base, recursive=True)
+    name, offsets, at, n_ids, first = f"part-{uuid.uuid4().hex}", [], 0, 0, None
+    end = np.array([end_id], dtype=np.uint32)
+    with fs.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as out:
+        for doc_id, text in rows_of(batches, "doc_id", "text"):
+            ids = np.append(encode(text), end)
+            data = frame(doc_id, ids)
+            out.write(data)
+            first = first or (doc_id is not None, doc_id or 0)
+            offsets.append(at)
+            at, n_ids = at + len(data), n_ids + len(ids)
+    with fs.open_output_stream(f"{base}/{name}.idx") as out:
+        out.write(np.array(offsets, dtype="<u8").tobytes())
+    if first:
+        yield pa.RecordBatch.from_pylist([{"known": first[0], "first": first[1], "file": name, "records": len(offsets), "ids": n_ids, "bytes": at}])
+
+
+def _read_file(path: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
+    fs, base = _filesystem(path)
+    rows: list[tuple] = []
+    with fs.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as f:
+        while head := f.read(HEAD.size):
+            length = HEAD.unpack(head)[0]
+            doc_id, ids, _ = read_frame(head + f.read(length + 4))
+            rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+            start += len(ids)
+            if len(rows) == 4096:
+                yield _records(rows)
+                rows = []
+    yield _records(rows)
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` and write them in ascending doc_id order.
 
@@ -262,18 +204,41 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = E
     side, ordered by text; null doc_ids come first.  Extra columns are ignored.  The rows are dealt
     by doc_id ranges, so no source or group of copies shares a task, and each text crosses the
     network once, before it is encoded."""
-    spark = docs.sparkSession
-    spark.dataSource.register(TokenRecords)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.write.format("token_records").mode("append").option("path", path).option("tokenizer", tokenizer).option("end_id", str(end_id)).save()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _write_file(batches, path, tokenizer, end_id)
+
+    # one row a file: what a lost or repeated attempt wrote is in no row, so not in the manifest either
+    files = rows.mapInArrow(write, "known boolean, first long, file string, records long, ids long, bytes long").collect()
+    start, manifest = 0, []
+    for f in sorted(files, key=lambda f: (f.known, f.first, f.file)):
+        manifest.append({"file": f.file, "records": f.records, "ids": f.ids, "bytes": f.bytes, "start": start})
+        start += f.ids
+    fs, base = _filesystem(path)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/manifest.json") as out:
+        out.write(json.dumps(manifest).encode())
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark.dataSource.register(TokenRecords)
-    return spark.read.format("token_records").option("path", path).load()
+    """Per record: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.  A task a file."""
+    fs, base = _filesystem(path)
+    with fs.open_input_stream(f"{base}/manifest.json") as f:
+        files = [(x["file"], x["start"]) for x in json.loads(f.read())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (n,) in rows_of(batches, "id"):
+            yield from _read_file(path, *files[n])
+
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, SCHEMA)
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def token_digest(docs: DataFrame, tokenizer: str, path_of: Callable[[SparkSession, str], str] = scratch_path) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -164,25 +165,32 @@ def host_of(url: Column) -> Column:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, kind (0: tag, 1: text node), and for each page the token's count, first place and text in its slot."""
+    """host, token, kind (0: tag, 1: text node), and for each page the token's count, first place and text in its slot.
+
+    Text nodes in main elements, or in what is set aside, are never judged by the template and left out."""
+
+    names = ["host", "key", "token", "kind", "n", "place", "chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            cols: list[list[int]] = [[] for _ in names]
             for host, key, source in rows_of([batch], "host", "key", "html"):
                 page = parse(source or "")
-                seen: dict[tuple[int, int], list[int]] = {}
-                for place, path in enumerate(page.tags):
-                    seen.setdefault((tag_hash(path), 0), [0, place, 0])[0] += 1
-                for place, b in enumerate(page.blocks):
-                    seen.setdefault((token_hash("text", f"{b.path} {b.text}"), 1), [0, place, 0])[0] += 1
-                    if not b.aside:
+                chars: dict[str, int] = {}
+                for b in page.blocks:
+                    if not b.aside and (n := len(b.text) - 2 * b.linked) > 0:
                         for slot in b.slots:
-                            if got := seen.get((tag_hash(slot), 0)):
-                                got[2] += max(0, len(b.text) - 2 * b.linked)
-                out += [(host, key, t, kind, *v) for (t, kind), v in seen.items()]
-            cols = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["host", "key", "token", "kind", "n", "place", "chars"])
+                            chars[slot] = chars.get(slot, 0) + n
+                places = {path: i for i, path in zip(range(len(page.tags) - 1, -1, -1), reversed(page.tags))}
+                rows = [(tag_hash(path), 0, n, places[path], chars.get(path, 0)) for path, n in Counter(page.tags).items()]
+                free = [(b.path, b.text) for b in page.blocks if not b.main and not b.aside]
+                where = {t: i for i, t in zip(range(len(free) - 1, -1, -1), reversed(free))}
+                rows += [(token_hash("text", f"{path} {text}"), 1, n, where[path, text], 0) for (path, text), n in Counter(free).items()]
+                cols[0] += [host] * len(rows)
+                cols[1] += [key] * len(rows)
+                for c, values in zip(cols[2:], zip(*rows)):
+                    c += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     keyed = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("page_id", "url").alias("key"), "html")
     return keyed.mapInArrow(run, "host long, key long, token long, kind long, n long, place long, chars long")

@@ -80,8 +80,8 @@ def mask_key(key: Column) -> Column:
 
 
 def redact_url(url: Column) -> Column:
-    """What stands between the first colon after the scheme's and the next @ is starred."""
-    return F.regexp_replace(url, r"(?s)^([^@]{11,}?:)[^@]*@", "$1***@")
+    """What stands between the first colon behind the eleventh character and the next @ is starred."""
+    return F.regexp_replace(url, r"(?s)^(.{11,}?:).*?@", "$1***@")
 
 
 def normalize_provider(name: Column, known: tuple[str, ...] = ("claude", "codex", "gemini")) -> Column:

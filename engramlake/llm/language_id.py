@@ -90,7 +90,7 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return goes
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parse_table(model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One table for all languages, the row of each one's root, and log2 of the symbols it learned.
 
@@ -145,7 +145,7 @@ def cross_entropies(texts: list[str | None], model: LanguageModel) -> tuple[np.n
     return out.T, first.T
 
 
-def fit(docs: DataFrame, *, docs_per_language: int = 96, max_symbols: int = 60_000, max_table_mb: int = 96) -> LanguageModel:
+def fit(docs: DataFrame, *, docs_per_language: int = 96, max_symbols: int = 40_000, max_table_mb: int = 64) -> LanguageModel:
     """Learn from rows outside the held-out quarter with text and lang.
 
     The sample is bounded: of each language the ``docs_per_language`` rows whose hashed doc_id is

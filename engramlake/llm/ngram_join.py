@@ -24,7 +24,7 @@ from .components import connected_components
 
 TREES, DEPTH = 20, 6
 BLOCK_ROWS, BLOCK_ITEMS = 2048, 4_000_000  # of a block of a large trie node
-PAIRS = 200_000  # compared at once
+PAIRS = 50_000  # compared at once
 SLACK = 0.25  # signatures that agree in less than the threshold minus this rule a pair out (over six deviations)
 
 

@@ -95,18 +95,19 @@ class Encoder:
     """Encodes texts with a public tokenizer file, as encode(add_special_tokens=False) does.
 
     A byte-level vocabulary never joins across the space before a word, so a text without runs of
-    white space is the concatenation of its space-led pieces.  Pieces are remembered (``memory`` of
-    them, then all are forgotten), and only new ones go through the tokenizer's model.  Other texts
+    white space is the concatenation of its space-led pieces.  Pieces, and the words in them, are
+    remembered (so many of each, then all are forgotten), and only new words go through the
+    tokenizer's model.  Other texts
     and other kinds of tokenizer files go through the tokenizer whole."""
 
-    def __init__(self, path: str, memory: int = 700_000):
+    def __init__(self, path: str, pieces: int = 150_000, words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.memory = self.tokenizer.model, memory
+        self.model, self.most = self.tokenizer.model, (pieces, words)
         self.pieces, self.words = Memory(self._piece), Memory(self._word)
         self.dtype, self.code = ("<u4", "I") if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else ("<u2", "H")
         made = json.loads(self.tokenizer.to_str())
@@ -139,8 +140,8 @@ class Encoder:
             return np.empty(0, dtype=self.dtype)
         if not self.piecewise or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " ":
             return np.frombuffer(self._whole(text), dtype=self.dtype)
-        for memory in (self.pieces, self.words):
-            if len(memory) > self.memory:
+        for memory, most in zip((self.pieces, self.words), self.most):
+            if len(memory) > most:
                 memory.clear()
         first, *rest = text.replace("\n", " \n").split(" ")
         data = b"".join(map(self.words.__getitem__, self.cut(first))) + b"".join(map(self.pieces.__getitem__, rest))

@@ -100,7 +100,7 @@ class Encoder:
     tokenizer's model.  Other texts
     and other kinds of tokenizer files go through the tokenizer whole."""
 
-    def __init__(self, path: str, pieces: int = 150_000, words: int = 400_000):
+    def __init__(self, path: str, pieces: int = 300_000, words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer

@@ -3,9 +3,10 @@
 Tokens are the tags of a page, told apart by the path of elements in which they stand, and its text
 nodes.  Over the pages of a host each token has an occurrence vector, its count on each page; tokens
 with the same vector form an equivalence class.  A class is valid if it occurs on enough pages to be
-no coincidence, in one order, and nests in the class of the page as a whole; the valid classes are
-the host's template, everything else is what was put into its slots.  Text that belongs to the
-template is boilerplate, and the slot in which most other text stands is the main one.
+no coincidence, in one order on all of them, and nests in the root class, that of the page as a
+whole; the valid classes are the host's template, everything else is what was put into its slots.
+Text that belongs to the template is boilerplate, and the slot in which most other text stands is
+the main one.  Pages with the same text count once.
 
 Vectors are compared by a fingerprint that is summed over pages, so a host may own any share of the
 pages: its rows are aggregated before and after the shuffle, and no task sees a whole host.
@@ -15,10 +16,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -46,7 +49,8 @@ MAIN_WORDS = frozenset("main articlebody article".split())
 class Block:
     text: str
     path: str
-    slots: tuple[str, ...]  # paths of the elements around it, outermost first
+    slots: tuple[int, ...]  # the tags of the elements around it that stand in ``Page.tags``, outermost first
+    at: int  # how many tags come before it
     main: bool
     aside: bool
     linked: int = 0
@@ -69,9 +73,10 @@ def _names(attributes: str) -> tuple[str, set[str]]:
 def parse(source: str) -> Page:
     """Blocks of text with decoded character references and single spaces, in page order, and the tags."""
     page, stack, parts, linked = Page(), [], [], 0
-    nowhere = ("", "", False, False)
-    # an element on the stack: name, path, whether it is or lies in a main element, or one that is set aside
+    nowhere = ("", "", False, -1)
+    # an element on the stack: name, path, whether it is or lies in a main element, its tag
     near = nowhere  # the innermost block element
+    doubtful: set[int] = set()  # tags of elements that may hold no article
 
     def flush() -> None:
         nonlocal linked
@@ -81,7 +86,7 @@ def parse(source: str) -> Page:
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
                 top = near if near is not nowhere or not stack else stack[-1]
-                page.blocks.append(Block(text, top[1], tuple(e[1] for e in stack if e[0] in BLOCK), top[2], top[3], linked))
+                page.blocks.append(Block(text, top[1], tuple(e[3] for e in stack if e[0] in BLOCK or e is top), len(page.tags), top[2], False, linked))
         linked = 0
 
     def cut(depth: int) -> None:
@@ -139,14 +144,21 @@ def parse(source: str) -> Page:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
             continue
-        main = near[2] or name in ("article", "main") or bool(words & MAIN_WORDS)
+        against = words & ASIDE_WORDS
+        itself = name in ("article", "main") or bool(words & MAIN_WORDS)
+        main, tag = near[2] or itself, len(page.tags) - 1
         # the title of an article may stand in a header of its own
-        aside = near[3] or (name in ASIDE and not (name == "header" and near[2])) or bool(words & ASIDE_WORDS)
-        stack.append(element := (name, path, main, aside))
+        doubt = name in ASIDE and not (name == "header" and near[2]) or bool(against)
+        if doubt:
+            doubtful.add(tag)
+        stack.append(element := (name, path, main, tag))
         if block:
             near = element
         links += name == "a"
     flush()
+    if doubtful:
+        for b in page.blocks:
+            b.aside = not doubtful.isdisjoint(b.slots)
     return page
 
 
@@ -159,85 +171,237 @@ def token_hash(kind: str, what: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind} {what}") - (1 << 63)
 
 
+def text_token(b: Block) -> int:
+    return token_hash("text", f"{b.path} {b.text}")
+
+
 def host_of(url: Column) -> Column:
     """The host of an address in lower case, without user or port; empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, kind (0: tag, 1: text node), and for each page the token's count, first place and text in its slot.
-
-    Text nodes in main elements, or in what is set aside, are never judged by the template and left out."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """host, body, tags, texts, at, up, chars: each page's tokens in page order, without repeated bodies.
 
-    names = ["host", "key", "token", "kind", "n", "place", "chars"]
+    For each text node: how many tags come before it, which tag is the innermost element around it
+    that has a slot (-1: none), and the characters it may give an article, which are none in what is
+    set aside.  Bodies are told apart by their text that isn't set aside, and one of each is kept."""
+    names = ["host", "body", "tags", "ups", "texts", "at", "up", "chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[int]] = [[] for _ in names]
-            for host, key, source in rows_of([batch], "host", "key", "html"):
+            cols: list[list] = [[] for _ in names]
+            for host, source in rows_of([batch], "host", "html"):
                 page = parse(source or "")
-                chars: dict[str, int] = {}
+                if not page.blocks:
+                    continue
+                ups = [-1] * len(page.tags)
                 for b in page.blocks:
-                    if not b.aside and (n := len(b.text) - 2 * b.linked) > 0:
-                        for slot in b.slots:
-                            chars[slot] = chars.get(slot, 0) + n
-                places = {path: i for i, path in zip(range(len(page.tags) - 1, -1, -1), reversed(page.tags))}
-                rows = [(tag_hash(path), 0, n, places[path], chars.get(path, 0)) for path, n in Counter(page.tags).items()]
-                free = [(b.path, b.text) for b in page.blocks if not b.main and not b.aside]
-                where = {t: i for i, t in zip(range(len(free) - 1, -1, -1), reversed(free))}
-                rows += [(token_hash("text", f"{path} {text}"), 1, n, where[path, text], 0) for (path, text), n in Counter(free).items()]
+                    for outer, inner in zip(b.slots, b.slots[1:]):
+                        ups[inner] = outer
+                body = token_hash("body", "\n".join(b.text for b in page.blocks if not b.aside))
+                row = (host, body, [tag_hash(t) for t in page.tags], ups, [text_token(b) for b in page.blocks], [b.at for b in page.blocks], [b.slots[-1] if b.slots else -1 for b in page.blocks], [0 if b.aside else max(0, len(b.text) - 2 * b.linked) for b in page.blocks])
+                for c, v in zip(cols, row):
+                    c.append(v)
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            kinds = (pa.int64(), pa.int64(), longs, ints, longs, ints, ints, ints)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    keyed = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
+    rows = keyed.mapInArrow(run, "host long, body long, tags array<long>, ups array<int>, texts array<long>, at array<int>, up array<int>, chars array<int>")
+    return rows.dropDuplicates(["host", "body"])
+
+
+def frequent(bodies: DataFrame, *, share: float = 0.5, least_pages: int = 3) -> DataFrame:
+    """host, token, kind (0: tag, 1: text node), class_id, pages, of, place, most: the frequent tokens.
+
+    Frequent: on ``least_pages`` bodies and on the ``share`` of the host's bodies, by which a host has
+    at most 1 / share times the tokens of its average page.  Tokens of a class share their number of
+    bodies and the fingerprint of their occurrence vector."""
+    names = ["host", "body", "token", "kind", "n", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for host, body, tags, texts, at in rows_of([batch], "host", "body", "tags", "texts", "at"):
+                # the first places; text nodes between the same two tags stand in their own order
+                first = {t: i for i, t in zip(range(len(tags) - 1, -1, -1), reversed(tags))}
+                after = {t: k - 0.9 + 0.8 * j / len(texts) for j, k, t in zip(range(len(texts) - 1, -1, -1), reversed(at), reversed(texts))}
+                rows = [(0, 2, 1, -1.0), *((t, 0, n, float(first[t])) for t, n in Counter(tags).items()), *((t, 1, n, after[t]) for t, n in Counter(texts).items())]
                 cols[0] += [host] * len(rows)
-                cols[1] += [key] * len(rows)
+                cols[1] += [body] * len(rows)
                 for c, values in zip(cols[2:], zip(*rows)):
                     c += values
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
-
-    keyed = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("page_id", "url").alias("key"), "html")
-    return keyed.mapInArrow(run, "host long, key long, token long, kind long, n long, place long, chars long")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 5, pa.float64()))], names=names)
+
+    seen = bodies.mapInArrow(run, "host long, body long, token long, kind long, n long, place double")
+    tokens = seen.groupBy("host", "token").agg(F.first("kind").alias("kind"), F.count("*").alias("pages"), F.bit_xor(F.xxhash64("body", "n")).alias("vector"), F.avg("place").alias("place"), F.max("n").alias("most")).filter(F.col("pages") >= least_pages)
+    tokens = stored(tokens, "tokens")
+    sizes = tokens.filter("kind = 2").select("host", F.col("pages").alias("of"))
+    tokens = tokens.join(sizes, "host").filter((F.col("kind") < 2) & (F.col("pages") >= share * F.col("of")))
+    return tokens.select("host", "token", "kind", F.xxhash64("pages", "vector").alias("class_id"), "pages", "of", "place", "most")
+
+
+def longest_rise(seq: list[int]) -> set[int]:
+    """The places of a longest increasing subsequence."""
+    tails, at, before = [], [], [-1] * len(seq)
+    for i, v in enumerate(seq):
+        k = bisect_left(tails, v)
+        if k:
+            before[i] = at[k - 1]
+        if k == len(tails):
+            tails.append(v)
+            at.append(i)
+        else:
+            tails[k], at[k] = v, i
+    out, i = set(), at[-1] if at else -1
+    while i >= 0:
+        out.add(i)
+        i = before[i]
+    return out
+
+
+class Known(NamedTuple):
+    """A frequent token of a host."""
+
+    token: int
+    kind: int
+    class_id: int
+    pages: int
+    of: int
+    place: float
+    most: int
+
+
+class Judge:
+    """Checks bodies of one host against its classes: order within each, place in the root, text in slots.
+
+    A class's order is that of its tokens' average places; a token that stands elsewhere on any body
+    is out of order.  The root class holds the tokens that every body has once."""
+
+    def __init__(self, known: list):
+        classes: dict[int, list] = {}
+        for t in known:
+            classes.setdefault(t.class_id, []).append(t)
+        self.rank = {t.token: (c, i, len(ts)) for c, ts in classes.items() for i, t in enumerate(sorted(ts, key=lambda t: (t.place, t.token)))}
+        self.root = {t.token for t in known if t.pages == t.of and t.most == 1}
+        self.constant = {t.token for t in known if t.kind == 1}
+        self.tags = {t.token for t in known if t.kind == 0}
+
+    def __call__(self, tags: list[int], ups: list[int], texts: list[int], at: list[int], up: list[int], chars: list[int], found: dict[int, list]) -> None:
+        """Adds to ``found``: for each token whether it was out of order, its least and greatest gap
+        in the root, and the characters of text within it that aren't constant."""
+        order, k = [], 0
+        for i in range(len(tags) + 1):
+            while k < len(texts) and at[k] <= i:
+                if texts[k] in self.constant:
+                    order.append(texts[k])
+                k += 1
+            if i < len(tags) and tags[i] in self.tags:
+                order.append(tags[i])
+        times: Counter = Counter()
+        runs: dict[int, tuple[list[int], list[int]]] = {}
+        for n, t in enumerate(order):
+            c, i, size = self.rank[t]
+            seq, where = runs.setdefault(c, ([], []))
+            seq.append(times[t] * size + i)
+            where.append(n)
+            times[t] += 1
+        out: set[int] = set()
+        for seq, where in runs.values():
+            if any(a >= b for a, b in zip(seq, seq[1:])):
+                out |= {where[i] for i in set(range(len(seq))) - longest_rise(seq)}
+        gap = 0
+        for n, t in enumerate(order):
+            one = found.setdefault(t, [False, gap, gap, 0])
+            one[0] |= n in out
+            one[1], one[2] = min(one[1], gap), max(one[2], gap)
+            if t in self.root and n not in out:
+                gap = self.rank[t][1] + 1
+        for t, u, n in zip(texts, up, chars):
+            if n and t not in self.constant:
+                while u >= 0:
+                    if tags[u] in self.root:
+                        found[tags[u]][3] += n
+                    u = ups[u]
+                if 0 in found:
+                    found[0][3] += n
+                else:
+                    found[0] = [False, 0, 0, n]
+
+
+def host_templates(bodies: DataFrame, tokens: DataFrame, *, held_tokens: int = 200_000, most_of: float = 0.8) -> DataFrame:
+    """host, constant (text tokens of the template), main (the slot of the article).
+
+    The tokens of a class are valid that stand in the class's order on every body, and those of other
+    classes than the root only if they lie in the same gap between two tokens of the root wherever
+    they occur.  The main slot is the innermost element of the root that holds ``most_of`` the text
+    that isn't constant and not set aside.  Up to ``held_tokens`` tokens are handed to every task,
+    more are joined."""
+    columns = ["tags", "ups", "texts", "at", "up", "chars"]
+    one = F.struct("token", "kind", "class_id", "pages", "of", "place", "most")
+    held: dict[int, list[Known]] | None = None
+    if tokens.count() <= held_tokens:
+        held, rows = {}, bodies
+        for host, *known in tokens.select("host", one.alias("t")).select("host", "t.*").toLocalIterator():
+            held.setdefault(host, []).append(Known(*known))
+    else:
+        rows = bodies.join(tokens.groupBy("host").agg(F.collect_list(one).alias("known")), "host")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges: dict[int, Judge] = {}
+        found: dict[int, dict[int, list]] = {}
+        rows = 0
 
-def templates(pages: DataFrame, *, share: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """host, token, kind, class_id, pages, chars, place, most: the frequent tokens of each host by class.
+        def table_of() -> pa.RecordBatch:
+            made = [(h, t, *v) for h, f in found.items() for t, v in f.items()]
+            cols = list(zip(*made)) if made else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "token", "out", "least", "greatest", "chars"])
 
-    Frequent: on ``least_pages`` pages and on the ``share`` of the host's pages, by which a host has
-    at most 1 / share times the tokens of its average page.  Tokens of a class share their number of
-    pages and the fingerprint of their occurrence vector."""
-    seen = occurrences(pages)
-    vector = F.xxhash64("key", "n")
-    tokens = seen.groupBy("host", "token").agg(F.first("kind").alias("kind"), F.count("*").alias("pages"), F.bit_xor(vector).alias("vector"), F.sum("chars").alias("chars"), F.avg("place").alias("place"), F.max("n").alias("most"))
-    sizes = pages.groupBy(F.xxhash64(host_of(F.col("url"))).alias("host")).agg(F.count("*").alias("of"))
-    tokens = tokens.filter(F.col("pages") >= least_pages).join(sizes, "host").filter(F.col("pages") >= share * F.col("of"))
-    return tokens.select("host", "token", "kind", F.xxhash64("pages", "vector").alias("class_id"), "pages", "chars", "place", "most")
-
-
-def host_templates(tokens: DataFrame) -> DataFrame:
-    """host, constant (text tokens of the template), main (the slot with most text that isn't constant).
-
-    The root class is the one with the most pages, then the most tokens.  Another class belongs to
-    the template if it has two tokens at least, or is text, and lies between the first and the last
-    token of the root."""
-    classes = tokens.groupBy("host", "class_id").agg(F.count("*").alias("size"), F.max("kind").alias("text"), F.min("place").alias("first"), F.max("place").alias("last"), F.max("pages").alias("pages"))
-    root = classes.groupBy("host").agg(F.max(F.struct("pages", "size", "class_id", "first", "last")).alias("root"))
-    nested = (F.col("class_id") == F.col("root.class_id")) | ((F.col("size") > 1) | (F.col("text") == 1)) & (F.col("last") >= F.col("root.first"))
-    valid = classes.join(root, "host").filter(nested).select("host", "class_id")
-    tokens = tokens.join(valid, ["host", "class_id"])
-    slots = F.when((F.col("kind") == 0) & (F.col("most") == 1) & (F.col("chars") > 0), F.struct(F.col("chars"), F.col("place"), F.col("token")))
-    return tokens.groupBy("host").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.col("token")))).alias("constant"), F.max(slots)["token"].alias("main"))
+        for batch in batches:
+            hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
+            known = None if held is not None else batch.column(batch.schema.get_field_index("known"))
+            if len(judges) > 2000:
+                judges.clear()
+            for i, h in enumerate(hosts):
+                if h not in judges:
+                    judges[h] = Judge(held.get(h, []) if held is not None else [Known(**k) for k in known[i].as_py()])
+            for h, *row in rows_of([batch], "host", *columns):
+                judge = judges[h]
+                if not judge.rank:
+                    continue
+                before = len(f := found.setdefault(h, {}))
+                judge(*row, f)
+                rows += len(f) - before
+            if rows > 100_000:
+                yield table_of()
+                found.clear()
+                rows = 0
+        yield table_of()
+
+    judged = rows.mapInArrow(run, "host long, token long, out boolean, least long, greatest long, chars long")
+    judged = judged.groupBy("host", "token").agg(F.max("out").alias("out"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("chars").alias("chars"))
+    total = judged.filter("token = 0").select("host", F.col("chars").alias("total"))
+    root = (F.col("pages") == F.col("of")) & (F.col("most") == 1)
+    valid = tokens.join(judged, ["host", "token"]).filter(~F.col("out") & (root | (F.col("least") == F.col("greatest")))).join(total, "host", "left")
+    slot = F.when((F.col("kind") == 0) & root & (F.col("chars") >= most_of * F.col("total")), F.struct("place", "token"))
+    return valid.groupBy("host").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.col("token")))).alias("constant"), F.max(slot)["token"].alias("main"))
 
 
 def extract(source: str, constant: set[int], main: int | None) -> str:
     """The text of the article of one page.
 
-    That of main elements where there are any, else what stands in the host's main slot, else
-    everything; never what is set aside, nor outside main elements what belongs to the template."""
-    blocks = [b for b in parse(source).blocks if not b.aside]
-    if any(b.main for b in blocks):
-        kept = [b for b in blocks if b.main]
-    else:
-        kept = [b for b in blocks if token_hash("text", f"{b.path} {b.text}") not in constant]
-        if main is not None:
-            kept = [b for b in kept if any(tag_hash(s) == main for s in b.slots)] or kept
-    return "\n".join(b.text for b in kept)
+    What belongs to the template or is set aside is dropped everywhere.  Of the rest, what stands in
+    the host's main slot is kept; main elements stand for it where they hold at least half of its
+    text on this page, or where there is no slot, and without both everything is kept."""
+    page = parse(source)
+    blocks = [b for b in page.blocks if not b.aside and text_token(b) not in constant]
+    slot = [b for b in blocks if any(tag_hash(page.tags[s]) == main for s in b.slots)] if main is not None else []
+    hinted = [b for b in blocks if b.main]
+    if slot and 2 * sum(len(b.text) for b in slot if b.main) < sum(len(b.text) for b in slot):
+        hinted = []
+    return "\n".join(b.text for b in hinted or slot or blocks)
 
 
 def main_text(pages: DataFrame, *, broadcast_rows: int = 100_000, **options) -> DataFrame:
@@ -246,7 +410,8 @@ def main_text(pages: DataFrame, *, broadcast_rows: int = 100_000, **options) ->
     Null or empty html has an empty text, a page without a host shares the template of those like
     it, and repeated rows are rows of their own.  Other columns are ignored.  The templates are
     handed to every task while they number at most ``broadcast_rows`` hosts; more are joined."""
-    known = stored(host_templates(templates(pages, **options)), "templates")
+    bodies = stored(parsed(pages), "bodies")
+    known = stored(host_templates(bodies, stored(frequent(bodies, **options), "frequent")), "templates")
     schema = "page_id long, url string, text string, n_chars long"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"))
     tokens = known.agg(F.count("*"), F.coalesce(F.sum(F.size("constant")), F.lit(0))).first()

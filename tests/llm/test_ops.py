@@ -262,6 +262,30 @@ def test_what_is_set_aside():
     assert html_template.extract(page, set(), None) == "T\nab\nx\ny\nend"
 
 
+def test_template_inside_article_elements(spark):
+    """Text that every page repeats inside its article is boilerplate; copies of one page are no support."""
+    rows = [(i, "http://h.example/x", f"<body><main><p>Read more of us</p><article><h1>Title {i}</h1><p>Story {i} is long enough</p><p>Follow our channel</p></article></main></body>") for i in range(6)]
+    rows += [(50 + i, "http://copies.example/x", "<body><article><p>One story</p></article></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.main_text(df).collect()}
+    assert got[3] == "Title 3\nStory 3 is long enough" and got[50] == "One story"
+
+
+def test_template_checks_order_and_nesting(spark):
+    """Frequent text that moves about a page is no part of the template."""
+
+    def at(i, where):
+        return "".join(f"<h2 class=k{'abcdefghij'[k]}>Head {k} of page {i}</h2>" + ("<p>moves about</p>" if k == where else "") for k in range(10))
+
+    rows = [(i, "http://h.example/x", f"<body><p>stays</p><div>{at(i, i)}</div></body>") for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_template.main_text(df).collect()}
+    assert all("moves about" in t and "stays" not in t and len(t) == 11 for t in got.values())
+    bodies = html_template.parsed(df)
+    tokens = html_template.frequent(bodies).cache()
+    assert html_template.host_templates(bodies, tokens).collect() == html_template.host_templates(bodies, tokens, held_tokens=0).collect()
+
+
 # 6
 
 

@@ -43,6 +43,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 ASIDE = frozenset("nav header footer aside form button select dialog menu search object audio video canvas map head".split())
 ASIDE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 MAIN_WORDS = frozenset("main articlebody article".split())
+HEADER_WORDS = frozenset("header masthead".split())
 
 
 @dataclass
@@ -76,6 +77,8 @@ def parse(source: str) -> Page:
     nowhere = ("", "", False, -1)
     # an element on the stack: name, path, whether it is or lies in a main element, its tag
     near = nowhere  # the innermost block element
+    mains: list[tuple[int, ...]] = []  # main elements, each with the tags around it and its own
+    titles: list[tuple[int, ...]] = []  # h1 likewise
     doubtful: set[int] = set()  # tags of elements that may hold no article
 
     def flush() -> None:
@@ -145,23 +148,46 @@ def parse(source: str) -> Page:
                 at = end.end() if end else size
             continue
         against = words & ASIDE_WORDS
-        itself = name in ("article", "main") or bool(words & MAIN_WORDS)
+        itself = name in ("article", "main") or bool(words & MAIN_WORDS) and not against and name not in ASIDE
         main, tag = near[2] or itself, len(page.tags) - 1
-        # the title of an article may stand in a header of its own
-        doubt = name in ASIDE and not (name == "header" and near[2]) or bool(against)
+        around = (*(e[3] for e in stack), tag)
+        # the title of an article may stand in a header of its own, and an article may have any class
+        if name == "header" or against and against <= HEADER_WORDS:
+            doubt = not near[2]
+        elif name in ("article", "main"):
+            doubt = bool(against) and any(e[0] == "article" for e in stack)
+        else:
+            doubt = (name in ASIDE or bool(against)) and name not in ("html", "body")
         if doubt:
             doubtful.add(tag)
+        if itself:
+            mains.append(around)
+        elif name == "h1":
+            titles.append(around)
         stack.append(element := (name, path, main, tag))
         if block:
             near = element
         links += name == "a"
     flush()
     if doubtful:
-        for b in page.blocks:
-            b.aside = not doubtful.isdisjoint(b.slots)
+        _set_aside(page, mains, titles, doubtful)
     return page
 
 
+def _set_aside(page: Page, mains: list[tuple[int, ...]], titles: list[tuple[int, ...]], doubtful: set[int]) -> None:
+    """Marks the blocks in doubtful elements, unless such an element is a wrapper of the page.
+
+    It is one if it holds every main element, or more than half of the text and every h1."""
+    size: dict[int, int] = {}
+    for b in page.blocks:
+        for tag in b.slots:
+            size[tag] = size.get(tag, 0) + len(b.text)
+    half = sum(len(b.text) for b in page.blocks) / 2
+    aside = {d for d in doubtful if not (mains and all(d in m for m in mains) or size.get(d, 0) > half and not mains and all(d in t for t in titles))}
+    for b in page.blocks:
+        b.aside = not aside.isdisjoint(b.slots)
+
+
 @lru_cache(maxsize=1 << 16)
 def tag_hash(path: str) -> int:
     return token_hash("tag", path)

@@ -262,6 +262,14 @@ def test_what_is_set_aside():
     assert html_template.extract(page, set(), None) == "T\nab\nx\ny\nend"
 
 
+def test_wrappers_are_not_set_aside():
+    story = "<p>A story of some length that is the article of its page.</p>"
+    for wrapped in (f"<body class='right-sidebar'>{story}</body>", f"<div class='layout has-sidebar'><article>{story}</article></div>", f"<article class='social'>{story}</article>", f"<form id=aspnetForm>{story}</form>", f"<main><article class='widget'>{story}</article></main>"):
+        assert html_template.extract(wrapped, set(), None) == "A story of some length that is the article of its page.", wrapped
+    headed = "<article><div class='entry-header'><h1>T</h1></div><header class='article-header'><p>by N</p></header><p>story</p><div class='comments'><article class='comment'>no</article></div></article><div class='sidebar'>no</div>"
+    assert html_template.extract(headed, set(), None) == "T\nby N\nstory"
+
+
 def test_template_inside_article_elements(spark):
     """Text that every page repeats inside its article is boilerplate; copies of one page are no support."""
     rows = [(i, "http://h.example/x", f"<body><main><p>Read more of us</p><article><h1>Title {i}</h1><p>Story {i} is long enough</p><p>Follow our channel</p></article></main></body>") for i in range(6)]

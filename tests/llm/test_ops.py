@@ -228,6 +228,18 @@ def test_license_prefilter_loses_nothing():
                 assert len(pairs) < 0.8 * len(t.words) or any(f[0] == t.license for f in license_scan.scan(" ".join(words), [t]))
 
 
+def test_license_family():
+    known = license_scan.compiled(license_scan.TEMPLATES)
+    for lic, name, _, text in license_scan.TEMPLATES:
+        got = license_scan.scan(f"some words before {text} and some behind", known)
+        assert lic in {f[0] for f in got} and (name != "full" or got[0][0] == lic and len(got) == 1), (lic, name, got)
+    bsd = license_scan.BSD_CONDITIONS, license_scan.BSD_NAMES.replace("copyright holder", "University"), license_scan.BSD_DISCLAIMER
+    assert [f[0] for f in license_scan.scan(" ".join(bsd), known)] == ["BSD-3-Clause"]
+    assert [f[0] for f in license_scan.scan(f"{bsd[0]} {bsd[2]}", known)] == ["BSD-2-Clause"]
+    for text, lic in (("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("Released under the Unlicense.", "Unlicense")):
+        assert [f[0] for f in license_scan.scan(f"x y {text} z", known)] == [lic]
+
+
 # 5
 
 

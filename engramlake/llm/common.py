@@ -69,6 +69,12 @@ def word_chars() -> np.ndarray:
     return flags
 
 
+@lru_cache(maxsize=1)
+def upper_chars() -> np.ndarray:
+    """For each code point, whether it is an upper-case letter."""
+    return np.fromiter((chr(i).isupper() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 @lru_cache(maxsize=1)
 def _powers() -> np.ndarray:
     return np.cumprod(np.concatenate(([1], np.full(63, 0x100000001B3))).astype(np.uint64))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, stored, word_hashes
+from .common import code_points, rows_of, stored, upper_chars, word_hashes
 
 BUCKETS = 1 << 16  # of hashed words
 SHAPES = 7
@@ -47,10 +47,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     shape = np.ones(SHAPES + 1)
     if not len(words):
         return words.astype(np.int64), shape, 0
-    lines, some = text.split("\n"), text[:: max(1, len(text) // 512)]
+    lines, upper = text.split("\n"), np.count_nonzero(upper_chars()[code_points(text)])
     buckets = np.unique((words & np.uint64(BUCKETS - 1)).astype(np.int64))
     marks = sum(map(text.count, "#$%&*!|"))
-    shape[:SHAPES] = (len(buckets) / len(words), sum(map(str.isupper, some)) / len(some), min(1.0, 5 * marks / len(text)), len(set(lines)) / len(lines), min(1.0, len(text) / len(words) / 20), np.log1p(len(words)) / 10, min(1.0, len(lines) / len(words)))
+    shape[:SHAPES] = (len(buckets) / len(words), upper / len(text), min(1.0, 5 * marks / len(text)), len(set(lines)) / len(lines), min(1.0, len(text) / len(words) / 20), np.log1p(len(words)) / 10, min(1.0, len(lines) / len(words)))
     return buckets, shape, len(words)
 
 

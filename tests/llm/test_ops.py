@@ -104,6 +104,11 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert np.abs((b * n) @ p / n.sum() - (r * n) @ p / n.sum()).max() < 2e-3
 
 
+def test_upper_case_of_the_whole_text():
+    for text in ("a word " * 2000 + "UPPER CASE JUNK " * 9 + "and on " * 3000, "Xabcdefg " * 1 + "Xbcdefg " * 4096, "ÄÖÜ äöü 漢字 " * 700):
+        assert mixing.features(text)[1][1] == pytest.approx(sum(map(str.isupper, text)) / len(text))
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(5, "x"), (6, "y"), (None, "x"), (7, None)], "doc_id long, domain string")
     df = docs_of(spark, EDGE)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -86,9 +87,9 @@ class Memory(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool) -> Encoder:
     """One for all tasks of a worker process, so that what it remembers serves the next task too."""
-    return Encoder(path)
+    return Encoder(path, added_tokens)
 
 
 class Encoder:
@@ -97,20 +98,23 @@ class Encoder:
     A byte-level vocabulary never joins across the space before a word, so a text without runs of
     white space is the concatenation of its space-led pieces.  Pieces, and the words in them, are
     remembered (so many of each, then all are forgotten), and only new words go through the
-    tokenizer's model.  Other texts
-    and other kinds of tokenizer files go through the tokenizer whole."""
+    tokenizer's model.  Other texts, those that hold an added token of the file (such as
+    <|endoftext|>), and other kinds of tokenizer files go through the tokenizer whole.  Without
+    ``added_tokens`` special tokens in a text are text like any other."""
 
-    def __init__(self, path: str, pieces: int = 300_000, words: int = 400_000):
+    def __init__(self, path: str, added_tokens: bool = True, pieces: int = 300_000, words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.model, self.most = self.tokenizer.model, (pieces, words)
         self.pieces, self.words = Memory(self._piece), Memory(self._word)
         self.dtype, self.code = ("<u4", "I") if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else ("<u2", "H")
         made = json.loads(self.tokenizer.to_str())
+        added = [re.escape(t["content"]) for t in made["added_tokens"] if t["content"] and (added_tokens or not t["special"])]
+        self.added = re.compile("|".join(added)).search if added else None
         pre, model = made["pre_tokenizer"] or {}, made["model"]
         self.piecewise = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not made["normalizer"] and model["type"] == "BPE" and not model["dropout"]
         # fixed value: how byte-level tokenizers cut text into words
@@ -138,7 +142,7 @@ class Encoder:
         """The ids of one text; a null one has none."""
         if not text:
             return np.empty(0, dtype=self.dtype)
-        if not self.piecewise or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " ":
+        if not self.piecewise or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] == " " or self.added and self.added(text):
             return np.frombuffer(self._whole(text), dtype=self.dtype)
         for memory, most in zip((self.pieces, self.words), self.most):
             if len(memory) > most:
@@ -162,9 +166,9 @@ def read_record(path: str, file: str, n: int) -> tuple[int | None, np.ndarray]:
         return read_frame(f.read_at(HEAD.size + length + 4, at))[:2]
 
 
-def _write_file(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _write_file(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int, added_tokens: bool) -> Iterator[pa.RecordBatch]:
     """Writes one file and its offsets, and describes it in a row; without records there is no row."""
-    encode = encoder(tokenizer)
+    encode = encoder(tokenizer, added_tokens)
     fs, base = _filesystem(path)
     fs.create_dir(base, recursive=True)
     name, offsets, at, n_ids, first = f"part-{uuid.uuid4().hex}", [], 0, 0, None
@@ -198,19 +202,20 @@ def _read_file(path: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
     yield _records(rows)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, partitions: int | None = None) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, partitions: int | None = None, added_tokens: bool = False) -> None:
     """Encode ``docs(doc_id, text)`` and write them in ascending doc_id order.
 
     Null and empty texts are written as the end id alone; rows with the same doc_id stand side by
     side, ordered by text; null doc_ids come first.  Extra columns are ignored.  The rows are dealt
     by doc_id ranges, so no source or group of copies shares a task, and each text crosses the
-    network once, before it is encoded."""
+    network once, before it is encoded.  With ``added_tokens`` texts are encoded as the library does
+    by default, added tokens in them included; without, special tokens are ordinary text."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _write_file(batches, path, tokenizer, end_id)
+        yield from _write_file(batches, path, tokenizer, end_id, added_tokens)
 
     # one row a file: what a lost or repeated attempt wrote is in no row, so not in the manifest either
     files = rows.mapInArrow(write, "known boolean, first long, file string, records long, ids long, bytes long").collect()
@@ -243,7 +248,8 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def token_digest(docs: DataFrame, tokenizer: str, path_of: Callable[[SparkSession, str], str] = scratch_path) -> DataFrame:
-    """Write ``docs`` as records in the shared folder and read the files back."""
+    """Write ``docs`` as records in the shared folder, encoded as encode(add_special_tokens=False)
+    does, and read the files back."""
     path = path_of(docs.sparkSession, "token-records")
-    write_records(docs, path, tokenizer)
+    write_records(docs, path, tokenizer, added_tokens=True)
     return read_records(docs.sparkSession, path)

@@ -379,6 +379,18 @@ def test_records_round_trip(spark, documents, tmp_path):
         start += len(ids)
 
 
+def test_digest_equals_the_unmodified_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(registry.tokenizer_file())
+    texts = dict(enumerate(["<|endoftext|> x", "a<|endoftext|>b c", "one <|endoftext|>", "plain words", "almost <|endoftext| >", "two\n<|endoftext|><|endoftext|>\nlines"]))
+    got = {r.doc_id: r for r in token_records.token_digest(docs_of(spark, texts.items()), registry.tokenizer_file()).collect()}
+    for i, text in texts.items():
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_records_in_any_order_and_damage(spark, tmp_path):
     import json
 

@@ -1,9 +1,10 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
-Each distinct set of word n-grams has a signature of ``trees * depth`` minimum hashes: a path of
-``depth`` hashes in each of ``trees`` tries.  Rows are dealt by the path of a trie, matched prefixes
-are shortened from the full path until two sets at the threshold meet in at least one trie with the
-target recall, and a pair that met is verified on the sets themselves.
+Each distinct set of word n-grams has a signature of ``trees * depth`` minimum hashes, ``depth`` for
+each of ``trees`` bands.  No tries are built: rows are dealt by a prefix of each band whose length is
+fixed beforehand, the longest at which two sets at the threshold meet in at least one band with the
+target recall, and a pair that met is verified on the sets themselves.  The hashes behind the prefix
+serve only to screen pairs.
 
 Copies (equal sets) are one row from the start.  A pair is judged in the first trie in which it
 meets, so that each link counts once although no pair is ever shuffled: the tasks send one row per

@@ -163,10 +163,11 @@ def contexts(left: Column, right: Column) -> Column:
     """The patterns in which a span stands, '' where there is none: the two words before it; one
     before and one after; the name and the sign by which it is assigned."""
     plain = F.regexp_replace(left, r"[\"'(\[{<]+$", "")
+    before = F.regexp_extract(plain, r"(\S*\p{L}\S*)\s*$", 1)
     key = F.concat(F.lower(F.regexp_extract(plain, KEY, 1)), F.lit(" "), F.regexp_extract(plain, KEY, 2))
     return F.array(
         _shape(F.regexp_extract(plain, r"(\S+\s+\S+)\s*$", 1)),
-        _shape(F.concat_ws(" _ ", F.nullif(F.regexp_extract(plain, r"(\S*\p{L}\S*)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(right, r"^[\"')\]}>.,;]*\s+(\S+)", 1), F.lit("")))),
+        F.when(before != "", _shape(F.concat_ws(" _ ", before, F.nullif(F.regexp_extract(right, r"^[\"')\]}>.,;]*\s+(\S+)", 1), F.lit(""))))).otherwise(""),
         F.trim(key),
     )
 

@@ -1,14 +1,19 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
-Each distinct set of word n-grams has a signature of ``trees * depth`` minimum hashes, ``depth`` for
-each of ``trees`` bands.  No tries are built: rows are dealt by a prefix of each band whose length is
-fixed beforehand, the longest at which two sets at the threshold meet in at least one band with the
-target recall, and a pair that met is verified on the sets themselves.  The hashes behind the prefix
-serve only to screen pairs.
-
-Copies (equal sets) are one row from the start.  A pair is judged in the first trie in which it
-meets, so that each link counts once although no pair is ever shuffled: the tasks send one row per
-member, with its count of links and one link of a spanning forest.
+Each distinct set of word n-grams has a signature of ``trees * depth`` minimum hashes.  A tree is the
+prefix trie of one stretch of ``depth`` of them, kept as its sorted branches: rows are dealt by tree
+and by the shortest prefix that may be needed, and sorted by branch, so that what shares a prefix of
+any length stands side by side.
+
+Matches begin with whole branches and the prefixes are shortened level by level.  What a set has
+matched so far tells how close its neighbours are, and so which part of them prefixes of this length
+find in all trees together; once that reaches the target recall, the set stops asking for shorter
+ones.  A set without matches goes down to the length at which a pair just at the threshold still
+meets in some tree with the target recall.
+
+Copies (equal sets) are one row from the start.  A pair is judged in the tree where it shares the
+longest prefix, so that each link counts once although no pair is ever shuffled: the tasks send one
+row per member, with its count of links and one link of a spanning forest.
 """
 
 from __future__ import annotations
@@ -17,20 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, rows_of, shingle_hashes, stored, word_hashes
 from .components import connected_components
 
-TREES, DEPTH = 20, 6
-BLOCK_ROWS, BLOCK_ITEMS = 2048, 4_000_000  # of a block of a large trie node
+TREES, DEPTH = 20, 7
+BLOCK_ROWS, BLOCK_ITEMS = 400, 2_000_000  # of a block of a large trie node
+NODE_ROWS, NODE_BYTES = 4096, 32_000_000  # of whole nodes that are held at once
 PAIRS = 50_000  # compared at once
 SLACK = 0.25  # signatures that agree in less than the threshold minus this rule a pair out (over six deviations)
 
+MARGIN = 0.1  # below the threshold down to which matches speak of links that may be missed (three deviations)
+
 
 def prefix_depth(threshold: float, recall: float, trees: int, depth: int) -> int:
-    """The longest prefix at which a pair at the threshold meets in some trie with this probability."""
+    """The longest prefix at which a pair at the threshold meets in some tree with this probability."""
     for d in range(depth, 1, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
@@ -43,12 +51,12 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
-    """The n smallest hashes of a set, each under a permutation of its own, 32 bits each."""
+    """The n smallest hashes of a set, each under a permutation of its own, 16 bits each."""
     a, b = _permutations(n)
     best = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 256):
         np.minimum(best, (shingles[at : at + 256, None] * a + b).min(axis=0), out=best)
-    return (mix64(best) >> np.uint64(32)).astype(np.uint32)
+    return (mix64(best) >> np.uint64(48)).astype(">u2")  # bytes in this order sort as the numbers do
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -83,53 +91,84 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
 
 
 class Members:
-    """Rows of trie nodes as arrays: the members of whole nodes, side by side."""
+    """Rows of trie nodes as arrays: the members of whole nodes, side by side, sorted by branch."""
 
-    def __init__(self, batch: pa.RecordBatch, trees: int, short: int):
+    def __init__(self, batch: pa.RecordBatch, trees: int, depth: int, short: int, recall: float):
         col = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+        self.trees, self.depth, self.short, self.recall = trees, depth, short, recall
         self.node = np.stack([col[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("tree", "path", "cell")], axis=1)
         self.tree, self.block, self.rep, self.copies, self.size = (col[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("tree", "block", "rep", "copies", "size"))
-        sig = np.frombuffer(b"".join(col["sig"].to_pylist()), dtype=np.uint32).reshape(batch.num_rows, TREES, DEPTH)
-        self.prefix = np.zeros((batch.num_rows, trees), dtype=np.uint64)
-        for k in range(short):
-            self.prefix = mix64(self.prefix * np.uint64(31) + sig[:, :trees, k])
-        self.low = (sig.reshape(batch.num_rows, -1) & 0xFF).astype(np.uint8)
+        self.sig = np.frombuffer(b"".join(col["sig"].to_pylist()), dtype=np.uint16).reshape(batch.num_rows, TREES, DEPTH)[:, :trees, :depth]
         self.key = col["set_key"]
         self.items = [np.frombuffer(x, dtype=np.uint64) for x in col["items"].to_pylist()] if "items" in col else None
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The row numbers of all pairs within a node, some at a time."""
-        edges = np.flatnonzero(np.concatenate(([True], (self.node[1:] != self.node[:-1]).any(axis=1), [True])))
+    def ends(self) -> np.ndarray:
+        """For each length of prefix (0: the node) and each row, where the rows that share it end."""
+        n = len(self.node)
+        branch = self.sig[np.arange(n), self.tree]
+        same = np.zeros((self.depth + 1, n), dtype=bool)  # as the next row
+        same[0, :-1] = (self.node[1:] == self.node[:-1]).all(axis=1)
+        for d in range(1, self.depth + 1):
+            same[d, :-1] = same[d - 1, :-1] & (branch[1:, d - 1] == branch[:-1, d - 1])
+        out = np.where(same, n, np.arange(1, n + 1))
+        return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+
+    def pairs(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of each row with those from ``low`` to ``high``, some at a time, of which one at least is wanted."""
         left, right, n = [], [], 0
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for i in range(a, b - 1):
-                left.append(np.full(b - i - 1, i))
-                right.append(np.arange(i + 1, b))
-                n += b - i - 1
-                if n >= PAIRS:
-                    yield np.concatenate(left), np.concatenate(right)
-                    left, right, n = [], [], 0
+        for i in np.flatnonzero(high > low).tolist():
+            j = np.arange(low[i], high[i])
+            if not wanted[i]:
+                j = j[wanted[j]]
+            left.append(np.full(len(j), i))
+            right.append(j)
+            n += len(j)
+            if n >= PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, n = [], [], 0
         if n:
             yield np.concatenate(left), np.concatenate(right)
 
+    def meets(self, s: np.ndarray, d: int) -> np.ndarray:
+        """The probability that sets of this similarity share a prefix of a length in some tree."""
+        return 1 - (1 - s**d) ** self.trees
+
     def links(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The pairs to be judged here that are links; without the sets, those that may be."""
-        for a, b in self.pairs():
-            # a cell of two blocks of a large node judges what lies across them, a cell of one block the rest
-            two = self.node[a, 2] // 65536 != self.node[a, 2] % 65536
-            keep = (~two | (self.block[a] != self.block[b])) & (np.minimum(self.size[a], self.size[b]) >= threshold * np.maximum(self.size[a], self.size[b]) - 1e-9)
-            a, b = a[keep], b[keep]
-            met = (self.prefix[a] == self.prefix[b]) & (np.arange(self.prefix.shape[1]) < self.tree[a][:, None])
-            keep = ~met.any(axis=1)
-            a, b = a[keep], b[keep]
-            keep = (self.low[a] == self.low[b]).sum(axis=1) >= (threshold - SLACK) * self.low.shape[1]
-            a, b = a[keep], b[keep]
-            if self.items is not None and len(a):
-                both = self.shared(a, b)
-                keep = both >= threshold * (self.size[a] + self.size[b] - both) - 1e-9
+        """The pairs to be judged here that are links; without the sets, those that may be.
+
+        How close matches are is estimated by their signatures, so that both ways stop alike."""
+        ends, n = self.ends(), len(self.node)
+        asking = np.ones(n, dtype=bool)
+        found, missed = np.zeros((self.depth + 1, n)), np.zeros((self.depth + 1, n))
+        for d in range(self.depth, self.short - 1, -1):
+            low = np.arange(1, n + 1) if d == self.depth else ends[d + 1]
+            for a, b in self.pairs(low, ends[d], asking):
+                # a cell of two blocks of a large node judges what lies across them, a cell of one block the rest
+                two = self.node[a, 2] // 65536 != self.node[a, 2] % 65536
+                keep = (~two | (self.block[a] != self.block[b])) & (np.minimum(self.size[a], self.size[b]) >= threshold * np.maximum(self.size[a], self.size[b]) - 1e-9)
                 a, b = a[keep], b[keep]
-            if len(a):
-                yield a, b
+                equal = self.sig[a] == self.sig[b]
+                close = equal.mean(axis=(1, 2))
+                keep = close >= threshold - SLACK
+                a, b, equal, close = a[keep], b[keep], equal[keep], close[keep]
+                # matches as a sample of the neighbours: each stands for as many as its chance to be met in one tree says
+                near = close >= threshold - MARGIN
+                for k in range(self.short, d + 1):
+                    every = close[near] ** -float(k)
+                    lost = every * (1 - self.meets(close[near], k))
+                    for side in (a[near], b[near]):
+                        found[k] += np.bincount(side, every, n)
+                        missed[k] += np.bincount(side, lost, n)
+                shared = np.logical_and.accumulate(equal, axis=2).sum(axis=2)
+                keep = shared.argmax(axis=1) == self.tree[a]  # the first of the longest
+                a, b = a[keep], b[keep]
+                if self.items is not None and len(a):
+                    both = self.shared(a, b)
+                    keep = both >= threshold * (self.size[a] + self.size[b] - both) - 1e-9
+                    a, b = a[keep], b[keep]
+                if len(a):
+                    yield a, b
+            asking &= (found[d] == 0) | (missed[d] > (1 - self.recall) * found[d])
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The sizes of the intersections of pairs of sets; a is in ascending order."""
@@ -146,7 +185,7 @@ class Members:
         return out
 
 
-def whole_nodes(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of trie nodes, regrouped so that no node is cut."""
     held: list[pa.RecordBatch] = []
 
@@ -154,9 +193,9 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            held.append(batch.slice(at, 1024))
-            if sum(b.num_rows for b in held) < rows:
+        for at in range(0, batch.num_rows, 256):
+            held.append(batch.slice(at, 256))
+            if sum(b.num_rows for b in held) < NODE_ROWS and sum(b.nbytes for b in held) < NODE_BYTES:
                 continue
             now = joined()
             node = np.stack([now.column(now.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("tree", "path", "cell")], axis=1)
@@ -169,12 +208,12 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator
         yield joined()
 
 
-def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.998, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, class_id, n_links, copy_of, n_copies.
 
     Words are runs of letters, digits and underscores in lower case; a text of fewer than n words is
     one n-gram, and a text without words (or null) is linked to nothing.  class_id is the smallest
-    doc_id that chains of links of Jaccard similarity >= threshold reach; n_links counts the
+    doc_id that chains of links of Jaccard similarity >= threshold reach (found with the given recall); n_links counts the
     documents linked directly, copies included; copy_of is the smallest doc_id with the same n-grams
     and n_copies the number of such documents.  Rows that repeat a doc_id count as copies or links
     of each other like any others.  A null doc_id takes no part and has a null class.  Other columns
@@ -186,9 +225,12 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
     # equal sets are one from here on: rep stands for all its copies
     reps = stored(prints.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "sets")
 
-    # the trie nodes at the shortened depth that more than one set reaches
+    # the trie nodes at the shortest prefix that more than one set reaches
+    def branch(n: int) -> Column:
+        return F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * n})")
+
     paths = reps.select("set_key", "size", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig")
-    paths = paths.select("set_key", "size", "tree", F.xxhash64("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * short})")).alias("path"))
+    paths = paths.select("set_key", "size", "tree", F.xxhash64("tree", branch(short)).alias("path"))
     nodes = paths.groupBy("tree", "path").agg(F.count("*").alias("members"), F.sum("size").alias("items")).filter("members > 1")
     # a large node is cut into blocks, and each pair of blocks is a cell of its own
     nodes = nodes.select("tree", "path", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).alias("blocks"))
@@ -198,13 +240,13 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
     member = member.join(reps, "set_key").select("tree", "path", "cell", "block", "set_key", "rep", "copies", "size", "sig")
 
     def by_node(df: DataFrame) -> DataFrame:
-        return df.repartition("tree", "path", "cell").sortWithinPartitions("tree", "path", "cell")
+        return df.repartition("tree", "path", "cell").sortWithinPartitions("tree", "path", "cell", branch(depth))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The members that may have a link to be judged in their cell."""
         for batch in whole_nodes(batches):
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for a, b in Members(batch, trees, short).links(threshold):
+            for a, b in Members(batch, trees, depth, short, recall).links(threshold):
                 keep[a] = keep[b] = True
             yield batch.filter(pa.array(keep))
 
@@ -225,8 +267,8 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each member: the documents linked to it here, and a link of a spanning forest."""
         for batch in whole_nodes(batches):
-            m = Members(batch, trees, short)
-            links, root = np.zeros(batch.num_rows, dtype=np.int64), list(range(batch.num_rows))
+            m = Members(batch, trees, depth, short, recall)
+            links, root, group = np.zeros(batch.num_rows, dtype=np.int64), list(range(batch.num_rows)), np.arange(batch.num_rows)
 
             def top(x: int) -> int:
                 while root[x] != x:
@@ -236,8 +278,11 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
 
             for a, b in m.links(threshold):
                 links += np.bincount(a, m.copies[b], len(links)).astype(np.int64) + np.bincount(b, m.copies[a], len(links)).astype(np.int64)
-                for x, y in zip(a.tolist(), b.tolist()):
+                apart = group[a] != group[b]
+                for x, y in zip(a[apart].tolist(), b[apart].tolist()):
                     root[top(y)] = top(x)
+                if apart.any():
+                    group = np.array([top(x) for x in range(batch.num_rows)])
             found = np.flatnonzero(links)
             other = m.rep[[top(x) for x in found.tolist()]] if len(found) else m.rep[:0]
             yield pa.RecordBatch.from_arrays([m.key.take(pa.array(found)), pa.array(m.rep[found]), pa.array(links[found]), pa.array(other)], names=["set_key", "rep", "links", "other"])

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_links(rows):
+def brute_links(rows, least=0.8):
     sets, seen, links, parent = {}, collections.defaultdict(list), collections.Counter(), {}
 
     def top(x):
@@ -193,7 +194,7 @@ def brute_links(rows):
         for g in sets[i]:
             seen[g].append(i)
         for j, k in both.items():
-            if k >= 0.8 * (len(sets[i]) + len(sets[j]) - k):
+            if k >= least * (len(sets[i]) + len(sets[j]) - k):
                 links[i] += 1
                 links[j] += 1
                 x, y = sorted((top(i), top(j)))
@@ -230,6 +231,31 @@ def test_join_cuts_large_nodes(spark, monkeypatch):
     assert cut == whole and {i: n for i, (n, _) in cut.items() if n} == dict(links)
 
 
+@pytest.mark.parametrize("least", [0.8, 0.85, 0.9])
+def test_join_recall(spark, least):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + [(10_000 + i, t) for i, t in enumerate(near_copies(200, seed=3))]
+    links, classes = brute_links(rows, least)
+    for recall, reached in ((0.9995, 0.9995), (0.9, 0.9)):
+        got = {r.doc_id: r for r in ngram_join.similarity_classes(docs_of(spark, rows), threshold=least, recall=recall).collect()}
+        assert all(r.n_links <= links[i] for i, r in got.items()) and sum(r.n_links for r in got.values()) >= reached * sum(links.values()) > 1000
+        assert recall < 0.99 or sum(got[i].class_id == c for i, c in classes.items()) >= 0.999 * len(rows)
+
+
+def test_forest_stops_early_in_tight_groups():
+    """Sets with close matches don't ask for shorter prefixes, sets without any do."""
+    sig = np.array([[[r] * 7] * 20 for r in (5, 5, 5)], dtype=np.uint16)
+    sig[2, :, 6] = 9  # shares six of seven with the others in every tree
+    rows = {"tree": [0] * 3, "path": [1] * 3, "cell": [0] * 3, "block": [0] * 3, "set_key": [b"a", b"b", b"c"], "rep": [1, 2, 3], "copies": [1] * 3, "size": [100] * 3, "sig": [x.tobytes() for x in sig]}
+    levels = []
+    for recall, pairs in ((0.9995, 3), (0.5, 3)):
+        m = ngram_join.Members(pa.RecordBatch.from_pydict(rows), 20, 7, 5, recall)
+        assert m.ends().tolist()[6:] == [[3, 3, 3], [2, 2, 3]]
+        found = [(x, y) for a, b in m.links(0.8) for x, y in zip(a.tolist(), b.tolist())]
+        assert sorted(found) == [(0, 1), (0, 2), (1, 2)][:pairs]
+        levels.append(found)
+    assert levels[0][0] == (0, 1)
+
+
 def test_join_edges(spark):
     got = ngram_join.similarity_classes(docs_of(spark, EDGE)).collect()
     assert len(got) == len(EDGE)

@@ -3,12 +3,13 @@
 For each language a suffix automaton of labelled text is turned into a complete transition table.  A
 text is parsed against it into longest phrases that occur in the labelled text; few phrases mean a
 small cross-entropy, phrases * log2(symbols learned) / symbols parsed, and the language with the
-smallest wins.  Whole texts are parsed; a phrase also ends at every 512th symbol, so that thousands
-of blocks advance through the tables together.
+smallest wins.  Whole texts are parsed, and a phrase is always the longest match: many texts
+advance through the tables together, symbol by symbol, and the last few go on by themselves.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from .common import code_points
 
-BLOCK = 512
+AT_ONCE = 512  # texts that are parsed together
+STEPS, FEW = 256, 8  # symbols after which finished texts leave; so few texts are parsed one by one
 SPACE, OTHER, FIRST = 0, 1, 2  # symbols: any run of non-letters, letters not seen in training, the rest
 UNDETERMINED = "und"
 NEW_COLUMNS = ("lang_pred", "score", "bits")
@@ -124,60 +126,82 @@ def cross_entropies(texts: list[str | None], model: LanguageModel) -> tuple[np.n
     table, roots, logs = parse_table(model)
     width = FIRST + len(model.letters) + 1
     seqs = [symbols(t or "", model.letters) for t in texts]
-    sizes = np.array([len(s) for s in seqs])
-    blocks = -(-sizes // BLOCK)
-    grid = np.full((int(blocks.sum()), BLOCK), width - 1, dtype=np.uint8)
-    flat, begin = grid.reshape(-1), np.concatenate(([0], np.cumsum(blocks)))
-    for s, b in zip(seqs, begin):
-        flat[b * BLOCK : b * BLOCK + len(s)] = s
-    columns = np.ascontiguousarray(grid.T).astype(np.int32)
-    row = np.repeat(roots[:, None], grid.shape[0], axis=1)
-    phrases = np.ones(row.shape, dtype=np.int32)
-    for c in columns:
-        got = table[row + c]
-        phrases += got & 1
-        row = got >> 1
-    totals = np.concatenate((np.zeros((len(roots), 1), dtype=np.int64), np.cumsum(phrases, axis=1)), axis=1)
+    sizes = np.array([len(s) for s in seqs], dtype=np.int64)
+    order = np.argsort(-sizes, kind="stable")  # longest first, so that those at work are a prefix
+    lengths = -sizes[order]
+    row, phrases = np.repeat(roots[:, None], len(texts), axis=1), np.ones((len(roots), len(texts)), dtype=np.int64)
+    start = 0
+    while (alive := int(np.searchsorted(lengths, -start))) > FEW:
+        grid = np.full((alive, STEPS), width - 1, dtype=np.int32)
+        for j in range(alive):
+            part = seqs[order[j]][start : start + STEPS]
+            grid[j, : len(part)] = part
+        at, ended = row[:, :alive].copy(), np.zeros((len(roots), alive), dtype=np.int32)
+        for c in np.ascontiguousarray(grid.T):
+            got = table[at + c]
+            ended += got & 1
+            at = got >> 1
+        row[:, :alive] = at
+        phrases[:, :alive] += ended
+        start += STEPS
+    goes = memoryview(table)
+    for j in range(alive):
+        rest = seqs[order[j]][start:].tobytes()
+        for k in range(len(roots)):
+            at, ended = int(row[k, j]), 0
+            for c in rest:
+                got = goes[at + c]
+                ended += got & 1
+                at = got >> 1
+            phrases[k, j] += ended
+    totals = np.empty_like(phrases)
+    totals[:, order] = phrases
     with np.errstate(invalid="ignore", divide="ignore"):
-        out = (totals[:, begin[1:]] - totals[:, begin[:-1]]) * logs[:, None] / sizes
+        out = totals * logs[:, None] / sizes
         first = logs[:, None] / sizes
     out[:, sizes == 0] = np.nan
     return out.T, first.T
 
 
-def fit(docs: DataFrame, *, docs_per_language: int = 96, max_symbols: int = 40_000, max_table_mb: int = 64) -> LanguageModel:
+def fit(docs: DataFrame, *, docs_per_language: int = 96, max_symbols: int = 40_000, max_table_mb: int = 64, max_letters: int = 200) -> LanguageModel:
     """Learn from rows outside the held-out quarter with text and lang.
 
     The sample is bounded: of each language the ``docs_per_language`` rows whose hashed doc_id is
-    smallest, of which ``max_symbols`` symbols count, fewer where many languages would make the
-    tables exceed ``max_table_mb``, and equally many for each language that has them."""
+    smallest, equal rows once, of each the first 4 * ``max_symbols`` characters, of which
+    ``max_symbols`` symbols count, fewer where many languages would make the tables exceed
+    ``max_table_mb``, and equally many for each language that has them.  ``max_letters`` letters are
+    told apart, the languages' commonest in turn; all others are one symbol, as are letters never
+    learned."""
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
     shares = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    key, row = F.xxhash64("doc_id"), F.xxhash64("text")
     # Spark keeps no more than the wanted rows of a language in each partition before they meet
-    key = F.xxhash64("doc_id")
-    order = Window.partitionBy("lang").orderBy("k", "doc_id")
-    picked = known.select("doc_id", "lang", key.alias("k")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_language)
-    ids = [(r.doc_id,) for r in picked.select("doc_id").distinct().collect()]
-    if not ids:
+    order = Window.partitionBy("lang").orderBy("k", "doc_id", "h")
+    picked = known.select("doc_id", "lang", key.alias("k"), row.alias("h")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_language)
+    keys = [tuple(r) for r in picked.select("doc_id", "lang", "k", "h").distinct().collect()]  # docs_per_language a language
+    if not keys:
         return LanguageModel((), "")
-    wanted = known.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id")  # docs_per_language a language: a proven bound
+    wanted = known.withColumn("h", row).join(F.broadcast(docs.sparkSession.createDataFrame(keys, "doc_id long, lang string, k long, h long")), ["doc_id", "lang", "h"])
     texts: dict[str, list[tuple]] = {}
-    for r in wanted.select("doc_id", "lang", "text", key.alias("k")).limit(2 * len(ids)).collect():
-        texts.setdefault(r.lang, []).append((r.k, r.doc_id, r.text))
-    counts: dict[str, int] = {}
-    plain = {}
-    for lang, rows in texts.items():
-        plain[lang] = " ".join(t.lower() for *_, t in sorted(rows))
-        for c in plain[lang]:
-            if c.isalpha():
-                counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:200]))
+    for r in wanted.select("lang", "k", "doc_id", "h", F.substring("text", 1, 4 * max_symbols).alias("text")).dropDuplicates(["lang", "doc_id", "h"]).collect():
+        texts.setdefault(r.lang, []).append((r.k, r.doc_id, r.h, r.text))
+    plain = {lang: " ".join(t.lower() for *_, t in sorted(rows)) for lang, rows in texts.items()}
+    letters = _letters(plain, max_letters)
     width = FIRST + len(letters) + 1
     room = min(max_symbols, max_table_mb * 1_000_000 // (4 * 2 * width * len(plain)))
     cut = {lang: _excerpt(text, letters, room) for lang, text in plain.items()}
     return LanguageModel(tuple(sorted(cut.items(), key=lambda x: (-shares[x[0]], x[0]))), letters)
 
 
+def _letters(plain: dict[str, str], most: int) -> str:
+    """The languages' commonest letters in turn, until there are so many."""
+    ranked = []
+    for lang in sorted(plain):
+        counts = Counter(c for c in plain[lang] if c.isalpha())
+        ranked += [(n, c) for n, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))]
+    return "".join(sorted(list(dict.fromkeys(c for _, c in sorted(ranked)))[:most]))
+
+
 def _excerpt(text: str, letters: str, room: int) -> str:
     names = {SPACE: " ", OTHER: "\U0001f520"} | {FIRST + i: c for i, c in enumerate(letters)}
     names[OTHER] = next(c for c in map(chr, range(0x4E00, 0x9FFF)) if c not in letters)  # a letter that is told apart from none
@@ -197,8 +221,8 @@ def predict(docs: DataFrame, model: LanguageModel, columns: tuple[str, str, str]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 langs, scores, bits = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
                 if names:

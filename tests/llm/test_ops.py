@@ -542,23 +542,30 @@ def test_languages_held_out(spark, sf_dir):
 
 def test_cross_parsing_by_brute_force(spark, documents):
     model = language_id.fit(documents, max_symbols=3000)
-    texts = [r.text for r in documents.filter("length(text) < 900").orderBy("doc_id").limit(12).collect()]
+    texts = [r.text for r in documents.filter("length(text) < 900").orderBy("doc_id").limit(12).collect()] + [r.text for r in documents.filter("length(text) > 3000").orderBy("doc_id").limit(2).collect()]
     found, _ = language_id.cross_entropies(texts, model)
     for t, row in zip(texts, found):
         s = language_id.symbols(t, model.letters).tolist()
         for (_, learned), bits in zip(model.texts, row):
             hay = bytes(language_id.symbols(learned, model.letters))
             phrases = 0
-            for at in range(0, len(s), language_id.BLOCK):
-                part, i = bytes(s[at : at + language_id.BLOCK]), 0
-                while i < len(part):
-                    j = i + 1
-                    while j < len(part) and part[i : j + 1] in hay:
-                        j += 1
-                    phrases, i = phrases + 1, j
+            part, i = bytes(s), 0
+            while i < len(part):
+                j = i + 1
+                while j < len(part) and part[i : j + 1] in hay:
+                    j += 1
+                phrases, i = phrases + 1, j
             assert bits == pytest.approx(phrases * math.log2(len(hay)) / len(s))
 
 
+def test_language_sample_is_the_same_in_any_order(spark, documents):
+    twice = documents.union(documents.withColumn("text", F.concat("text", F.lit(" und so weiter"))))
+    models = [language_id.fit(df, docs_per_language=20, max_symbols=2000) for df in (twice, twice.repartition(7).union(twice))]
+    assert models[0] == models[1]
+    letters = language_id._letters({"a": "xxxyyz", "b": "äää" + "".join(map(chr, range(0x4E00, 0x4F00)))}, 4)
+    assert letters == "".join(sorted("xyä\u4e00"))
+
+
 def test_language_edges(spark, documents):
     model = language_id.fit(documents)
     got = {r.doc_id: r for r in language_id.predict(docs_of(spark, [*EDGE, (40, "123 !!")]), model).collect()}

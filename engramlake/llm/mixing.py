@@ -10,6 +10,7 @@ are a short list, and no rates are kept between them.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from .common import code_points, rows_of, stored, upper_chars, word_hashes
 
 BUCKETS = 1 << 16  # of hashed words
 SHAPES = 7
+WARN_ABOVE = 0.02
 
 
 @dataclass(frozen=True)
@@ -69,35 +71,52 @@ def train(x: np.ndarray, y: np.ndarray, n: int, *, steps: int = 300, l2: float =
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, telling: int = 256) -> DomainClassifier:
-    """Learn domains from ``labels(doc_id, domain)``: at most ``sample`` rows, those whose hashed
-    doc_id is smallest, by the ``telling`` buckets of words that differ most between the domains.
+    """Learn domains from ``labels(doc_id, domain)``: at most ``sample`` labelled rows, those whose hashed
+    doc_id is smallest, equal ones once, by the ``telling`` buckets of words that differ most between
+    the domains.
 
+    Tasks turn texts into features; the driver gets counts of buckets and ``telling`` bits a row.
     Rows without doc_id, domain or text teach nothing.  With no labelled row at all there is one
     domain of its own, which holds everything."""
-    picked = labels.filter("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(4 * sample)  # sample rows: a proven bound
-    learned = sorted((r.doc_id, r.domain, r.text) for r in rows.collect())
-    if not learned:
+    order, row = F.xxhash64("doc_id"), F.xxhash64("text")
+    picked = labels.filter("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain")).distinct()
+    picked = stored(picked.orderBy(order, "doc_id", "domain").limit(sample), "labels")
+    keys = docs.filter("text is not null").select("doc_id", row.alias("h")).join(F.broadcast(picked), "doc_id").distinct()  # sample rows: a proven bound
+    keys = stored(keys.orderBy(order, "doc_id", "domain", "h").limit(sample), "sample")
+    rows = docs.select("doc_id", "text", row.alias("h")).join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "domain"])  # sample rows again
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for doc_id, h, domain, text in rows_of([batch], "doc_id", "h", "domain", "text"):
+                buckets, shape, _ = features(text)
+                for c, v in zip(cols, (doc_id, h, domain, buckets.tolist(), shape.tolist())):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "h", "domain", "buckets", "shape"])
+
+    made = stored(rows.select("doc_id", "h", "domain", "text").mapInArrow(run, "doc_id long, h long, domain string, buckets array<int>, shape array<double>"), "features")
+    size = {r.domain: r["count"] for r in made.groupBy("domain").count().collect()}
+    if not size:
         return DomainClassifier(("all",), np.zeros(BUCKETS, dtype=np.int64), np.zeros((SHAPES + 2, 1)), np.ones(1))
-    domains = tuple(sorted({d for _, d, _ in learned}))
-    y = np.array([domains.index(d) for _, d, _ in learned])
-    made = [features(t)[:2] for _, _, t in learned]
+    domains = tuple(sorted(size))
+    sizes = np.array([size[d] for d in domains])
     seen = np.zeros((len(domains), BUCKETS))
-    for d, (buckets, _) in zip(y, made):
-        seen[d, buckets] += 1
-    size = np.bincount(y, minlength=len(domains))
-    mean = seen.sum(axis=0) / len(y)
-    chi = (((seen - size[:, None] * mean) ** 2) / (size[:, None] * mean * (1 - mean) + 1)).sum(axis=0)
+    for r in made.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket").count().toLocalIterator():
+        seen[domains.index(r.domain), r.bucket] = r["count"]
+    mean = seen.sum(axis=0) / sizes.sum()
+    chi = (((seen - sizes[:, None] * mean) ** 2) / (sizes[:, None] * mean * (1 - mean) + 1)).sum(axis=0)
     chosen = np.argsort(-chi, kind="stable")[:telling]
     column = np.full(BUCKETS, telling, dtype=np.int64)
     column[chosen] = np.arange(telling)
+    kept = made.select("domain", "doc_id", "h", F.array_intersect("buckets", F.array(*[F.lit(int(b)) for b in chosen])).alias("buckets"), "shape")
+    learned = sorted(kept.collect(), key=lambda r: (r.domain, r.doc_id, r.h))
+    y = np.array([domains.index(r.domain) for r in learned])
     x = np.zeros((len(y), telling + 1 + SHAPES + 1))
-    for i, (buckets, shape) in enumerate(made):
-        x[i, column[buckets]] = 1
-        x[i, telling + 1 :] = shape
-    x[:, telling] = 0
-    return DomainClassifier(domains, column, train(x, y, len(domains)), size / len(y))
+    for i, r in enumerate(learned):
+        x[i, column[r.buckets]] = 1
+        x[i, telling + 1 :] = r["shape"]
+    return DomainClassifier(domains, column, train(x, y, len(domains)), sizes / len(y))
 
 
 def memberships(docs: DataFrame, model: DomainClassifier) -> DataFrame:
@@ -128,8 +147,14 @@ def _rate(moves: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - _dot(F.col("posterior"), y)))
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float], *, steps: int = 30, tolerance: float = 1e-4) -> list[list[float]]:
-    """The moves that take all rates from 1 to the fit.  Domains without a target count as 0.
+def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float], **options) -> list[list[float]]:
+    """The moves that take all rates from 1 to the fit, without what is left of the error."""
+    return fitted(members, domains, targets, **options)[0]
+
+
+def fitted(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float], *, steps: int = 30, tolerance: float = 1e-4) -> tuple[list[list[float]], float]:
+    """The moves that take all rates from 1 to the fit, and the residual: the greatest share by which a
+    domain misses its target (of at least 0.01).  Domains without a target count as 0.
 
     A move is a gradient step, scaled by the inverse of the domains' Gram matrix over the documents
     whose rates aren't 0, and is halved where the error would grow; after it, rates below 0 become 0."""
@@ -146,33 +171,39 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
         live = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
         got = at.agg(F.sum("t"), *[F.sum(F.col("t") * F.col("r") * p[i]) for i in range(n)], *[F.sum(live * p[i] * p[j]) for i in range(n) for j in range(i, n)]).first()
         if not got[0]:
-            return []
+            return [], 0.0
         now = np.array(got[1 : n + 1]) / got[0] - goal
         error = float(np.abs(now / np.maximum(goal, 0.01)).max())
         if error >= best and moves:
             moves[-1] = [v / 2 for v in moves[-1]]
             if max(map(abs, moves[-1])) < tolerance:
-                return moves[:-1]
+                return moves[:-1], best
             continue
         if error < tolerance or error > 0.999 * best and np.isfinite(best):
-            break
+            return moves, error
         best, gradient = error, now
         gram[np.triu_indices(n)] = np.array(got[n + 1 :]) / got[0]
         gram = np.triu(gram) + np.triu(gram, 1).T
         moves.append(np.linalg.solve(gram + 1e-6 * np.eye(n), gradient).tolist())
-    return moves
+    return moves[:-1], best  # the last move was never looked at
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """A row for each row of ``docs(doc_id, text)``: doc_id, n_tokens, rate and p_<domain> for each domain.
+    """A row for each row of ``docs(doc_id, text)``: doc_id, n_tokens, rate, residual and p_<domain> for
+    each domain.  residual is the same for all rows: the greatest share by which a domain's expected
+    tokens miss its target, which documents without any of its words can't reach; above ``WARN_ABOVE``
+    a warning says so.
 
     ``labels(doc_id, domain)`` teaches the domains; ``targets`` gives each one's weight among the
     tokens, whose total stays.  Null and empty texts have no tokens and the prior as posterior.
     Repeated rows are rows of their own; other columns are ignored."""
     model = fit_classifier(docs, labels, **options)
     members = stored(memberships(docs, model), "memberships")
-    moves = fit_rates(members, model.domains, targets if model.domains != ("all",) else {"all": 1.0})
-    return members.select("doc_id", "n_tokens", _rate(moves).alias("rate"), *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)])
+    moves, residual = fitted(members, model.domains, targets if model.domains != ("all",) else {"all": 1.0})
+    unknown = sorted(set(targets) - set(model.domains)) if model.domains != ("all",) else []
+    if residual > WARN_ABOVE or unknown:
+        warnings.warn(f"targets are missed by up to {residual:.1%}; domains that no label teaches: {unknown}", stacklevel=2)
+    return members.select("doc_id", "n_tokens", _rate(moves).alias("rate"), F.lit(float(residual)).alias("residual"), *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)])
 
 
 def document_domains(labels: DataFrame) -> DataFrame:

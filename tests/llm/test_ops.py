@@ -157,6 +157,47 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert np.abs((b * n) @ p / n.sum() - (r * n) @ p / n.sum()).max() < 2e-3
 
 
+def test_unreachable_targets_are_reported(spark):
+    rows = [(i, 10, [0.5, 0.5]) for i in range(20)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    assert mixing.fitted(members, ("a", "b"), {"a": 0.9, "b": 0.1})[1] > 0.3
+    assert mixing.fitted(members, ("a", "b"), {"a": 0.5, "b": 0.5})[1] < 1e-3
+    docs = docs_of(spark, [(i, "one two three") for i in range(20)])
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="missed"):
+        assert mixing.mixing_rates(docs, labels, {"a": 0.9, "b": 0.1}).first().residual > 0.3
+
+
+def test_posteriors_on_labels_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = mixing.document_domains(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    model = mixing.fit_classifier(docs, labels.filter("doc_id % 3 <> 0"))
+    held = mixing.memberships(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
+    right = np.mean([model.domains[int(np.argmax(r.posterior))] == r.domain for r in held])
+    common = max(collections.Counter(r.domain for r in held).values()) / len(held)
+    assert len(held) > 100 and right > 0.9 and right > common
+    assert all(abs(sum(r.posterior) - 1) < 1e-9 for r in held)
+
+
+def test_posterior_by_brute_force(spark, documents, sf_dir):
+    model = mixing.fit_classifier(documents, mixing.document_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    for r in documents.orderBy("doc_id").limit(10).collect():
+        z = np.zeros(len(model.domains))
+        buckets, shape, n = mixing.features(r.text)
+        for b in set(buckets.tolist()):
+            z += model.weights[model.column[b]]
+        for k, v in enumerate(shape):
+            z += v * model.weights[len(model.weights) - mixing.SHAPES - 1 + k]
+        assert model.posterior(r.text)[0] == pytest.approx(np.exp(z) / np.exp(z).sum()) and n == len(re.findall(r"\w+", r.text))
+
+
+def test_mixing_sample_is_the_same_in_any_order(spark, documents, sf_dir):
+    labels = mixing.document_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    twice = documents.union(documents.withColumn("text", F.concat("text", F.lit(" and so on"))))
+    a, b = (mixing.fit_classifier(df, labels, sample=40) for df in (twice, twice.repartition(7).union(twice)))
+    assert a.domains == b.domains and np.array_equal(a.weights, b.weights) and np.array_equal(a.prior, b.prior)
+
+
 def test_upper_case_of_the_whole_text():
     for text in ("a word " * 2000 + "UPPER CASE JUNK " * 9 + "and on " * 3000, "Xabcdefg " * 1 + "Xbcdefg " * 4096, "ÄÖÜ äöü 漢字 " * 700):
         assert mixing.features(text)[1][1] == pytest.approx(sum(map(str.isupper, text)) / len(text))

@@ -202,14 +202,15 @@ def _read_file(path: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
     yield _records(rows)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, partitions: int | None = None, added_tokens: bool = False) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, partitions: int | None = None, added_tokens: bool = True) -> None:
     """Encode ``docs(doc_id, text)`` and write them in ascending doc_id order.
 
     Null and empty texts are written as the end id alone; rows with the same doc_id stand side by
     side, ordered by text; null doc_ids come first.  Extra columns are ignored.  The rows are dealt
     by doc_id ranges, so no source or group of copies shares a task, and each text crosses the
-    network once, before it is encoded.  With ``added_tokens`` texts are encoded as the library does
-    by default, added tokens in them included; without, special tokens are ordinary text."""
+    network once, before it is encoded.  Texts are encoded as the library does by default, added
+    tokens in them included; without ``added_tokens`` special tokens are ordinary text.  Files of
+    attempts that failed or came second are deleted at the end."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -227,6 +228,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = E
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
+    known = {f"{x['file']}{end}" for x in manifest for end in (".rec", ".idx")} | {"manifest.json"}
+    for left in fs.get_file_info(pafs.FileSelector(base)):
+        if left.base_name not in known:
+            fs.delete_file(left.path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -251,5 +256,5 @@ def token_digest(docs: DataFrame, tokenizer: str, path_of: Callable[[SparkSessio
     """Write ``docs`` as records in the shared folder, encoded as encode(add_special_tokens=False)
     does, and read the files back."""
     path = path_of(docs.sparkSession, "token-records")
-    write_records(docs, path, tokenizer, added_tokens=True)
+    write_records(docs, path, tokenizer)
     return read_records(docs.sparkSession, path)

@@ -24,6 +24,7 @@ from .common import code_points, rows_of, word_chars
 Q = 10
 EDIT_RATE = 0.08
 BLOCK_CHARS = 1_000_000
+LONGEST_ITEM = 32_768
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
 
 
@@ -186,12 +187,15 @@ def _ends(seq: np.ndarray, item: np.ndarray, diagonal: int, width: int, free_sta
     return row
 
 
-def indexes(benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """The items in blocks of about ``block_chars`` characters, each small enough for any task."""
+def indexes(benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, longest: int = LONGEST_ITEM) -> Iterator[Index]:
+    """The items in blocks of about ``block_chars`` characters, each small enough for any task; items
+    of over ``longest`` characters in pieces of that many."""
     items = benchmark.filter("text is not null").select("item_id", "text")
-    chars, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > 16 * block_chars:
-        raise ValueError(f"an item of {longest} characters is no benchmark item")
+    whole = items.filter(F.length("text") <= longest)
+    begins = F.sequence(F.lit(1), F.length("text"), F.lit(longest))
+    pieces = items.filter(F.length("text") > longest).select("item_id", F.explode(F.transform(begins, lambda b: F.substring(F.col("text"), b, F.lit(longest)))).alias("text"))
+    items = whole.union(pieces)
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // block_chars))
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
@@ -204,7 +208,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, **options) -> D
 
     Compared are letters and digits in lower case with single spaces between words.  Of passages
     that overlap, the one with fewer edits, then the earlier, stands for all.  The budget is
-    ``rate`` of an item's characters, fewer where the lemma couldn't hold.  Null and empty texts and
+    ``rate`` of an item's characters, fewer where the lemma couldn't hold.  An item of over ``longest``
+    characters is compared in pieces of that many, each as an item of its own.  Null and empty texts and
     items match nothing; repeated rows are reported each; other columns are ignored."""
     parts = []
     for index in indexes(benchmark, **options):

@@ -261,11 +261,11 @@ def frequent(bodies: DataFrame, *, share: float = 0.5, least_pages: int = 3) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 5, pa.float64()))], names=names)
 
     seen = bodies.mapInArrow(run, "host long, body long, token long, kind long, n long, place double")
-    tokens = seen.groupBy("host", "token").agg(F.first("kind").alias("kind"), F.count("*").alias("pages"), F.bit_xor(F.xxhash64("body", "n")).alias("vector"), F.avg("place").alias("place"), F.max("n").alias("most")).filter(F.col("pages") >= least_pages)
+    tokens = seen.groupBy("host", "token").agg(F.first("kind").alias("kind"), F.count("*").alias("pages"), *[F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), "body", "n"), 32)).alias(f"vector{k}") for k in (0, 1)], F.avg("place").alias("place"), F.max("n").alias("most")).filter(F.col("pages") >= least_pages)
     tokens = stored(tokens, "tokens")
     sizes = tokens.filter("kind = 2").select("host", F.col("pages").alias("of"))
     tokens = tokens.join(sizes, "host").filter((F.col("kind") < 2) & (F.col("pages") >= share * F.col("of")))
-    return tokens.select("host", "token", "kind", F.xxhash64("pages", "vector").alias("class_id"), "pages", "of", "place", "most")
+    return tokens.select("host", "token", "kind", F.xxhash64("pages", "vector0", "vector1").alias("class_id"), "pages", "of", "place", "most")
 
 
 def longest_rise(seq: list[int]) -> set[int]:

@@ -63,15 +63,15 @@ def _whole(data: np.ndarray, at: int) -> int:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: digest, doc_id, start and size in code points."""
+    """A row for each chunk: digest, doc_id, row (a hash of the text), start and size in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, digests, starts, sizes, n = [], [], [], [], 0
+        ids, rows, digests, starts, sizes, n = [], [], [], [], [], 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(np.concatenate(ids or [np.empty(0, np.int64)])), pa.array(np.concatenate(starts or [np.empty(0, np.int32)])), pa.array(np.concatenate(sizes or [np.empty(0, np.int32)]))], names=["digest", "doc_id", "start", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(np.concatenate(ids or [np.empty(0, np.int64)])), pa.array(np.concatenate(rows or [np.empty(0, np.int64)])), pa.array(np.concatenate(starts or [np.empty(0, np.int32)])), pa.array(np.concatenate(sizes or [np.empty(0, np.int32)]))], names=["digest", "doc_id", "row", "start", "size"])
 
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
+        for doc_id, row, text in rows_of(batches, "doc_id", "row", "text"):
             if not text:
                 continue
             raw = text.encode("utf-8", "surrogatepass")
@@ -85,73 +85,76 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 digests.append(xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63))
                 a = b
             ids.append(np.full(len(ends), doc_id, dtype=np.int64))
+            rows.append(np.full(len(ends), row, dtype=np.int64))
             starts.append(place[:-1].astype(np.int32))
             sizes.append(np.diff(place).astype(np.int32))
             n += len(ends)
             if n > 20_000:
                 yield batch()
-                ids, digests, starts, sizes, n = [], [], [], [], 0
+                ids, rows, digests, starts, sizes, n = [], [], [], [], [], 0
         yield batch()
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, start int, size int")
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "digest long, doc_id long, row long, start int, size int")
 
 
 def repeated_passages(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     """A row for each passage of ``docs(doc_id, text)`` that other documents hold too, of at least
-    ``least_chars`` characters in whole chunks: doc_id, start, end, first_doc, repeats.
+    ``least_chars`` characters in whole chunks: doc_id, row, start, end, first_doc, repeats.
 
     start and end are code points, end exclusive.  first_doc is the smallest doc_id with one of the
     passage's chunks; where it is the document itself, the passage stays, else it is a copy
     (repeats).  Null and empty texts and null doc_ids have no passages, and rows that repeat a
-    doc_id are one document: what only they share isn't repeated.  Other columns are ignored."""
+    doc_id are one document: what only they share isn't repeated.  row is the hash (xxhash64) of the
+    text that the places refer to; equal rows are reported once.  Other columns are ignored."""
     chunks = chunk_rows(docs)
     shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     # how often a chunk occurs isn't bounded: its rows are a skewed join key, which Spark can split
     # where the other side isn't aggregated in the same stage
     shared = stored(shared, "shared-chunks")
-    hits = chunks.join(shared.select("digest", "first_doc").hint("merge"), "digest").select("doc_id", "start", "size", "first_doc")
+    hits = chunks.join(shared.select("digest", "first_doc").hint("merge"), "digest").select("doc_id", "row", "start", "size", "first_doc")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by document and place, the runs without gaps; one may reach over batches."""
-        doc = begin = end = first = repeats = total = None
+        doc = begin = end = first = repeats = None  # doc: with its row
         pending: list[tuple] = []  # runs that touch, and differ in whether they are copies
 
         def done() -> list[tuple]:
             if doc is None:
                 return []
-            every = [*pending, (doc, begin, end, first, repeats)]
-            return every if every[-1][2] - every[0][1] >= least_chars else []
+            every = [*pending, (*doc, begin, end, first, repeats)]
+            return every if every[-1][3] - every[0][2] >= least_chars else []
 
         for batch in batches:
             out: list[tuple] = []
-            for d, s, n, f in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "size", "first_doc"))):
+            for i, r, s, n, f in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row", "start", "size", "first_doc"))):
+                d = (i, r)
                 if d == doc and s < end:
-                    continue  # the same chunk of a row that repeats the doc_id
+                    continue  # the same chunk of an equal row
                 if d == doc and s == end:
-                    if repeats == (f < d):
+                    if repeats == (f < i):
                         end, first = s + n, min(first, f)
                         continue
-                    pending.append((doc, begin, end, first, repeats))
+                    pending.append((*doc, begin, end, first, repeats))
                 else:
                     out += done()
                     pending = []
-                doc, begin, end, first, repeats = d, s, s + n, f, f < d
+                doc, begin, end, first, repeats = d, s, s + n, f, f < i
             yield table_of(out)
         yield table_of(done())
 
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.bool_())], names=["doc_id", "start", "end", "first_doc", "repeats"])
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.bool_())], names=["doc_id", "row", "start", "end", "first_doc", "repeats"])
 
-    ordered = hits.repartition("doc_id").sortWithinPartitions("doc_id", "start")
-    return ordered.mapInArrow(runs, "doc_id long, start long, end long, first_doc long, repeats boolean")
+    ordered = hits.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start")
+    return ordered.mapInArrow(runs, "doc_id long, row long, start long, end long, first_doc long, repeats boolean")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the copies of passages cut out of text; the first document keeps its own."""
-    spans = repeated_passages(docs, **options).filter("repeats").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__spans"))
+    spans = repeated_passages(docs, **options).filter("repeats").groupBy("doc_id", F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__spans"))
     ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length("text")))
     begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
     kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))), "")
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept))
+    out = docs.withColumn("__row", F.xxhash64("text")).join(spans, ["doc_id", "__row"], "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept))
     return out.select(*docs.columns)

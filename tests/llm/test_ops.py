@@ -467,6 +467,17 @@ def test_leaks_by_brute_force(spark, sf_dir, documents):
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_leaks_of_very_long_items(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{rng.integers(10**6)}" for _ in range(9000)]
+    item, text = " ".join(words), "before " + " ".join(words[:2000] + ["changed"] + words[2000:]) + " behind"
+    bench = spark.createDataFrame([(7, item), (8, "short item of its own, in words")], "item_id long, text string")
+    got = decontamination.contaminated_passages(docs_of(spark, [(1, text), (2, "clean " * 5000), (3, "a SHORT item of its own in words")]), bench, longest=16_384, block_chars=40_000).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (3, 8)}
+    mine = sorted((r.start, r.end) for r in got if r.doc_id == 1)
+    assert len(mine) == -(-len(item) // 16_384) and mine[0][0] == 7 and mine[-1][1] == len(text) - 7 and all(b >= c - 1 for (_, b), (c, _) in zip(mine, mine[1:]))
+
+
 def test_leak_edges(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "tiny one"), (4, "a somewhat longer item, it is")], "item_id long, text string")
     rows = [*EDGE, (20, "A TINY one!"), (21, "destiny one"), (22, "x. A somewhat LONGER item; it is y")]
@@ -488,7 +499,6 @@ def test_records_round_trip(spark, documents, tmp_path):
     token_records.write_records(df, path, registry.tokenizer_file(), partitions=3)
     got = token_records.read_records(spark, path).orderBy("doc_id").collect()
     t = Tokenizer.from_file(registry.tokenizer_file())
-    t.encode_special_tokens = True
     start = 0
     rows = df.orderBy("doc_id").collect()
     assert len(got) == len(rows)
@@ -519,6 +529,10 @@ def test_records_in_any_order_and_damage(spark, tmp_path):
     assert sum(f["records"] for f in files) == len(EDGE)
     ids = [token_records.read_record(path, files[0]["file"], n)[0] for n in reversed(range(files[0]["records"]))]
     assert ids == [7, 6, 6, 5, 4, 3, 2, 1, None][: len(ids)]
+    (tmp_path / "r/part-lost.rec").write_bytes(b"of a lost attempt")
+    token_records.write_records(docs_of(spark, EDGE), path, registry.tokenizer_file(), partitions=1)
+    files = json.loads((tmp_path / "r/manifest.json").read_text())
+    assert sorted(p.name for p in (tmp_path / "r").iterdir() if p.suffix != ".crc") == sorted(["manifest.json", *(f["file"] + end for f in files for end in (".idx", ".rec"))])
     data = bytearray((tmp_path / f"r/{files[0]['file']}.rec").read_bytes())
     data[30] ^= 1
     with pytest.raises(ValueError):
@@ -554,6 +568,18 @@ def test_repeats(spark, documents):
     assert cut[9000] == text[9000] and len(cut[9001]) < len(text[9001]) - 150
 
 
+def test_repeats_of_several_texts_with_one_id(spark):
+    rng = np.random.default_rng(6)
+    a, b = (" ".join(f"w{rng.integers(10**7)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a), (1, "x " * 40 + b), (1, a), (2, a), (3, b), (4, "y " + b)]
+    got = substring_dedup.repeated_passages(docs_of(spark, rows)).collect()
+    assert collections.Counter(r.doc_id for r in got) == {1: 2, 2: 1, 3: 1, 4: 1} and all(r.first_doc == 1 for r in got)
+    cut = collections.defaultdict(list)
+    for r in substring_dedup.without_repeats(docs_of(spark, rows)).collect():
+        cut[r.doc_id].append(r.text)
+    assert sorted(cut[1]) == sorted([a, a, "x " * 40 + b]) and len(cut[2][0]) < 40 and len(cut[3][0]) < 80 and cut[4][0].startswith("y")
+
+
 def test_chunks_cover_and_fall_into_step():
     data = np.frombuffer(("émile " + "the quick brown fox jumps over " * 3 + "x" * 900 + " and " + " ".join(str(i * i) for i in range(400))).encode(), dtype=np.uint8)
     ends = substring_dedup.cuts(data)

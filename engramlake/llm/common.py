@@ -4,28 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is configured."""
+    """The shared folder of the session; one of our own only where none is configured and all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _watching:
+        paths.append(path)
+    return path
+
+
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def scratch_paths() -> Iterator[list[str]]:
+    """The paths in the shared folder that are given out meanwhile."""
+    _watching.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _watching.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +68,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept_by_worker(name: str, key: object, make: Callable[[], T]) -> T:
+    """What a worker process needs for one operator and would be slow to make for each task.
+
+    Asked for under another name, it forgets the old: of all large tables a worker holds one."""
+    if name not in _kept or _kept[name][0] != key:
+        _kept.clear()
+        _kept[name] = (key, make())
+    return _kept[name][1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points
+from .common import code_points, kept_by_worker
 
 AT_ONCE = 512  # texts that are parsed together
 STEPS, FEW = 256, 8  # symbols after which finished texts leave; so few texts are parsed one by one
@@ -92,7 +92,6 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return goes
 
 
-@lru_cache(maxsize=1)
 def parse_table(model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One table for all languages, the row of each one's root, and log2 of the symbols it learned.
 
@@ -123,7 +122,7 @@ def parse_table(model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def cross_entropies(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """Bits per symbol of each text under each language, and the part of a single phrase in them;
     NaN for texts without a letter."""
-    table, roots, logs = parse_table(model)
+    table, roots, logs = kept_by_worker("language tables", model, lambda: parse_table(model))
     width = FIRST + len(model.letters) + 1
     seqs = [symbols(t or "", model.letters) for t in texts]
     sizes = np.array([len(s) for s in seqs], dtype=np.int64)

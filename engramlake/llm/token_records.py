@@ -32,11 +32,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, scratch_path
+from .common import kept_by_worker, rows_of, scratch_path
 
 MASK_DELTA = 0xA282EAD8
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<qBBI")
 END_ID = 0
+RECORDS = "token-records"  # how folders of records in the shared folder are called
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -86,10 +87,9 @@ class Memory(dict):
         return value
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, added_tokens: bool) -> Encoder:
     """One for all tasks of a worker process, so that what it remembers serves the next task too."""
-    return Encoder(path, added_tokens)
+    return kept_by_worker("encoder", (path, added_tokens), lambda: Encoder(path, added_tokens))
 
 
 class Encoder:
@@ -252,9 +252,13 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def is_record_folder(path: str) -> bool:
+    return path.rpartition("/")[2].startswith(f"{RECORDS}-")
+
+
 def token_digest(docs: DataFrame, tokenizer: str, path_of: Callable[[SparkSession, str], str] = scratch_path) -> DataFrame:
     """Write ``docs`` as records in the shared folder, encoded as encode(add_special_tokens=False)
     does, and read the files back."""
-    path = path_of(docs.sparkSession, "token-records")
+    path = path_of(docs.sparkSession, RECORDS)
     write_records(docs, path, tokenizer)
     return read_records(docs.sparkSession, path)

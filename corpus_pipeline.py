@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from engramlake.llm import decontamination, language_id, mixing, ngram_join, registry, token_records
-from engramlake.llm.common import stored, table
+from engramlake.llm.common import discard, scratch_paths, stored, table
+from engramlake.llm.token_records import is_record_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns; of the shared folder's tables only that one and the records stay."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch_paths() as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        discard(spark, before + [p for p in made[:-1] if not is_record_folder(p)])
+        before = made[-1:]
     return docs

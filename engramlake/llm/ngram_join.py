@@ -240,7 +240,8 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, r
     member = member.join(reps, "set_key").select("tree", "path", "cell", "block", "set_key", "rep", "copies", "size", "sig")
 
     def by_node(df: DataFrame) -> DataFrame:
-        return df.repartition("tree", "path", "cell").sortWithinPartitions("tree", "path", "cell", branch(depth))
+        # ranges hold about as many rows each, whatever the sizes of the cells; a cell is never cut
+        return df.repartitionByRange("tree", "path", "cell").sortWithinPartitions("tree", "path", "cell", branch(depth))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The members that may have a link to be judged in their cell."""

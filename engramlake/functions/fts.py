@@ -8,6 +8,7 @@ their positions, and stems.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +19,7 @@ from .scalar import text_or_empty
 from .stemming import STOP_WORDS, stem, stem_tokens
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+REACH = 100  # fixed value: positions beyond which two words say nothing about each other
 NORMALIZER = 1.64493406685  # of ranks: the sum of 1 / n^2
 
 
@@ -27,24 +29,39 @@ def words(text: Column, config: str = "simple") -> Column:
     return plain if config == "simple" else stem_tokens(plain)
 
 
-def weighted_vector(fields: list[tuple[Column, str]]) -> Column:
-    """Tokens of several fields (arrays of words) with weights A to D; positions go on from field to field."""
-    parts, before = [], F.lit(0)
-    for tokens, weight in fields:
-        parts.append(_placed(tokens, before, WEIGHTS[weight]))
-        before = before + F.size(tokens)
-    return F.filter(F.concat(*parts), lambda t: t["token"].isNotNull())
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_vector(df: DataFrame, fields: list[tuple[str, str]], config: str = "simple", target: str = "vector") -> DataFrame:
-    """id and the weighted vector of text columns; stems come from a UDF, so words are columns first."""
+def weighted_vector(fields: list[tuple[Column, str]], only: list[str] | None = None) -> Column:
+    """Tokens of several fields (arrays of words) with weights A to D, or certain tokens alone;
+    positions go on from field to field."""
+
+    def placed(words: Column) -> Column:
+        parts, before = [], F.lit(0)
+        for k, (_, weight) in enumerate(fields):
+            parts.append(_placed(words[k], before, WEIGHTS[weight], only))
+            before = before + F.size(words[k])
+        return F.concat(*parts)
+
+    return once(F.array(*[tokens for tokens, _ in fields]), placed)
+
+
+def with_vector(df: DataFrame, fields: list[tuple[str, str]], config: str = "simple", target: str = "vector", only: list[str] | None = None) -> DataFrame:
+    """id and the weighted vector of text columns, of certain tokens alone if they are given; stems
+    come from a UDF, so words are columns first."""
     names = [f"__words_{i}" for i in range(len(fields))]
     made = df.select("id", *[words(F.col(c), config).alias(n) for (c, _), n in zip(fields, names)])
-    return made.select("id", weighted_vector([(F.col(n), w) for (_, w), n in zip(fields, names)]).alias(target))
+    return made.select("id", weighted_vector([(F.col(n), w) for (_, w), n in zip(fields, names)], only).alias(target))
 
 
-def _placed(tokens: Column, shift: Column, weight: float) -> Column:
-    return F.transform(tokens, lambda w, i: F.struct(w.alias("token"), (i + 1 + shift).cast("int").alias("pos"), F.lit(weight).alias("weight")))
+def _placed(tokens: Column, shift: Column, weight: float, only: list[str] | None) -> Column:
+    def one(w: Column, i: Column) -> Column:
+        placed = F.struct(w.alias("token"), (i + 1 + shift).cast("int").alias("pos"), F.lit(weight).alias("weight"))
+        return F.when(w.isNotNull() if only is None else w.isin(only), placed)
+
+    return F.filter(F.transform(tokens, one), lambda t: t.isNotNull())
 
 
 @dataclass(frozen=True)
@@ -70,22 +87,50 @@ def parse_query(query: str, config: str = "simple") -> list[list[Term]]:
     return [g for g in groups if g]
 
 
-def matches(vector: Column, query: list[list[Term]]) -> Column:
-    """Whether a document's vector satisfies a parsed query; an empty query matches nothing."""
-    def holds(term: Term) -> Column:
-        first = F.exists(vector, lambda t: t["token"] == term.tokens[0])
-        if len(term.tokens) > 1:
-            starts = _positions(vector, term.tokens[0])
-            for k, token in enumerate(term.tokens[1:], 1):
-                starts = F.array_intersect(starts, F.transform(_positions(vector, token), _minus(k)))
-            first = F.size(starts) > 0
-        return ~first if term.negated else first
+def query_tokens(query: list[list[Term]]) -> list[str]:
+    """The tokens that count for the rank."""
+    return list(dict.fromkeys(w for g in query for t in g if not t.negated for w in t.tokens))
+
 
+def _all_of(query: list[list[Term]], holds: Callable[[Term], Column]) -> Column:
     if not query:
         return F.lit(False)
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(holds, g)) for g in query])
 
 
+def matches(vector: Column, query: list[list[Term]]) -> Column:
+    """Whether a document's vector satisfies a parsed query; an empty query matches nothing."""
+
+    def in_vector(v: Column) -> Column:
+        def holds(term: Term) -> Column:
+            first = F.exists(v, lambda t: t["token"] == term.tokens[0])
+            if len(term.tokens) > 1:
+                starts = _positions(v, term.tokens[0])
+                for k, token in enumerate(term.tokens[1:], 1):
+                    starts = F.array_intersect(starts, F.transform(_positions(v, token), _minus(k)))
+                first = F.size(starts) > 0
+            return ~first if term.negated else first
+
+        return _all_of(query, holds)
+
+    return once(vector, in_vector) if query else F.lit(False)
+
+
+def text_matches(fields: list[Column], query: list[list[Term]]) -> Column:
+    """The same for ``simple`` tokens, read off the text: no word is split or placed for it."""
+    text = F.lower(F.concat_ws(" ", *[text_or_empty(c) for c in fields]))
+
+    def in_text(t: Column) -> Column:
+        def holds(term: Term) -> Column:
+            # containment is cheap, and most texts fail it
+            found = F.contains(t, F.lit(term.tokens[0])) & t.rlike("(?<![a-z0-9])" + "[^a-z0-9]++".join(term.tokens) + "(?![a-z0-9])")
+            return ~found if term.negated else found
+
+        return _all_of(query, holds)
+
+    return once(text, in_text) if query else F.lit(False)
+
+
 def _minus(k: int):
     return lambda p: p - k
 
@@ -104,30 +149,57 @@ def _single(hits: Column) -> Column:
 
 def _pair(a: Column, b: Column) -> Column:
     """What is left of 1 after all occurrences of two terms: the product of 1 - closeness."""
+
     def over_b(s: Column, x: Column) -> Column:
         def one(r: Column, y: Column) -> Column:
             d = F.abs(x["pos"] - y["pos"])
-            near = F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
-            return F.when(d > 0, r * (1 - F.sqrt(x["weight"] * y["weight"] * near))).otherwise(r)
+            return F.when(d.between(1, REACH), r * (1 - F.sqrt(x["weight"] * y["weight"] * _near(d)))).otherwise(r)
 
         return F.aggregate(b, s, one)
 
     return F.aggregate(a, F.lit(1.0), over_b)
 
 
+def _near(d: Column) -> Column:
+    return 1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))
+
+
 def rank(vector: Column, query: list[list[Term]]) -> Column:
-    """The rank of a document: terms that all must hold count by closeness, others by occurrence."""
-    tokens = list(dict.fromkeys(w for g in query for t in g if not t.negated for w in t.tokens))
+    """The rank of a document: terms that all must hold count by closeness, others by occurrence.
+
+    Each pair of occurrences is looked at; for long texts ``pair_ranks`` does the same by joins."""
+    tokens = query_tokens(query)
     if not tokens:
         return F.lit(0.0)
 
-    def of(w: str) -> Column:
-        return F.filter(vector, lambda t: t["token"] == w)
+    def of(v: Column) -> Column:
+        hits = [F.filter(v, _is(w)) for w in tokens]
+        if by_pairs(query):
+            return 1 - reduce(lambda a, b: a * b, [_pair(a, b) for i, a in enumerate(hits) for b in hits[i + 1 :]])
+        return reduce(lambda a, b: a + b, [once(h, _single) for h in hits]) / len(tokens)
+
+    return once(vector, of)
+
+
+def _is(token: str) -> Callable[[Column], Column]:
+    return lambda t: t["token"] == token
+
+
+def by_pairs(query: list[list[Term]]) -> bool:
+    """Whether the rank is that of terms that all must hold."""
+    return len(query) == 1 and len(query_tokens(query)) > 1
+
+
+def pair_ranks(vectors: DataFrame, query: list[list[Term]]) -> DataFrame:
+    """id and rank of ``vectors(id, vector)`` by the closeness of each two different terms.
 
-    if len(query) == 1 and len(tokens) > 1:
-        left = F.lit(1.0)
-        for i, a in enumerate(tokens):
-            for b in tokens[i + 1 :]:
-                left = left * _pair(of(a), of(b))
-        return 1 - left
-    return reduce(lambda a, b: a + b, [_single(of(w)) for w in tokens]) / len(tokens)
+    1 minus the product of 1 - closeness over all pairs of occurrences; only those within reach meet,
+    by stretches of the text, so a long text costs no more than its length."""
+    order = F.array(*map(F.lit, query_tokens(query)))
+    hits = vectors.select("id", F.explode("vector").alias("t")).select("id", F.array_position(order, F.col("t.token")).alias("n"), "t.pos", "t.weight").filter("n > 0")
+    stretch = F.floor(F.col("pos") / REACH)
+    a = hits.select("id", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("weight").alias("w"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    d = F.abs(F.col("pos") - F.col("at"))
+    pairs = a.join(hits.withColumn("stretch", stretch), ["id", "stretch"]).filter((F.col("m") < F.col("n")) & d.between(1, REACH))
+    apart = pairs.groupBy("id").agg(F.exp(F.sum(F.log(1 - F.sqrt(F.col("w") * F.col("weight") * _near(d))))).alias("apart"))
+    return vectors.select("id").join(apart, "id", "left").select("id", (1 - F.coalesce("apart", F.lit(1.0))).alias("rank"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import EXTRACTED_OBSERVATION, EXTRACTED_SUMMARY
-from .scalar import list_or_empty, strip_reminders, text_or_empty
+from .scalar import list_or_empty, rfc3339, strip_reminders, text_or_empty
 
 # fixed values: other names under which hooks send a field
 ALIASES = {
@@ -79,3 +79,26 @@ def parse_observation(json: Column) -> Column:
 
 def parse_summary(json: Column) -> Column:
     return F.when(F.try_parse_json(json).isNotNull() & json.rlike(r"^\s*\{"), F.from_json(json, EXTRACTED_SUMMARY))
+
+
+# fixed values: the fields of responses, by kind
+RESPONSES = {
+    "search": ("id", "type", "title", "subtitle", "narrative", "project", "created_at", "combined_score"),
+    "timeline": ("id", "type", "title", "subtitle", "narrative", "project", "created_at"),
+    "stats": ("sessions", "observations", "summaries"),
+}
+
+
+def encoded(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with ``json``: each row as a response of a kind shows it, times as RFC 3339."""
+    times = {f.name for f in rows.schema.fields if f.dataType.typeName() == "timestamp"}
+    fields = [(rfc3339(F.col(c)) if c in times else F.col(c)).alias(c) for c in RESPONSES[kind]]
+    return rows.withColumn("json", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
+def response(results: DataFrame, query: str, by: tuple[Column, ...], kind: str = "search") -> DataFrame:
+    """One row: the JSON of a search response, its results (a limited list) in order."""
+    rows = encoded(results, kind).select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], "json").alias("r"))
+    listed = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"])
+    head = F.concat(F.lit('{"query":'), F.substring(F.to_json(F.array(F.lit(query))), F.lit(2), F.length(F.to_json(F.array(F.lit(query)))) - 2), F.lit(',"total":'))
+    return rows.agg(F.concat(head, F.count("*").cast("string"), F.lit(',"results":['), F.array_join(listed, ","), F.lit("]}")).alias("body"))

@@ -38,13 +38,26 @@ class HashEmbedder:
         return out
 
 
+class HttpError(Exception):
+    """An answer with a status that isn't 200."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(f"status {status}: {message}")
+        self.status = status
+
+
+def may_pass(error: Exception) -> bool:
+    """Whether a call may succeed when it is made again: lost connections, too many requests, server errors."""
+    return isinstance(error, ConnectionError) or isinstance(error, HttpError) and (error.status == 429 or error.status >= 500)
+
+
 def with_retry(call: Callable[[], object], retries: int = 5, sleep: Callable[[float], None] = time.sleep):
-    """Runs a call again after 1, 2, 4 ... seconds while it raises ConnectionError."""
+    """Runs a call again after 1, 2, 4 ... seconds while it fails in a way that may pass."""
     for attempt in range(retries + 1):
         try:
             return call()
-        except ConnectionError:
-            if attempt == retries:
+        except (ConnectionError, HttpError) as e:
+            if attempt == retries or not may_pass(e):
                 raise
             sleep(2.0**attempt)
 

@@ -149,3 +149,13 @@ def day_label(ts: Column) -> Column:
 
 def time_label(ts: Column) -> Column:
     return F.date_format(ts, "h:mm a")
+
+
+def rfc3339(ts: Column) -> Column:
+    """A time in UTC to the second, as responses give it."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def random_id() -> Column:
+    """A random id in the form of a UUID, a new one for each row."""
+    return F.uuid()

@@ -24,6 +24,22 @@ def upsert_sessions(old: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.groupBy("content_session_id").agg(F.min_by("started_at_epoch", at).alias("started_at_epoch"), F.max_by("project", at).alias("project"))
 
 
+def upsert_session_rows(old: DataFrame, incoming: DataFrame, new_id: Column) -> DataFrame:
+    """Whole session rows after ``incoming(content_session_id, project, started_at_epoch)``.
+
+    A known session keeps all of its row but the project, which is that of its last arrival; an
+    unknown one begins, active, with its first arrival and the memory session ``new_id``.  Its id is
+    a hash of content_session_id, for no sequence is at hand that tasks could share."""
+    at = F.struct("started_at_epoch", "project")
+    arrived = incoming.groupBy("content_session_id").agg(F.min("started_at_epoch").alias("__start"), F.max_by("project", at).alias("__project"))
+    both = old.withColumn("__known", F.lit(True)).join(arrived, "content_session_id", "full")
+    fresh = F.col("__known").isNull()
+    first = {"id": F.xxhash64("content_session_id"), "memory_session_id": new_id, "started_at_epoch": F.col("__start"), "status": F.lit("active"), "sync_version": F.lit(0).cast("long")}
+    first |= {"started_at": F.timestamp_seconds("__start")} if "started_at" in old.columns else {}
+    filled = {c: F.when(fresh, v).otherwise(F.col(c)) for c, v in first.items()}
+    return both.withColumns(filled | {"project": F.coalesce("__project", "project")}).select(*old.columns)
+
+
 def complete_sessions(sessions: DataFrame, stops: DataFrame) -> DataFrame:
     """Sessions with a stop event (content_session_id, at_epoch) are completed at the latest one."""
     last = stops.groupBy("content_session_id").agg(F.max("at_epoch").alias("__at"))
@@ -99,6 +115,71 @@ def mark_synced(df: DataFrame, sync_ids: DataFrame, version: int) -> DataFrame:
     return out.withColumn("sync_version", F.when(F.col("__hit"), F.lit(version).cast("long")).otherwise(F.col("sync_version"))).drop("__hit").select(*df.columns)
 
 
+# fixed values: what the collections of a push are called
+COLLECTIONS = {"sdk_sessions": "sessions", "observations": "observations", "session_summaries": "summaries", "user_prompts": "prompts"}
+
+
+def push_body(tables: dict[str, DataFrame], machine: str, limit: int = PAGE) -> DataFrame:
+    """One row: the JSON document of a push, at most ``limit`` waiting rows of each table with all
+    their columns, vectors too.  Without any row it is still sent, as a sign of life."""
+    parts = [unsynced(df, limit).select(F.lit(t).alias("table_name"), "id", F.to_json(F.struct(*df.columns)).alias("row")) for t, df in tables.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    lists = []
+    for t in tables:
+        own = F.array_sort(F.collect_list(F.when(F.col("table_name") == t, F.struct("id", "row"))))  # at most limit rows
+        lists += [F.lit(f',"{COLLECTIONS[t]}":['), F.array_join(F.transform(own, lambda r: r["row"]), ","), F.lit("]")]
+    name = F.to_json(F.struct(F.lit(machine).alias("machine_id")))
+    return rows.agg(F.concat(F.expr("'{'"), F.substring(name, F.lit(2), F.length(name) - 2), *lists, F.lit("}")).alias("body"))
+
+
+def pushed_rows(bodies: DataFrame) -> DataFrame:
+    """machine_id, table_name and row (JSON) of the documents of pushes; empty collections have none."""
+    parts = []
+    for t, name in COLLECTIONS.items():
+        listed = F.from_json(F.get_json_object("body", f"$.{name}"), "array<string>")
+        parts.append(bodies.select(F.get_json_object("body", "$.machine_id").alias("machine_id"), F.lit(t).alias("table_name"), F.explode(listed).alias("row")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pull_all(df: DataFrame, requester: str, cursor: Column | int) -> DataFrame:
+    """What pages after pages would bring until one is empty, in one pass: all rows after the cursor
+    that didn't come from the requester."""
+    return df.filter((F.col("id") > cursor) & ~F.col("sync_source").eqNullSafe(requester))
+
+
+def stored_cursors(settings: DataFrame) -> dict[str, int]:
+    """Where each table's next pull begins, as the settings say; a row a table."""
+    keys = {f"pull_cursor:{t}": t for t in COLLECTIONS}
+    rows = settings.filter(F.col("key").isin(list(keys))).select("key", F.col("value").try_cast("long").alias("at")).collect()
+    return {t: 0 for t in COLLECTIONS} | {keys[r.key]: r["at"] for r in rows if r["at"] is not None}
+
+
+def import_pulled(pulled: DataFrame, local: DataFrame, sessions: DataFrame | None, key: str = "sync_id") -> tuple[DataFrame, DataFrame]:
+    """Pulled rows that are new here, and those that are refused since their session is unknown."""
+    refused = pulled.filter("false") if sessions is None else orphans(pulled, sessions)
+    known = pulled if sessions is None else pulled.join(sessions.select("memory_session_id").distinct(), "memory_session_id", "left_semi").select(*pulled.columns)
+    return new_rows(known, local, key), refused
+
+
+def sync_cycle(local: dict[str, DataFrame], remote: dict[str, DataFrame], settings: DataFrame, machine: str, version: int, now: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The local tables and settings after one push and one pull.
+
+    A push takes at most a page of each table and marks its rows with ``version``; a pull goes on
+    until nothing is left, begins behind the stored cursors and stores new ones.  Sessions are
+    imported first, as rows of the other tables need theirs."""
+    cursors, tables, written = stored_cursors(settings), {}, [("last_push", now), ("last_pull", now)]
+    spark = settings.sparkSession
+    pulled = {t: pull_all(remote[t], machine, cursors[t]) for t in local}
+    for t in sorted(local, key=lambda t: t != "sdk_sessions"):
+        own = mark_synced(local[t], unsynced(local[t]), version)
+        sessions = tables["sdk_sessions"] if "memory_session_id" in own.columns and t != "sdk_sessions" and "sdk_sessions" in tables else None
+        fresh, _ = import_pulled(pulled[t], local[t], sessions, "content_session_id" if t == "sdk_sessions" else "sync_id")
+        tables[t] = own.unionByName(fresh.select(*own.columns))
+    seen = reduce(DataFrame.unionByName, [p.agg(F.lit(f"pull_cursor:{t}").alias("key"), F.max("id").cast("string").alias("value")) for t, p in pulled.items()]).filter("value is not null")
+    changed = seen.unionByName(spark.createDataFrame(written, "key string, value string")).withColumn("seq", F.lit(0))
+    return tables, settings_upsert(settings, changed)
+
+
 def sync_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """Per table its rows and those still to be pushed."""
     waiting = F.count_if(F.col("sync_id").isNotNull() & (F.col("sync_version") == 0))

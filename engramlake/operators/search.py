@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +26,26 @@ def newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("created_at_epoch"), F.desc("id")).limit(limit)
 
 
+def matching(df: DataFrame, fields: list[tuple[str, str]], query: str, config: str = "simple") -> DataFrame:
+    """The rows that match a web search string."""
+    parsed = fts.parse_query(query, config)
+    if config == "simple":
+        return df.filter(fts.text_matches([F.col(c) for c, _ in fields], parsed))
+    found = fts.with_vector(df, fields, config, only=sorted({w for g in parsed for t in g for w in t.tokens}))
+    return df.join(found.filter(fts.matches(F.col("vector"), parsed)).select("id"), "id", "left_semi")
+
+
 def text_hits(df: DataFrame, fields: list[tuple[str, str]], query: str, config: str = "simple") -> DataFrame:
     """id and text_rank of the rows that match a web search string."""
     parsed = fts.parse_query(query, config)
-    # whole-text containment of a token is cheap, and implied by a match: most rows go before any is split
-    need = [reduce(lambda a, b: a | b, [F.contains(F.lower(text_or_empty(F.col(c))), F.lit(t.tokens[0])) for c, _ in fields]) for t in parsed[0] if not t.negated] if len(parsed) == 1 and config == "simple" else []
-    for cond in need:
-        df = df.filter(cond)
-    made = fts.with_vector(df, fields, config)
-    return made.filter(fts.matches(F.col("vector"), parsed)).select("id", fts.rank(F.col("vector"), parsed).alias("text_rank"))
+    if config == "simple":  # words are placed only where the text matches
+        made = fts.with_vector(matching(df, fields, query), fields, only=fts.query_tokens(parsed))
+    else:
+        made = fts.with_vector(df, fields, config, only=sorted({w for g in parsed for t in g for w in t.tokens}))
+        made = made.filter(fts.matches(F.col("vector"), parsed))
+    if fts.by_pairs(parsed):
+        return fts.pair_ranks(made, parsed).withColumnRenamed("rank", "text_rank")
+    return made.select("id", fts.rank(F.col("vector"), parsed).alias("text_rank"))
 
 
 def nearest(df: DataFrame, vector: list[float], k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ ORACLES: dict[str, str] = {}
 
 PROJECT, OTHER, WORD = "src1", "src2", "that"
 FIRST, LAST = 1704067200 + 100 * 600, 1704067200 + 400 * 600
-OBS, SUMS, SESS, PROMPTS = memory.observations, memory.summaries, memory.sessions, memory.user_prompts
+VECTORS = memory.observations  # observations with their vectors
+OBS, SUMS, SESS, PROMPTS = partial(memory.observations, vectors=False), memory.summaries, memory.sessions, memory.user_prompts
 TABLES = {"observations": (OBS, "obs"), "sdk_sessions": (SESS, "sess"), "session_summaries": (SUMS, "sums"), "user_prompts": (PROMPTS, "prompts")}
 
 
@@ -171,7 +173,7 @@ def _(s, d):
 
 @query("missing_embeddings", sql("SELECT 'observations' AS table_name, count(*) FILTER (WHERE embedding IS NULL) AS missing, count(*) AS total FROM obs UNION ALL SELECT 'session_summaries', count(*) FILTER (WHERE embedding IS NULL), count(*) FROM sums UNION ALL SELECT 'user_prompts', count(*), count(*) FROM prompts"))
 def _(s, d):
-    return lists.missing_embeddings(OBS(s, d), SUMS(s, d), PROMPTS(s, d))
+    return lists.missing_embeddings(VECTORS(s, d), SUMS(s, d), PROMPTS(s, d))
 
 
 @query("prompt_numbering", sql("SELECT id, content_session_id, CAST(row_number() OVER (PARTITION BY content_session_id ORDER BY created_at_epoch, id) + coalesce((SELECT max(prompt_number) FROM prompts p WHERE p.content_session_id = t.content_session_id AND p.id % 2 = 0), 0) AS BIGINT) AS prompt_number FROM prompts t WHERE id % 2 = 1"))
@@ -192,12 +194,12 @@ def _(s, d):
 
 @query("semantic_topk", sql(f"SELECT id, round(sc, 6) + 0.0 AS semantic_score FROM (SELECT id, {cosine('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 1)')} AS sc FROM obs WHERE embedding IS NOT NULL) ORDER BY sc DESC, id LIMIT 30"))
 def _(s, d):
-    return rounded(search.nearest(OBS(s, d), query_vector(s, d), 30), "semantic_score")
+    return rounded(search.nearest(VECTORS(s, d), query_vector(s, d), 30), "semantic_score")
 
 
 @query("ann_topk_lsh")
 def _(s, d):
-    return search.lsh_nearest(OBS(s, d), query_vector(s, d), 30)
+    return search.lsh_nearest(VECTORS(s, d), query_vector(s, d), 30)
 
 
 @query("fts_tokens", sql("SELECT token, count(DISTINCT id) AS observations, count(*) AS occurrences FROM tok GROUP BY token", TOKENS))
@@ -210,8 +212,7 @@ def _(s, d):
 def _match(text: str, condition: str, name: str) -> None:
     @query(name, sql(f"SELECT id FROM (SELECT id, list(token) AS l, ' ' || string_agg(token, ' ' ORDER BY pos) || ' ' AS t FROM tok GROUP BY id) WHERE {condition}", TOKENS))
     def _(s, d):
-        v = fts.with_vector(OBS(s, d), search.OBSERVATION_FIELDS, target="v")
-        return v.filter(fts.matches(F.col("v"), fts.parse_query(text))).select("id")
+        return search.matching(OBS(s, d), search.OBSERVATION_FIELDS, text).select("id")
 
 
 _match("that with", "list_contains(l, 'that') AND list_contains(l, 'with')", "fts_match_and")
@@ -236,9 +237,9 @@ def _(s, d):
 _NEAR = "CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)) END"
 
 
-@query("fts_rank_and", sql(f"SELECT a.id, round(1 - product(1 - sqrt(a.w * b.w * {_NEAR})), 6) AS text_rank FROM tok a JOIN tok b ON b.id = a.id AND b.token = 'with' WHERE a.token = 'that' AND a.project = '{PROJECT}' GROUP BY a.id", TOKENS))
+@query("fts_rank_and", sql(f"SELECT a.id, round(1 - product(1 - sqrt(a.w * b.w * {_NEAR})), 6) AS text_rank FROM tok a JOIN tok b ON b.id = a.id AND b.token = 'with' WHERE a.token = 'that' GROUP BY a.id", TOKENS))
 def _(s, d):
-    return rounded(search.text_hits(OBS(s, d).filter(F.col("project") == PROJECT), search.OBSERVATION_FIELDS, "that with"), "text_rank")
+    return rounded(search.text_hits(OBS(s, d), search.OBSERVATION_FIELDS, "that with"), "text_rank")
 
 
 @query("fts_english")
@@ -261,7 +262,7 @@ _SHOWN = "id, type, title, subtitle, narrative, project, created_at, round(tr, 6
 
 @query("hybrid_search", sql(f"SELECT {_SHOWN} FROM ({_HYBRID_OBS})", TOKENS, single_rank(WORD, f"project = '{PROJECT}'"), _hybrid_sql("obs", f"project = '{PROJECT}'")))
 def hybrid(s, d):
-    return rounded(search.hybrid_search(OBS(s, d), WORD, query_vector(s, d), PROJECT), *search._SCORES)
+    return rounded(search.hybrid_search(VECTORS(s, d), WORD, query_vector(s, d), PROJECT), *search._SCORES)
 
 
 _SUM_TOKENS = """
@@ -289,7 +290,7 @@ _HYBRID_ALL_OBS = _HYBRID_OBS.replace(f"o.project = '{PROJECT}' AND ", "")
 
 @query("hybrid_search_all", sql(f"SELECT {_SHOWN} FROM (SELECT * FROM ({_HYBRID_ALL_OBS}) UNION ALL SELECT * FROM ({_HYBRID_SUMS})) ORDER BY cs DESC, type, id LIMIT 10", TOKENS, single_rank(WORD), _hybrid_sql("obs", "TRUE"), _SUM_TOKENS))
 def _(s, d):
-    return rounded(search.hybrid_search_all(OBS(s, d), SUMS(s, d), WORD, query_vector(s, d)), *search._SCORES)
+    return rounded(search.hybrid_search_all(VECTORS(s, d), SUMS(s, d), WORD, query_vector(s, d)), *search._SCORES)
 
 
 # context
@@ -354,6 +355,14 @@ def _(s, d):
     return changes.upsert_sessions(SESS(s, d).filter("id % 2 = 0"), arriving)
 
 
+@query("upsert_session_rows", sql("SELECT s.id, content_session_id, memory_session_id, coalesce(n.project, s.project) AS project, started_at_epoch, status FROM sess s LEFT JOIN (SELECT content_session_id, arg_max('new' || (conv_id % 5), (epoch, 'new' || (conv_id % 5))) AS project FROM turns GROUP BY 1) n USING (content_session_id) WHERE s.id % 2 = 0 UNION ALL SELECT NULL, content_session_id, 'mem-' || content_session_id, 'new' || (conv_id % 5), min(epoch), 'active' FROM turns WHERE conv_id % 2 = 1 GROUP BY ALL"))
+def _(s, d):
+    arriving = memory._turns(s, d).select("content_session_id", F.concat(F.lit("new"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.col("epoch").alias("started_at_epoch"))
+    out = changes.upsert_session_rows(SESS(s, d).filter("id % 2 = 0"), arriving, F.concat(F.lit("mem-"), F.col("content_session_id")))
+    new = F.col("memory_session_id").startswith("mem-")
+    return out.select(F.when(~new, F.col("id")).alias("id"), "content_session_id", "memory_session_id", "project", "started_at_epoch", "status")
+
+
 @query("complete_sessions", sql("SELECT s.id, CASE WHEN t.e IS NULL THEN status ELSE 'completed' END AS status, coalesce(t.e, completed_at_epoch) AS completed_at_epoch FROM sess s LEFT JOIN (SELECT content_session_id, max(created_at_epoch) AS e FROM prompts WHERE id % 3 = 0 GROUP BY 1) t ON t.content_session_id = s.content_session_id"))
 def _(s, d):
     stops = PROMPTS(s, d).filter("id % 3 = 0").select("content_session_id", F.col("created_at_epoch").alias("at_epoch"))
@@ -412,10 +421,10 @@ def _(s, d):
     return changes.mark_synced(o, o.filter("sync_version = 0 and id % 2 = 0"), 1_800_000_000).select("id", "sync_version")
 
 
-@query("sync_import_dedup", sql("SELECT id, sync_id FROM obs WHERE id % 4 <> 0 AND (sync_id IS NULL OR sync_id NOT IN (SELECT sync_id FROM obs WHERE id % 3 = 0 AND sync_id IS NOT NULL))"))
+@query("sync_import_dedup", sql("SELECT id, sync_id FROM obs WHERE sync_id IS NULL OR sync_id NOT IN (SELECT sync_id FROM obs WHERE id % 3 = 0 AND sync_id IS NOT NULL)"))
 def _(s, d):
     o = OBS(s, d)
-    page = o.filter("id % 4 <> 0").select("id", "sync_id")
+    page = o.select("id", "sync_id")
     return changes.new_rows(page.unionByName(page.filter("sync_id is not null")), o.filter("id % 3 = 0"), "sync_id")
 
 
@@ -424,9 +433,9 @@ def _(s, d):
     return changes.import_counts(OBS(s, d), SESS(s, d))
 
 
-@query("sync_fk_orphans", sql("SELECT id, memory_session_id FROM obs WHERE memory_session_id NOT IN (SELECT memory_session_id FROM sess)"))
+@query("sync_fk_orphans", sql("SELECT id, memory_session_id FROM obs WHERE memory_session_id NOT IN (SELECT memory_session_id FROM sess WHERE id % 3 <> 0)"))
 def _(s, d):
-    return changes.orphans(OBS(s, d), SESS(s, d)).select("id", "memory_session_id")
+    return changes.orphans(OBS(s, d), SESS(s, d).filter("id % 3 <> 0")).select("id", "memory_session_id")
 
 
 @query("sync_push_batch")
@@ -468,13 +477,13 @@ def _(s, d):
 @query("apply_embeddings", sql("SELECT o.id, e.label IS NOT NULL AS arrived, coalesce(list_sum(CAST(coalesce(e.embedding, o.embedding)[1:1] AS DOUBLE[])), 0) AS first FROM obs o LEFT JOIN (SELECT vec_id + 200 AS id, embedding, label FROM embeddings) e ON e.id = o.id"))
 def _(s, d):
     e = memory.read(s, d, "embeddings").select((F.col("vec_id") + 200).alias("id"), "embedding")
-    out = changes.apply_embeddings(OBS(s, d), e).join(e.select("id", F.lit(True).alias("a")), "id", "left")
+    out = changes.apply_embeddings(VECTORS(s, d), e).join(e.select("id", F.lit(True).alias("a")), "id", "left")
     return out.select("id", F.coalesce("a", F.lit(False)).alias("arrived"), F.coalesce(F.try_element_at("embedding", F.lit(1)).cast("double"), F.lit(0.0)).alias("first"))
 
 
 @query("backfill_embeddings")
 def _(s, d):
-    o = OBS(s, d).filter("embedding is null").select("id", scalar.embedding_text(*map(F.col, ("title", "subtitle", "narrative"))).alias("t"))
+    o = VECTORS(s, d).filter("embedding is null").select("id", scalar.embedding_text(*map(F.col, ("title", "subtitle", "narrative"))).alias("t"))
     return embed(o, "t", HashEmbedder()).select("id", "embedding")
 
 
@@ -591,11 +600,49 @@ def _(s, d):
     return memory.last_assistant_messages(lines.unionByName(broken))
 
 
-@query("truncate_text", "SELECT doc_id, strlen(text) > 4000 AS cut, strlen(text) <= 4000 OR length(text) > 0 AS ok FROM documents")
+@query("truncate_text", "SELECT doc_id, CASE WHEN strlen(text) <= 900 THEN text ELSE left(text, list_max(list_filter(range(200, 901), lambda n: strlen(left(text, n)) <= 900))) || '... (truncated)' END AS text FROM documents")
+def _(s, d):
+    return memory.read(s, d, "documents").select("doc_id", scalar.truncate_bytes(F.col("text"), 900).alias("text"))
+
+
+@query("rfc3339", sql("SELECT id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS at FROM obs"))
+def _(s, d):
+    return OBS(s, d).select("id", scalar.rfc3339(F.col("created_at")).alias("at"))
+
+
+@query("random_ids", sql("SELECT count(*) AS ids, true AS formed FROM obs"))
+def _(s, d):
+    made = OBS(s, d).select(scalar.random_id().alias("r"))
+    return made.agg(F.count_distinct("r").alias("ids"), F.bool_and(F.col("r").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("formed"))
+
+
+@query("search_response_json", sql(f"SELECT CAST(count(*) OVER () AS VARCHAR) AS total, 'fi\"le' AS query, id, title, project, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM (SELECT {PLAIN} FROM obs WHERE project = '{PROJECT}' AND (list_contains(coalesce(files_read, []), '{_FILE}') OR list_contains(coalesce(files_modified, []), '{_FILE}')) {NEWEST} LIMIT 20)"))
+def _(s, d):
+    found = search.search_by_file(OBS(s, d), _FILE, PROJECT)
+    body = js.response(found, 'fi"le', (-F.unix_timestamp("created_at"), -F.col("id")))
+    field = lambda n: F.get_json_object("r", f"$.{n}")
+    rows = body.select(F.get_json_object("body", "$.total").alias("total"), F.get_json_object("body", "$.query").alias("query"), F.explode(F.from_json(F.get_json_object("body", "$.results"), "array<string>")).alias("r"))
+    return rows.select("total", "query", field("id").cast("long").alias("id"), field("title").alias("title"), field("project").alias("project"), field("created_at").alias("created_at"))
+
+
+@query("stats_json", sql("SELECT '{\"sessions\":' || (SELECT count(*) FROM sess) || ',\"observations\":' || (SELECT count(*) FROM obs) || ',\"summaries\":' || (SELECT count(*) FROM sums) || '}' AS json"))
+def _(s, d):
+    return js.encoded(lists.stats(OBS(s, d), SUMS(s, d), SESS(s, d)), "stats").select("json")
+
+
+@query("parse_summary_json", "SELECT event_id, event_id % 3 <> 0 AS valid, CASE WHEN event_id % 3 <> 0 THEN event_type END AS request FROM events")
+def _(s, d):
+    o = js.parse_summary(F.when(F.col("event_id") % 3 == 0, "[]").otherwise(F.to_json(F.struct(F.col("event_type").alias("request")))))
+    return memory.read(s, d, "events").select("event_id", o.isNotNull().alias("valid"), o["request"].alias("request"))
+
+
+@query("append_batches", sql("SELECT id, sync_id, id % 3 AS batch FROM obs"))
 def _(s, d):
-    t = scalar.truncate_bytes(F.col("text"), 4000)
-    whole = F.regexp_replace(t, r"\.\.\. \(truncated\)$", "")
-    return memory.read(s, d, "documents").select("doc_id", (F.octet_length("text") > 4000).alias("cut"), ((F.octet_length(whole) <= 4000) & (F.octet_length(whole) > 3996) & F.startswith(F.col("text"), whole) | (F.octet_length("text") <= 4000) & (t == F.col("text"))).alias("ok"))
+    o = OBS(s, d).select("id", "sync_id")
+    made = versions.AppendedTable(s, f"{versions.scratch_path(s)}/observations", "id bigint, sync_id string")
+    for n in (0, 1, 2, 1):  # a batch that is written again replaces itself
+        made.append(o.filter(F.col("id") % 3 == n), n)
+    return made.read()
 
 
 @query("embedding_text", sql("SELECT id, coalesce(title, '') || ' ' || coalesce(subtitle, '') || ' ' || coalesce(narrative, '') || CASE WHEN facts IS NULL THEN '' ELSE ' ' || array_to_string(facts, ' ') END AS live, coalesce(title, '') || ' ' || coalesce(subtitle, '') || ' ' || coalesce(narrative, '') AS backfill FROM obs"))
@@ -685,6 +732,49 @@ def _(s, d):
     return _run(events, s).groupBy("session_id", "tool_name", "project").agg(F.count("*").alias("events"))
 
 
+_KINDS = "CASE event_type WHEN 'view' THEN 'session-start' WHEN 'click' THEN 'prompt-submit' WHEN 'error' THEN 'stop' ELSE 'post-tool-use' END"
+_HOOKED = f"(SELECT *, {_KINDS} AS event, 'u' || user_id AS s, 'p' || (user_id % 5) AS project FROM events WHERE user_id % 5 <> 3)"
+
+
+def _branches(s: SparkSession, d: str) -> ingest.Branches:
+    """The events table as hook events of all kinds; every second stop brings its last message."""
+    e = memory.read(s, d, "events")
+    kinds = F.create_map(*map(F.lit, ("view", "session-start", "click", "prompt-submit", "error", "stop")))
+    said = F.when(F.col("event_type") == "click", F.concat(F.lit("please do "), F.col("event_id").cast("string")))
+    last = F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), F.concat(F.lit("done "), F.col("event_id").cast("string")))
+    body = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sessionId"), F.col("event_type").alias("toolName"), F.col("props").alias("toolInput"), said.alias("userPrompt"), last.alias("lastAssistantMessage"), F.concat(F.lit("/w/p"), (F.col("user_id") % 5).cast("string")).alias("cwd")))
+    raw = e.select(F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("post-tool-use")).alias("event"), F.col("ts").cast("timestamp").alias("received_at"), body.alias("payload"))
+    known = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("content_session_id"), "user_id").distinct().select("content_session_id", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("from "), F.col("content_session_id"))).otherwise("").alias("content"))
+    return ingest.fan_out(ingest.normalized(raw), known, deny="P3")
+
+
+@query("hook_session_start", f"SELECT s AS session_id, project, count(*) AS n FROM {_HOOKED} WHERE event = 'session-start' GROUP BY ALL")
+def _(s, d):
+    return _branches(s, d).contexts.groupBy("session_id", "project").agg(F.count("*").alias("n"))
+
+
+@query("hook_prompt_submit", f"SELECT s AS content_session_id, project, 'please do ' || event_id AS prompt FROM {_HOOKED} WHERE event = 'prompt-submit'")
+def _(s, d):
+    return _branches(s, d).prompts.select("content_session_id", "project", "prompt")
+
+
+@query("hook_prompt_embedding", f"SELECT 'please do ' || event_id AS prompt, 64 AS dimensions FROM {_HOOKED} WHERE event = 'prompt-submit'")
+def _(s, d):
+    return embed(_branches(s, d).prompts.select("prompt"), "prompt", HashEmbedder()).select("prompt", F.size("embedding").alias("dimensions"))
+
+
+@query("hook_stop", f"SELECT s AS content_session_id, message_type, count(*) AS n, min(m) AS least FROM (SELECT s, 'summary' AS message_type, CASE WHEN event_id % 2 = 0 THEN 'done ' || event_id WHEN user_id % 2 = 0 THEN 'from ' || s END AS m FROM {_HOOKED} WHERE event = 'stop' UNION ALL SELECT s, 'observation', 'o' FROM {_HOOKED} WHERE event = 'post-tool-use') WHERE m IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    q = _branches(s, d).messages
+    said = F.when(F.col("message_type") == "observation", "o").otherwise(F.get_json_object("payload", "$.last_assistant_message"))
+    return q.groupBy("content_session_id", "message_type").agg(F.count("*").alias("n"), F.min(said).alias("least"))
+
+
+@query("hook_sessions_over", f"SELECT s AS content_session_id, CAST(max(epoch(date_trunc('second', ts))) AS BIGINT) AS at_epoch FROM {_HOOKED} WHERE event = 'stop' GROUP BY 1")
+def _(s, d):
+    return _branches(s, d).stops.groupBy("content_session_id").agg(F.max("at_epoch").alias("at_epoch"))
+
+
 @query("queue_enqueue", "SELECT content_session_id, message_type, status, created_at FROM (SELECT 'u' || user_id AS content_session_id, 'observation' AS message_type, 'pending' AS status, epoch_us(ts) AS created_at FROM events)")
 def _(s, d):
     queue = ingest.queue_messages(ingest.accepted_tools(ingest.normalized(_hooks(_stream(s, d, "events")))))

@@ -24,11 +24,15 @@ def _sync(at: str) -> dict[str, Column]:
     }
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+def observations(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """With their vectors, which come by a join; whoever asks for none is spared it."""
+    d = read(spark, sf_dir, "documents")
+    if vectors:
+        e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        d = d.join(e, d.doc_id == e.vec_id, "left")
     i = F.col("id")
     name = lambda n: F.concat(F.lit("src/"), F.col("project"), F.lit("/f"), (i % n).cast("string"), F.lit(".go"))
-    rows = d.join(e, d.doc_id == e.vec_id, "left").select(
+    rows = d.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("m"), (F.col("doc_id") % 97).cast("string")).alias("memory_session_id"),
         F.col("source").alias("project"),
@@ -38,7 +42,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("narrative"),
         F.lit(None).cast("string").alias("text"),
         (F.lit(EPOCH0) + F.col("doc_id") * 600).alias("created_at_epoch"),
-        "embedding",
+        *(["embedding"] if vectors else []),
     )
     rows = rows.withColumns({"created_at": F.timestamp_seconds("created_at_epoch"), "files_read": F.array(name(11)), "files_modified": F.when(i % 4 != 0, F.array(name(7), name(5))), "facts": F.when(i % 2 == 0, F.array(F.col("type"), F.col("project")))})
     return rows.withColumns(_sync("created_at_epoch"))

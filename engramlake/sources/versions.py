@@ -10,10 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_path(spark: SparkSession) -> str:
     """A new folder below the session's shared one; a folder of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class AppendedTable:
+    """``root/batch=<n>``: rows are only added, each batch in a folder of its own number, so that a
+    batch that is written again replaces itself and nothing else is touched."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, batch bigint").option("basePath", self.root).parquet(self.root)
+
+
 class VersionedTable:
     """``root/v=<n>``; readers take the highest version that was finished.
 

@@ -6,6 +6,7 @@ that is repeated after a failure is dropped by its sync_id or its batch number."
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,57 @@ def queue_messages(events: DataFrame) -> DataFrame:
     return events.select(F.xxhash64("session_id", "received_at", body).alias("id"), F.col("session_id").alias("content_session_id"), F.lit("observation").alias("message_type"), body.alias("payload"), F.lit("pending").alias("status"), F.col("received_at").alias("created_at"))
 
 
+@dataclass(frozen=True)
+class Branches:
+    """What hook events ask for, each kind of event its own rows."""
+
+    contexts: DataFrame  # session-start: (session_id, project) whose context is wanted
+    sessions: DataFrame  # prompt-submit: (content_session_id, project, started_at_epoch) to be upserted
+    prompts: DataFrame  # prompt-submit with a prompt: (content_session_id, project, prompt, received_at)
+    messages: DataFrame  # post-tool-use and stop: rows of the queue
+    stops: DataFrame  # stop: (content_session_id, at_epoch) of sessions that are over
+
+
+def fan_out(events: DataFrame, fallback: DataFrame | None = None, *, allow: str = "", deny: str = "", skip: str = "") -> Branches:
+    """All branches of a batch of normalised events; events of projects that aren't allowed have none.
+
+    A stop queues a summary of the last message, else of what ``fallback(content_session_id,
+    content)`` knows of the session; without either nothing is queued, but the session is over."""
+    rows = events.withColumn("project", project_from_path(F.col("cwd")))
+    rows = rows.filter(project_allowed(F.col("project"), F.lit(allow), F.lit(deny)))
+    known = rows.filter("session_id is not null")
+    said = known.filter("event = 'prompt-submit'")
+    stop = known.filter("event = 'stop'").withColumnRenamed("session_id", "content_session_id")
+    message = F.col("last_assistant_message")
+    ended = stop if fallback is None else stop.join(fallback.select("content_session_id", F.col("content").alias("__content")), "content_session_id", "left")
+    if fallback is not None:
+        message = F.coalesce(message, F.when(F.col("__content") != "", F.col("__content")))
+    body = F.to_json(F.struct(message.alias("last_assistant_message"), "project"))
+    summaries = ended.filter(message.isNotNull()).select(F.xxhash64("content_session_id", "received_at", body).alias("id"), "content_session_id", F.lit("summary").alias("message_type"), body.alias("payload"), F.lit("pending").alias("status"), F.col("received_at").alias("created_at"))
+    return Branches(
+        rows.filter("event = 'session-start'").select("session_id", "project"),
+        said.select(F.col("session_id").alias("content_session_id"), "project", F.unix_timestamp("received_at").alias("started_at_epoch")),
+        said.filter("prompt is not null").select(F.col("session_id").alias("content_session_id"), "project", "prompt", "received_at"),
+        queue_messages(accepted_tools(events, allow=allow, deny=deny, skip=skip)).unionByName(summaries),
+        stop.select("content_session_id", F.unix_timestamp("received_at").alias("at_epoch")),
+    )
+
+
+def run_hooks(events: DataFrame, embedder: Embedder, out: str, checkpoint: str, **options) -> StreamingQuery:
+    """Fans a stream of normalised events out into a folder for each branch, prompts with their vectors.
+
+    A batch that is repeated overwrites the folders of its number."""
+    trigger, filters = options.pop("trigger", None) or {"processingTime": "1 second"}, options
+
+    def batch(rows: DataFrame, n: int) -> None:
+        made = fan_out(rows, **filters)
+        for name in ("contexts", "sessions", "messages", "stops"):
+            getattr(made, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={n}")
+        embed(made.prompts, "prompt", embedder).write.mode("overwrite").parquet(f"{out}/prompts/batch={n}")
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def numbered_prompts(prompts: DataFrame) -> DataFrame:
     """A stream of (session_id, received_at, prompt) with prompt_number, counted in state per session."""
 

@@ -2,6 +2,7 @@
 
 A gear rolling hash over the last 16 bytes cuts each text where the hash has its top bits clear, so
 cuts move with the text: after an insertion they fall into step again within a few dozen bytes.
+Where it has none for long, as in a word that is repeated over and over, the least hash around cuts.
 Chunks with the same digest in different documents are stored once, with the smallest doc_id; a
 passage is a run of neighbouring chunks that each occur in another document too.
 """
@@ -21,6 +22,7 @@ from .common import mix64, rows_of, stored
 
 WINDOW_STEPS = 4  # doublings: 16 bytes
 SHORTEST, SPREAD, LONGEST = 12, 24, 256  # bytes: the least, how many more on average, the most
+STRETCH = 64  # bytes without a cut, beyond which there are further ones
 LEAST_CHARS = 110  # of a passage: what is sure to be whole chunks in one of 50 words
 
 
@@ -39,6 +41,12 @@ def cuts(data: np.ndarray) -> list[int]:
         h[size:] += h[:-size].copy() << np.uint16(size)  # h[i] now covers 2 * size bytes, older ones shifted further
         size *= 2
     ok = h < np.uint16(65536 // SPREAD)
+    ends = np.flatnonzero(ok)
+    # a stretch without cuts, as of one word again and again, is cut where the hash is least around
+    begins, stops = np.append(0, ends), np.append(ends, n)
+    if (stops - begins > STRETCH).any():
+        inner = np.repeat(stops - begins > STRETCH, np.append(stops[0], np.diff(stops)))[:n]
+        ok |= inner & (h == _least_around(h))
     ok[:-1] &= (data[1:] & 0xC0) != 0x80
     out, last = [], 0
     for at in (np.flatnonzero(ok) + 1).tolist():
@@ -56,6 +64,15 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
+def _least_around(h: np.ndarray, reach: int = 16) -> np.ndarray:
+    """The least value within reach on either side, where that lies within h."""
+    out = h.copy()
+    for k in range(1, reach + 1):
+        np.minimum(out[k:], h[:-k], out=out[k:])
+        np.minimum(out[:-k], h[k:], out=out[:-k])
+    return out
+
+
 def _whole(data: np.ndarray, at: int) -> int:
     while data[at] & 0xC0 == 0x80:
         at -= 1

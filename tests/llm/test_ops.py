@@ -580,6 +580,14 @@ def test_repeats_of_several_texts_with_one_id(spark):
     assert sorted(cut[1]) == sorted([a, a, "x " * 40 + b]) and len(cut[2][0]) < 40 and len(cut[3][0]) < 80 and cut[4][0].startswith("y")
 
 
+def test_repeats_of_one_word_over_and_over(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{rng.integers(10**7)}" for _ in range(n))
+    rows = [(k, f"{words(40 + 3 * k)} {(w + ' ') * 60}{words(30)}") for k, w in enumerate(["oningan", "éèpa", "su", "oningan", "éèpa", "su"])]
+    got = substring_dedup.repeated_passages(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.first_doc, r.repeats) for r in got) == [(0, 0, False), (1, 1, False), (2, 2, False), (3, 0, True), (4, 1, True), (5, 2, True)]
+
+
 def test_chunks_cover_and_fall_into_step():
     data = np.frombuffer(("émile " + "the quick brown fox jumps over " * 3 + "x" * 900 + " and " + " ".join(str(i * i) for i in range(400))).encode(), dtype=np.uint8)
     ends = substring_dedup.cuts(data)

@@ -40,14 +40,14 @@ def cuts(data: np.ndarray) -> list[int]:
     for _ in range(WINDOW_STEPS):
         h[size:] += h[:-size].copy() << np.uint16(size)  # h[i] now covers 2 * size bytes, older ones shifted further
         size *= 2
+    h[:-1][(data[1:] & 0xC0) == 0x80] = 65535  # no cut within a character
     ok = h < np.uint16(65536 // SPREAD)
     ends = np.flatnonzero(ok)
     # a stretch without cuts, as of one word again and again, is cut where the hash is least around
     begins, stops = np.append(0, ends), np.append(ends, n)
     if (stops - begins > STRETCH).any():
         inner = np.repeat(stops - begins > STRETCH, np.append(stops[0], np.diff(stops)))[:n]
-        ok |= inner & (h == _least_around(h))
-    ok[:-1] &= (data[1:] & 0xC0) != 0x80
+        ok |= inner & (h == _least_around(h)) & (h < 65535)
     out, last = [], 0
     for at in (np.flatnonzero(ok) + 1).tolist():
         while at - last > LONGEST:

@@ -1,7 +1,9 @@
 """Upserts, imports, transcripts, versions and streams."""
 
+import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from engramlake.functions.models import HashEmbedder, stub_extractor
@@ -100,3 +102,61 @@ def test_batch_and_stream_agree_on_acceptance(spark):
 def test_stats_of_empty_tables(spark, sf_dir):
     o, u, s = (f(spark, sf_dir).filter(F.lit(False)) for f in (memory.observations, memory.summaries, memory.sessions))
     assert tuple(lists.stats(o, u, s).first()) == (0, 0, 0)
+
+
+def test_retry_of_what_may_pass():
+    from engramlake.functions.models import HttpError, with_retry
+
+    waits, errors = [], [HttpError(429), HttpError(503), ConnectionError()]
+
+    def call():
+        if errors:
+            raise errors.pop(0)
+        return "done"
+
+    assert with_retry(call, sleep=waits.append) == "done" and waits == [1.0, 2.0, 4.0]
+    with pytest.raises(HttpError):
+        with_retry(lambda: (_ for _ in ()).throw(HttpError(400)), sleep=waits.append)
+    assert waits == [1.0, 2.0, 4.0]
+
+
+def test_neighbours_by_hashing_reach_the_exact_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = memory.observations(spark, sf).filter("embedding is not null").cache()
+    reached = []
+    for r in rows.orderBy("id").limit(40).collect()[::8]:
+        exact = {x.id for x in search.nearest(rows, list(r.embedding), 10).collect()}
+        reached.append(len(exact & {x.id for x in search.lsh_nearest(rows, list(r.embedding), 10).collect()}) / len(exact))
+    assert sum(reached) / len(reached) >= 0.9
+
+
+def test_hooks_as_a_stream(spark, tmp_path):
+    lines = [
+        ("session-start", '{"session_id": "s1", "cwd": "/w/app"}'),
+        ("prompt-submit", '{"sessionId": "s1", "cwd": "/w/app", "input": "do it"}'),
+        ("prompt-submit", '{"session_id": "s1", "cwd": "/w/app", "prompt": " "}'),
+        ("prompt-submit", '{"cwd": "/w/app", "prompt": "no session"}'),
+        ("post-tool-use", '{"session_id": "s1", "cwd": "/w/app", "toolName": "Edit", "toolInput": {"cmd": "x"}}'),
+        ("stop", '{"session_id": "s1", "cwd": "/w/app", "lastAssistantMessage": "done"}'),
+        ("stop", '{"session_id": "s2", "cwd": "/w/app"}'),
+        ("stop", '{"session_id": "s3", "cwd": "/w/secret", "lastAssistantMessage": "x"}'),
+    ]
+    raw = spark.createDataFrame([(e, datetime.datetime(2024, 1, 1, 0, n), p) for n, (e, p) in enumerate(lines)], "event string, received_at timestamp, payload string")
+    raw.write.json(f"{tmp_path}/in")
+    events = ingest.hook_stream(spark, f"{tmp_path}/in")
+    ingest.run_hooks(events, HashEmbedder(8), f"{tmp_path}/out", f"{tmp_path}/state", deny="secret", trigger={"availableNow": True}).awaitTermination()
+    got = {n: spark.read.parquet(f"{tmp_path}/out/{n}").collect() for n in ("contexts", "sessions", "prompts", "messages", "stops")}
+    assert [(r.session_id, r.project) for r in got["contexts"]] == [("s1", "app")]
+    assert len(got["sessions"]) == 2 and [(r.prompt, len(r.embedding)) for r in got["prompts"]] == [("do it", 8)]
+    assert sorted(r.message_type for r in got["messages"]) == ["observation", "summary"]
+    assert sorted(r.content_session_id for r in got["stops"]) == ["s1", "s2"]
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from engramlake.sources import versions
+
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(RuntimeError):
+        versions.scratch_path(Session())

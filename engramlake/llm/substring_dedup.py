@@ -4,7 +4,9 @@ A gear rolling hash over the last 16 bytes cuts each text where the hash has its
 cuts move with the text: after an insertion they fall into step again within a few dozen bytes.
 Where it has none for long, as in a word that is repeated over and over, the least hash around cuts.
 Chunks with the same digest in different documents are stored once, with the smallest doc_id; a
-passage is a run of neighbouring chunks that each occur in another document too.
+passage is a run of neighbouring chunks that each occur in another document too.  A run that is too
+short as it stands, but might not be with the parts of chunks at its ends, is extended character by
+character against another document that holds one of its chunks.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, rows_of, stored
@@ -23,7 +25,10 @@ from .common import mix64, rows_of, stored
 WINDOW_STEPS = 4  # doublings: 16 bytes
 SHORTEST, SPREAD, LONGEST = 12, 24, 256  # bytes: the least, how many more on average, the most
 STRETCH = 64  # bytes without a cut, beyond which there are further ones
-LEAST_CHARS = 110  # of a passage: what is sure to be whole chunks in one of 50 words
+LEAST_WORDS = 50  # of a passage
+LEAST_CHARS = 500  # or so many, for scripts without spaces
+NEAR = 3  # chunks on either side of a run in which a passage may begin or end: cuts fall into step within them
+FIELD = 1 << 10  # room for each count in the shape of a chunk
 
 
 @lru_cache(maxsize=1)
@@ -80,13 +85,16 @@ def _whole(data: np.ndarray, at: int) -> int:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: digest, doc_id, row (a hash of the text), start and size in code points."""
+    """A row for each chunk: digest, doc_id, row (a hash of the text), start in code points, shape.
+
+    shape holds four counts below 1024, the lowest first: the chunk's code points, the words that
+    begin in it, and those that begin in the NEAR chunks before and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, digests, starts, sizes, n = [], [], [], [], [], 0
+        ids, rows, digests, starts, shapes, n = [], [], [], [], [], 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(np.concatenate(ids or [np.empty(0, np.int64)])), pa.array(np.concatenate(rows or [np.empty(0, np.int64)])), pa.array(np.concatenate(starts or [np.empty(0, np.int32)])), pa.array(np.concatenate(sizes or [np.empty(0, np.int32)]))], names=["digest", "doc_id", "row", "start", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(np.concatenate(ids or [np.empty(0, np.int64)])), pa.array(np.concatenate(rows or [np.empty(0, np.int64)])), pa.array(np.concatenate(starts or [np.empty(0, np.int32)])), pa.array(np.concatenate(shapes or [np.empty(0, np.int64)]))], names=["digest", "doc_id", "row", "start", "shape"])
 
         for doc_id, row, text in rows_of(batches, "doc_id", "row", "text"):
             if not text:
@@ -94,82 +102,182 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             raw = text.encode("utf-8", "surrogatepass")
             data = np.frombuffer(raw, dtype=np.uint8)
             ends = cuts(data)
-            place = np.array([0, *ends])
+            bounds = np.array([0, *ends])
+            place = bounds
             if len(raw) != len(text):
-                place = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[place]
+                place = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[bounds]
             a = 0
             for b in ends:
                 digests.append(xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63))
                 a = b
+            seen = np.concatenate(([0], np.cumsum(_word_begins(data))))[bounds]  # words that begin before each bound
+            k = np.arange(len(ends))
+            before = seen[k] - seen[np.maximum(k - NEAR, 0)]
+            after = seen[np.minimum(k + 1 + NEAR, len(ends))] - seen[k + 1]
             ids.append(np.full(len(ends), doc_id, dtype=np.int64))
             rows.append(np.full(len(ends), row, dtype=np.int64))
             starts.append(place[:-1].astype(np.int32))
-            sizes.append(np.diff(place).astype(np.int32))
+            shapes.append(np.diff(place) + FIELD * (np.diff(seen) + FIELD * (before + FIELD * after)))
             n += len(ends)
             if n > 20_000:
                 yield batch()
-                ids, rows, digests, starts, sizes, n = [], [], [], [], [], 0
+                ids, rows, digests, starts, shapes, n = [], [], [], [], [], 0
         yield batch()
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "digest long, doc_id long, row long, start int, size int")
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "digest long, doc_id long, row long, start int, shape long")
+
 
+def _word_begins(data: np.ndarray) -> np.ndarray:
+    """Where a byte that is no white space follows one that is, or none."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    return ~space & np.append(True, space[:-1])
 
-def repeated_passages(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+
+def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """A row for each passage of ``docs(doc_id, text)`` that other documents hold too, of at least
-    ``least_chars`` characters in whole chunks: doc_id, row, start, end, first_doc, repeats.
+    ``least_words`` words or ``least_chars`` characters: doc_id, row, start, end, first_doc, repeats.
 
-    start and end are code points, end exclusive.  first_doc is the smallest doc_id with one of the
-    passage's chunks; where it is the document itself, the passage stays, else it is a copy
-    (repeats).  Null and empty texts and null doc_ids have no passages, and rows that repeat a
-    doc_id are one document: what only they share isn't repeated.  row is the hash (xxhash64) of the
-    text that the places refer to; equal rows are reported once.  Other columns are ignored."""
+    start and end are code points, end exclusive.  A passage with enough in whole chunks is reported
+    as these; others as far as they agree, within ``least_chars`` of a chunk, with the first or the
+    last document that holds one of their chunks.  first_doc is the smallest doc_id seen with it;
+    where it is the document itself, the passage stays, else it is a copy (repeats).  Null and empty
+    texts and null doc_ids have no passages, and rows that repeat a doc_id are one document: what
+    only they share isn't repeated.  row is the hash (xxhash64) of the text that the places refer
+    to; equal rows are reported once.  Other columns are ignored."""
     chunks = chunk_rows(docs)
     shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     # how often a chunk occurs isn't bounded: its rows are a skewed join key, which Spark can split
     # where the other side isn't aggregated in the same stage
     shared = stored(shared, "shared-chunks")
-    hits = chunks.join(shared.select("digest", "first_doc").hint("merge"), "digest").select("doc_id", "row", "start", "size", "first_doc")
+    hits = stored(chunks.join(shared.hint("merge"), "digest"), "chunk-hits")
+    ordered = hits.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start")
+    runs = stored(ordered.mapInArrow(_runs(least_words, least_chars), f"{PASSAGE}, {ANCHOR}"), "chunk-runs")
+    sure = runs.filter("digest is null").select(*PASSAGE_NAMES)
+    return sure.unionByName(_extended(docs, hits, runs.filter("digest is not null"), least_words, least_chars))
+
+
+PASSAGE = "doc_id long, row long, start long, end long, first_doc long, repeats boolean"
+PASSAGE_NAMES = ("doc_id", "row", "start", "end", "first_doc", "repeats")
+ANCHOR = "digest long, at long, size long, other long"  # a chunk of a short run, and a document that holds it too
+
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(least_words: int, least_chars: int):
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * 10
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=[*PASSAGE_NAMES, "digest", "at", "size", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by document and place, the runs without gaps; one may reach over batches."""
-        doc = begin = end = first = repeats = None  # doc: with its row
-        pending: list[tuple] = []  # runs that touch, and differ in whether they are copies
+        doc = None  # with its row
+        parts: list[list] = []  # of a run, which differ in whether they are copies: start, end, first_doc, repeats
+        anchors: dict[int, tuple] = {}  # of a run that is still short, for each other document: size, digest, place
+        words = before = after = 0
 
         def done() -> list[tuple]:
-            if doc is None:
+            if not parts:
                 return []
-            every = [*pending, (*doc, begin, end, first, repeats)]
-            return every if every[-1][3] - every[0][2] >= least_chars else []
+            if words >= least_words or parts[-1][1] - parts[0][0] >= least_chars:
+                return [(*doc, *p, None, None, None, None) for p in parts]
+            # words that begin before the run and reach into it count on neither side
+            if before + words + after + 1 < least_words and parts[-1][1] - parts[0][0] + 2 * NEAR * LONGEST < least_chars:
+                return []
+            return [(*doc, parts[0][0], parts[-1][1], None, None, digest, at, size, other) for other, (size, digest, at) in anchors.items()]
 
+        names = ("doc_id", "row", "start", "shape", "first_doc", "last_doc", "digest")
         for batch in batches:
             out: list[tuple] = []
-            for i, r, s, n, f in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row", "start", "size", "first_doc"))):
-                d = (i, r)
-                if d == doc and s < end:
+            for i, r, s, shape, f, last, digest in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+                d, n = (i, r), shape % FIELD
+                if d == doc and parts and s < parts[-1][1]:
                     continue  # the same chunk of an equal row
-                if d == doc and s == end:
-                    if repeats == (f < i):
-                        end, first = s + n, min(first, f)
-                        continue
-                    pending.append((*doc, begin, end, first, repeats))
-                else:
+                if d != doc or s > parts[-1][1]:
                     out += done()
-                    pending = []
-                doc, begin, end, first, repeats = d, s, s + n, f, f < i
+                    doc, parts, anchors, words, before = d, [], {}, 0, shape // FIELD**2 % FIELD
+                if parts and parts[-1][3] == (f < i):
+                    parts[-1][1], parts[-1][2] = s + n, min(parts[-1][2], f)
+                else:
+                    parts.append([s, s + n, f, f < i])
+                words, after = words + shape // FIELD % FIELD, shape // FIELD**3
+                if words >= least_words or s + n - parts[0][0] >= least_chars:
+                    anchors.clear()
+                    continue
+                for other in {f, last} - {i}:
+                    anchors[other] = max(anchors.get(other, (0,)), (n, digest, s))
             yield table_of(out)
         yield table_of(done())
 
-    def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.bool_())], names=["doc_id", "row", "start", "end", "first_doc", "repeats"])
+    return run
 
-    ordered = hits.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start")
-    return ordered.mapInArrow(runs, "doc_id long, row long, start long, end long, first_doc long, repeats boolean")
+
+def _extended(docs: DataFrame, hits: DataFrame, anchors: DataFrame, least_words: int, least_chars: int) -> DataFrame:
+    """Of short runs, those that are long enough together with what agrees around a chunk.
+
+    Only what stands within least_chars of a chunk travels: more would be enough by itself."""
+    place = hits.filter("doc_id = first_doc or doc_id = last_doc").select("digest", F.col("doc_id").alias("other"), F.col("row").alias("other_row"), F.col("start").cast("long").alias("other_at"))
+    wanted = anchors.select("digest", "other").distinct()
+    place = place.join(wanted, ["digest", "other"], "left_semi").groupBy("digest", "other").agg(F.min(F.struct("other_row", "other_at")).alias("p")).select("digest", "other", "p.*")
+    pairs = stored(anchors.join(place, ["digest", "other"]), "chunk-pairs")
+    asked = pairs.select("doc_id", "row", "at", "size").unionByName(pairs.select(F.col("other").alias("doc_id"), F.col("other_row").alias("row"), F.col("other_at").alias("at"), "size")).distinct()
+    lists = asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "size")).alias("asked"))  # chunks of one text
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, row, text, spans in rows_of(batches, "doc_id", "row", "text", "asked"):
+            at = [s["at"] for s in spans]
+            left = [text[max(a - least_chars, 0) : a][::-1] for a in at]  # read away from the chunk
+            right = [text[s["at"] : s["at"] + s["size"] + least_chars] for s in spans]
+            left, right = ([v.encode("utf-8", "surrogatepass") for v in c] for c in (left, right))
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["doc_id", "row", "at", "left", "right"])
+
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    around = texts.join(lists, ["doc_id", "row"]).mapInArrow(cut, "doc_id long, row long, at long, left binary, right binary").dropDuplicates(["doc_id", "row", "at"])
+    around = stored(around, "chunk-surroundings")
+    there = around.select(F.col("doc_id").alias("other"), F.col("row").alias("other_row"), F.col("at").alias("other_at"), F.col("left").alias("other_left"), F.col("right").alias("other_right"))
+    both = pairs.join(around, ["doc_id", "row", "at"]).join(there, ["other", "other_row", "other_at"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "row", "start", "at", "size", "other", "left", "right", "other_left", "other_right")
+        for batch in batches:
+            out = []
+            for i, r, run, at, size, other, *sides in rows_of([batch], *names):
+                la, ra, lb, rb = (v.decode("utf-8", "surrogatepass") for v in sides)
+                x, y = _longest(la, ra, lb[::-1] + rb, size)
+                if x + y >= least_chars or len((la[:x][::-1] + ra[:y]).split()) >= least_words:
+                    out.append((i, r, run, at - x, at + y, other))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6)], names=["doc_id", "row", "run", "start", "end", "other"])
+
+    found = both.select("doc_id", "row", "start", "at", "size", "other", "left", "right", "other_left", "other_right").mapInArrow(extend, "doc_id long, row long, run long, start long, end long, other long")
+    best = found.groupBy("doc_id", "row", "run").agg(F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("other")).alias("o"), "start", "end")).alias("b"))
+    return best.select("doc_id", "row", "b.start", "b.end", F.least(F.col("doc_id"), -F.col("b.o")).alias("first_doc"), (-F.col("b.o") < F.col("doc_id")).alias("repeats"))
+
+
+def _longest(left: str, right: str, other: str, size: int) -> tuple[int, int]:
+    """How far to the left (which is read leftwards) and to the right of a chunk's start another text
+    agrees, at the best place of the chunk there; it has several where a word is repeated over and over."""
+    chunk, backwards = right[:size], other[::-1]
+    best, at = (0, 0), other.find(chunk)
+    while at >= 0:
+        best = max(best, (_common(left, backwards[len(other) - at :]), _common(right, other[at:])), key=sum)
+        at = other.find(chunk, at + 1)
+    return best
+
+
+def _common(a: str, b: str) -> int:
+    """How far two texts agree from their beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the copies of passages cut out of text; the first document keeps its own."""
-    spans = repeated_passages(docs, **options).filter("repeats").groupBy("doc_id", F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__spans"))
+    in_order = Window.partitionBy("doc_id", "row").orderBy("start", "end")
+    spans = repeated_passages(docs, **options).filter("repeats").withColumn("end", F.max("end").over(in_order))  # they may overlap
+    spans = spans.groupBy("doc_id", F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__spans"))
     ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length("text")))
     begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
     kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))), "")

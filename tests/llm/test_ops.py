@@ -588,6 +588,33 @@ def test_repeats_of_one_word_over_and_over(spark):
     assert sorted((r.doc_id, r.first_doc, r.repeats) for r in got) == [(0, 0, False), (1, 1, False), (2, 2, False), (3, 0, True), (4, 1, True), (5, 2, True)]
 
 
+def test_repeats_are_settled_at_fifty_words(spark):
+    """Passages of 50 to 55 words are all found, each with its own pair of documents; those of 40 are not."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(n))
+    rows, long_enough = [], set()
+    for k in range(300):
+        n = 50 + k % 6 if k % 3 else 40
+        passage = words(n)
+        rows += [(2 * k, f"{words(30)} {passage} {words(20)}"), (2 * k + 1, f"{words(25)} {passage} {words(35)}")]
+        if n >= 50:
+            long_enough |= {2 * k, 2 * k + 1}
+    text = dict(rows)
+    got = substring_dedup.repeated_passages(docs_of(spark, rows)).collect()
+    assert {r.doc_id for r in got} == long_enough and len(got) == len(long_enough)
+    for r in got:
+        pair = r.doc_id ^ 1
+        assert text[r.doc_id][r.start : r.end] in text[pair] and r.first_doc == min(r.doc_id, pair) and r.repeats == (r.doc_id > pair)
+    cut = substring_dedup.without_repeats(docs_of(spark, rows)).collect()
+    assert all((len(r.text) < len(text[r.doc_id]) - 200) == (r.doc_id in long_enough and r.doc_id % 2 == 1) for r in cut)
+
+
+def test_agreement_at_the_best_place():
+    assert substring_dedup._common("", "a") == 0 and substring_dedup._common("abcd", "abxd") == 2 and substring_dedup._common("abc", "abcd") == 3
+    assert substring_dedup._longest(" ba", "ab ab xyz", "ab ab ab ab", 5) == (3, 6)
+    assert substring_dedup._longest("", "abcdef", "no", 3) == (0, 0)
+
+
 def test_chunks_cover_and_fall_into_step():
     data = np.frombuffer(("émile " + "the quick brown fox jumps over " * 3 + "x" * 900 + " and " + " ".join(str(i * i) for i in range(400))).encode(), dtype=np.uint8)
     ends = substring_dedup.cuts(data)

@@ -212,42 +212,49 @@ def _runs(least_words: int, least_chars: int):
 def _extended(docs: DataFrame, hits: DataFrame, anchors: DataFrame, least_words: int, least_chars: int) -> DataFrame:
     """Of short runs, those that are long enough together with what agrees around a chunk.
 
-    Only what stands within least_chars of a chunk travels: more would be enough by itself."""
-    place = hits.filter("doc_id = first_doc or doc_id = last_doc").select("digest", F.col("doc_id").alias("other"), F.col("row").alias("other_row"), F.col("start").cast("long").alias("other_at"))
-    wanted = anchors.select("digest", "other").distinct()
-    place = place.join(wanted, ["digest", "other"], "left_semi").groupBy("digest", "other").agg(F.min(F.struct("other_row", "other_at")).alias("p")).select("digest", "other", "p.*")
-    pairs = stored(anchors.join(place, ["digest", "other"]), "chunk-pairs")
-    asked = pairs.select("doc_id", "row", "at", "size").unionByName(pairs.select(F.col("other").alias("doc_id"), F.col("other_row").alias("row"), F.col("other_at").alias("at"), "size")).distinct()
-    lists = asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "size")).alias("asked"))  # chunks of one text
+    Only what stands within least_words and least_chars of a chunk of the other document travels, to
+    where the run's own text is: more would be enough by itself.  Lists are of chunks of one text."""
+    place = hits.filter("doc_id = first_doc or doc_id = last_doc").select("digest", F.col("doc_id").alias("other"), "row", F.col("start").alias("at"), (F.col("shape") % FIELD).alias("size"))
+    place = place.join(anchors.select("digest", "other").distinct(), ["digest", "other"], "left_semi").groupBy("digest", "other").agg(F.min(F.struct("row", "at", "size")).alias("p"))
+    lists = place.groupBy(F.col("other").alias("doc_id"), F.col("p.row").alias("row")).agg(F.collect_list(F.struct("digest", "p.at", "p.size")).alias("asked"))
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").groupBy("doc_id", "row").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, row, text, spans in rows_of(batches, "doc_id", "row", "text", "asked"):
-            at = [s["at"] for s in spans]
-            left = [text[max(a - least_chars, 0) : a][::-1] for a in at]  # read away from the chunk
-            right = [text[s["at"] : s["at"] + s["size"] + least_chars] for s in spans]
-            left, right = ([v.encode("utf-8", "surrogatepass") for v in c] for c in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["doc_id", "row", "at", "left", "right"])
-
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
-    around = texts.join(lists, ["doc_id", "row"]).mapInArrow(cut, "doc_id long, row long, at long, left binary, right binary").dropDuplicates(["doc_id", "row", "at"])
-    around = stored(around, "chunk-surroundings")
-    there = around.select(F.col("doc_id").alias("other"), F.col("row").alias("other_row"), F.col("at").alias("other_at"), F.col("left").alias("other_left"), F.col("right").alias("other_right"))
-    both = pairs.join(around, ["doc_id", "row", "at"]).join(there, ["other", "other_row", "other_at"])
+        for doc_id, text, asked in rows_of(batches, "doc_id", "text", "asked"):
+            out = []
+            for s in asked:
+                at, end = s["at"], s["at"] + s["size"]
+                left = text[max(at - least_chars, 0) : at]
+                right = text[end : end + least_chars]
+                left = left[len(left) - _reach(left[::-1], least_words) :]
+                out.append((s["digest"], doc_id, left.encode("utf-8", "surrogatepass"), text[at : end + _reach(right, least_words)].encode("utf-8", "surrogatepass")))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=["digest", "other", "left", "right"])
+
+    there = texts.join(lists, ["doc_id", "row"]).mapInArrow(cut, "digest long, other long, left binary, right binary")
+    pairs = anchors.select("doc_id", "row", F.col("start").alias("run"), "at", "size", "digest", "other").join(there, ["digest", "other"])
+    sides = pairs.groupBy("doc_id", "row").agg(F.collect_list(F.struct("run", "at", "size", "other", "left", "right")).alias("asked"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "row", "start", "at", "size", "other", "left", "right", "other_left", "other_right")
-        for batch in batches:
-            out = []
-            for i, r, run, at, size, other, *sides in rows_of([batch], *names):
-                la, ra, lb, rb = (v.decode("utf-8", "surrogatepass") for v in sides)
-                x, y = _longest(la, ra, lb[::-1] + rb, size)
-                if x + y >= least_chars or len((la[:x][::-1] + ra[:y]).split()) >= least_words:
-                    out.append((i, r, run, at - x, at + y, other))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6)], names=["doc_id", "row", "run", "start", "end", "other"])
-
-    found = both.select("doc_id", "row", "start", "at", "size", "other", "left", "right", "other_left", "other_right").mapInArrow(extend, "doc_id long, row long, run long, start long, end long, other long")
-    best = found.groupBy("doc_id", "row", "run").agg(F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("other")).alias("o"), "start", "end")).alias("b"))
-    return best.select("doc_id", "row", "b.start", "b.end", F.least(F.col("doc_id"), -F.col("b.o")).alias("first_doc"), (-F.col("b.o") < F.col("doc_id")).alias("repeats"))
+        for doc_id, row, text, asked in rows_of(batches, "doc_id", "row", "text", "asked"):
+            best: dict[int, tuple] = {}  # of each run the longest, then the one with the smallest other document
+            for s in asked:
+                at, other = s["at"], s["other"]
+                left, right = (s[k].decode("utf-8", "surrogatepass") for k in ("left", "right"))
+                own = text[max(at - least_chars, 0) : at][::-1], text[at : at + s["size"] + least_chars]
+                x, y = _longest(*own, left + right, s["size"])
+                if x + y >= least_chars or len(text[at - x : at + y].split()) >= least_words:
+                    best[s["run"]] = max(best.get(s["run"], (0,)), (x + y, -other, at - x, at + y))
+            out = [(doc_id, row, start, end, min(doc_id, -o), -o < doc_id) for _, o, start, end in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out) if out else [[]] * 6)], names=list(PASSAGE_NAMES))
+
+    return texts.join(sides, ["doc_id", "row"]).mapInArrow(extend, PASSAGE)
+
+
+def _reach(text: str, words: int) -> int:
+    """How many of its characters hold so many words and the white space after them."""
+    rest = text.split(None, words)[words:]
+    return len(text) - len(rest[0]) if rest else len(text)
 
 
 def _longest(left: str, right: str, other: str, size: int) -> tuple[int, int]:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import day_label, list_or_empty, text_or_empty, time_label
 
+# The headings, labels and marks in the texts below must equal what readers of the context expect.
+
+
 def numbered(recent: DataFrame) -> DataFrame:
     """Recent observations (a bounded cut) with their number in the list, their day and time in UTC."""
     order = Window.orderBy(F.desc("created_at_epoch"), F.desc("id"))

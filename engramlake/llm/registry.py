@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 
 
@@ -77,6 +78,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_kmeans import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_links import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 OP10_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -102,6 +121,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_topk": op10_topk,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_lattice_links": op12_lattice_links,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op10_topk": OP10_SQL,
+    "op11_ball_kmeans": oracles.product_codes(),
+    "op12_lattice_links": oracles.CLOSE_VECTORS,
+    "op13_merkle_manifest": oracles.MANIFEST,
+}

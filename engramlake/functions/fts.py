@@ -147,17 +147,21 @@ def _single(hits: Column) -> Column:
     return F.when(F.size(hits) > 0, (best + total - best / (at * at)) / NORMALIZER).otherwise(0.0)
 
 
-def _pair(a: Column, b: Column) -> Column:
-    """What is left of 1 after all occurrences of two terms: the product of 1 - closeness."""
+def _close(hits: Column) -> Column:
+    """1 minus the product of 1 - closeness over all pairs of different terms within reach.
 
-    def over_b(s: Column, x: Column) -> Column:
-        def one(r: Column, y: Column) -> Column:
-            d = F.abs(x["pos"] - y["pos"])
-            return F.when(d.between(1, REACH), r * (1 - F.sqrt(x["weight"] * y["weight"] * _near(d)))).otherwise(r)
+    Hits stand in order, so of each only those that follow within reach are looked at: a text costs
+    no more than its length, however often the terms occur."""
 
-        return F.aggregate(b, s, one)
+    def apart(x: Column, y: Column) -> Column:
+        d = y["pos"] - x["pos"]
+        near = (d <= REACH) & (d > 0) & (x["token"] != y["token"])
+        return F.when(near, F.log(1 - F.sqrt(x["weight"] * y["weight"] * _near(d)))).otherwise(0.0)
 
-    return F.aggregate(a, F.lit(1.0), over_b)
+    def behind(x: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(hits, i + 2, REACH), F.lit(0.0), lambda s, y: s + apart(x, y))
+
+    return 1 - F.exp(F.aggregate(F.transform(hits, behind), F.lit(0.0), lambda s, x: s + x))
 
 
 def _near(d: Column) -> Column:
@@ -165,18 +169,15 @@ def _near(d: Column) -> Column:
 
 
 def rank(vector: Column, query: list[list[Term]]) -> Column:
-    """The rank of a document: terms that all must hold count by closeness, others by occurrence.
-
-    Each pair of occurrences is looked at; for long texts ``pair_ranks`` does the same by joins."""
+    """The rank of a document: terms that all must hold count by closeness, others by occurrence."""
     tokens = query_tokens(query)
     if not tokens:
         return F.lit(0.0)
 
     def of(v: Column) -> Column:
-        hits = [F.filter(v, _is(w)) for w in tokens]
         if by_pairs(query):
-            return 1 - reduce(lambda a, b: a * b, [_pair(a, b) for i, a in enumerate(hits) for b in hits[i + 1 :]])
-        return reduce(lambda a, b: a + b, [once(h, _single) for h in hits]) / len(tokens)
+            return once(F.filter(v, lambda t: t["token"].isin(tokens)), _close)
+        return reduce(lambda a, b: a + b, [once(F.filter(v, _is(w)), _single) for w in tokens]) / len(tokens)
 
     return once(vector, of)
 
@@ -188,18 +189,3 @@ def _is(token: str) -> Callable[[Column], Column]:
 def by_pairs(query: list[list[Term]]) -> bool:
     """Whether the rank is that of terms that all must hold."""
     return len(query) == 1 and len(query_tokens(query)) > 1
-
-
-def pair_ranks(vectors: DataFrame, query: list[list[Term]]) -> DataFrame:
-    """id and rank of ``vectors(id, vector)`` by the closeness of each two different terms.
-
-    1 minus the product of 1 - closeness over all pairs of occurrences; only those within reach meet,
-    by stretches of the text, so a long text costs no more than its length."""
-    order = F.array(*map(F.lit, query_tokens(query)))
-    hits = vectors.select("id", F.explode("vector").alias("t")).select("id", F.array_position(order, F.col("t.token")).alias("n"), "t.pos", "t.weight").filter("n > 0")
-    stretch = F.floor(F.col("pos") / REACH)
-    a = hits.select("id", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("weight").alias("w"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
-    d = F.abs(F.col("pos") - F.col("at"))
-    pairs = a.join(hits.withColumn("stretch", stretch), ["id", "stretch"]).filter((F.col("m") < F.col("n")) & d.between(1, REACH))
-    apart = pairs.groupBy("id").agg(F.exp(F.sum(F.log(1 - F.sqrt(F.col("w") * F.col("weight") * _near(d))))).alias("apart"))
-    return vectors.select("id").join(apart, "id", "left").select("id", (1 - F.coalesce("apart", F.lit(1.0))).alias("rank"))

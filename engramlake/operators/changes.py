@@ -53,9 +53,9 @@ def new_rows(incoming: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
     key the first by id stays."""
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     fresh = incoming.join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
-    order = Window.partitionBy(*keys).orderBy("id")
-    keyed = fresh.filter(whole).withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    return keyed.unionByName(fresh.filter(~whole))
+    # rows without a whole key are dealt by their id, lest they all meet in one partition
+    order = Window.partitionBy(*keys, F.when(~whole, F.xxhash64("id"))).orderBy("id")
+    return fresh.withColumn("__n", F.row_number().over(order)).filter(~whole | (F.col("__n") == 1)).drop("__n")
 
 
 def settings_upsert(old: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fts
 from ..functions.scalar import list_or_empty, text_or_empty
 from ..functions.vectors import cosine_similarity, vector_literal
+from ..sources.postings import Postings
+from ..sources.vector_cells import VectorIndex
 
 RESULT = ["id", "type", "title", "subtitle", "narrative", "project", "created_at", "text_rank", "semantic_score", "combined_score"]
 TEXT_WEIGHT, SEMANTIC_WEIGHT, OVERFETCH = 0.4, 0.6, 3
@@ -43,8 +47,6 @@ def text_hits(df: DataFrame, fields: list[tuple[str, str]], query: str, config:
     else:
         made = fts.with_vector(df, fields, config, only=sorted({w for g in parsed for t in g for w in t.tokens}))
         made = made.filter(fts.matches(F.col("vector"), parsed))
-    if fts.by_pairs(parsed):
-        return fts.pair_ranks(made, parsed).withColumnRenamed("rank", "text_rank")
     return made.select("id", fts.rank(F.col("vector"), parsed).alias("text_rank"))
 
 
@@ -55,10 +57,30 @@ def nearest(df: DataFrame, vector: list[float], k: int) -> DataFrame:
     return scored.orderBy(F.desc_nulls_last("semantic_score"), "id").limit(k).filter("semantic_score is not null")
 
 
-def _hybrid(rows: DataFrame, fields: list[tuple[str, str]], query: str, vector: list[float], limit: int, config: str) -> DataFrame:
+@dataclass(frozen=True)
+class Indexes:
+    """Stored indexes of a table: searches read them in place of its texts and its vectors."""
+
+    postings: Postings
+    vectors: VectorIndex | None  # a table without any vector has none
+
+    def text(self, query: str, project: str | None) -> DataFrame:
+        return self.postings.hits(query, project)
+
+    def near(self, vector: list[float], k: int, project: str | None) -> DataFrame:
+        """The exact neighbours, since ranks are compared with those of texts."""
+        if self.vectors is None:
+            return self.postings.spark.createDataFrame([], "id bigint, semantic_score double")
+        return self.vectors.nearest(vector, k, project, exact=True)
+
+
+def _hybrid(table: DataFrame, fields: list[tuple[str, str]], query: str, vector: list[float], project: str | None, limit: int, config: str, indexes: Indexes | None) -> DataFrame:
     """A row that only its text found keeps a semantic score of 0, as one beyond the fetched neighbours."""
-    text = text_hits(rows, fields, query, config)
-    near = nearest(rows, vector, OVERFETCH * limit)
+    rows = table.filter(in_project(project))
+    if indexes is None:
+        text, near = text_hits(rows, fields, query, config), nearest(rows, vector, OVERFETCH * limit)
+    else:
+        text, near = indexes.text(query, project), indexes.near(vector, OVERFETCH * limit, project)
     # the two candidate lists meet by id first; only candidates then fetch their columns
     found = text.join(near, "id", "full").select("id", F.coalesce("text_rank", F.lit(0.0)).alias("text_rank"), F.coalesce("semantic_score", F.lit(0.0)).alias("semantic_score"))
     scored = found.withColumn("combined_score", F.col("text_rank") * TEXT_WEIGHT + F.col("semantic_score") * SEMANTIC_WEIGHT)
@@ -77,18 +99,17 @@ def _summary_columns() -> list[Column]:
 _SCORES = ["text_rank", "semantic_score", "combined_score"]
 
 
-def hybrid_search(observations: DataFrame, query: str, vector: list[float], project: str | None = None, limit: int = 10, config: str = "simple") -> DataFrame:
-    rows = observations.filter(in_project(project))
-    return _hybrid(rows, OBSERVATION_FIELDS, query, vector, limit, config).select(*_observation_columns(), *_SCORES)
+def hybrid_search(observations: DataFrame, query: str, vector: list[float], project: str | None = None, limit: int = 10, config: str = "simple", indexes: Indexes | None = None) -> DataFrame:
+    """With ``indexes`` of the table, it needs no vectors itself and is read for the hits alone."""
+    return _hybrid(observations, OBSERVATION_FIELDS, query, vector, project, limit, config, indexes).select(*_observation_columns(), *_SCORES)
 
 
-def hybrid_search_summaries(summaries: DataFrame, query: str, vector: list[float], project: str | None = None, limit: int = 10, config: str = "simple") -> DataFrame:
-    rows = summaries.filter(in_project(project))
-    return _hybrid(rows, SUMMARY_FIELDS, query, vector, limit, config).select(*_summary_columns(), *_SCORES)
+def hybrid_search_summaries(summaries: DataFrame, query: str, vector: list[float], project: str | None = None, limit: int = 10, config: str = "simple", indexes: Indexes | None = None) -> DataFrame:
+    return _hybrid(summaries, SUMMARY_FIELDS, query, vector, project, limit, config, indexes).select(*_summary_columns(), *_SCORES)
 
 
-def hybrid_search_all(observations: DataFrame, summaries: DataFrame, query: str, vector: list[float], project: str | None = None, limit: int = 10, config: str = "simple") -> DataFrame:
-    both = hybrid_search(observations, query, vector, project, limit, config).unionByName(hybrid_search_summaries(summaries, query, vector, project, limit, config))
+def hybrid_search_all(observations: DataFrame, summaries: DataFrame, query: str, vector: list[float], project: str | None = None, limit: int = 10, config: str = "simple", indexes: tuple[Indexes | None, Indexes | None] = (None, None)) -> DataFrame:
+    both = hybrid_search(observations, query, vector, project, limit, config, indexes[0]).unionByName(hybrid_search_summaries(summaries, query, vector, project, limit, config, indexes[1]))
     return both.orderBy(F.desc("combined_score"), "type", "id").limit(limit)
 
 

@@ -12,6 +12,8 @@ from ..functions import fts, json as js, scalar, vectors
 from ..functions.models import HashEmbedder, embed
 from ..operators import changes, context, lists, search
 from ..sources import memory, versions
+from ..sources.postings import Postings
+from ..sources.vector_cells import VectorIndex
 from ..streaming import ingest
 from .oracles import NEWEST, PLAIN, TOKENS, cosine, single_rank, sql
 
@@ -41,6 +43,43 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 1) -> list[floa
     return list(memory.read(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
+_indexes: dict[tuple[str, str, str], object] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> object:
+    """An index that is built when a session first asks for it, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        _indexes[key] = build(f"{versions.scratch_path(spark)}/{name}")
+    return _indexes[key]
+
+
+def postings(spark: SparkSession, sf_dir: str, table: str = "observations", config: str = "simple") -> Postings:
+    rows, fields = (OBS, search.OBSERVATION_FIELDS) if table == "observations" else (SUMS, search.SUMMARY_FIELDS)
+
+    def build(root: str) -> Postings:
+        made = Postings(spark, root, fields, config)
+        made.append(rows(spark, sf_dir), 0)
+        return made
+
+    return _built(spark, sf_dir, f"postings-{table}-{config}", build)
+
+
+def cells(spark: SparkSession, sf_dir: str, table: str = "observations") -> VectorIndex:
+    def build(root: str) -> VectorIndex:
+        rows = (VECTORS if table == "observations" else SUMS)(spark, sf_dir).select("id", "project", "embedding")
+        made = VectorIndex(spark, root)
+        made.train(rows)
+        made.append(rows, 0)
+        return made
+
+    return _built(spark, sf_dir, f"cells-{table}", build)
+
+
+def indexes(spark: SparkSession, sf_dir: str, table: str) -> search.Indexes:
+    return search.Indexes(postings(spark, sf_dir, table), cells(spark, sf_dir, table))
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
 
@@ -197,6 +236,16 @@ def _(s, d):
     return rounded(search.nearest(VECTORS(s, d), query_vector(s, d), 30), "semantic_score")
 
 
+@query("semantic_topk_cells", ORACLES["semantic_topk"])
+def _(s, d):
+    return rounded(cells(s, d).nearest(query_vector(s, d), 30, exact=True), "semantic_score")
+
+
+@query("ann_topk_cells")
+def _(s, d):
+    return cells(s, d).nearest(query_vector(s, d), 30)
+
+
 @query("ann_topk_lsh")
 def _(s, d):
     return search.lsh_nearest(VECTORS(s, d), query_vector(s, d), 30)
@@ -204,15 +253,13 @@ def _(s, d):
 
 @query("fts_tokens", sql("SELECT token, count(DISTINCT id) AS observations, count(*) AS occurrences FROM tok GROUP BY token", TOKENS))
 def _(s, d):
-    v = fts.with_vector(OBS(s, d), search.OBSERVATION_FIELDS).select("id", F.explode("vector").alias("t")).select("id", "t.token")
-    per = v.groupBy("token", "id").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.count("*").alias("observations"), F.sum("n").alias("occurrences"))
+    return postings(s, d).vocabulary().withColumnRenamed("rows", "observations")
 
 
 def _match(text: str, condition: str, name: str) -> None:
     @query(name, sql(f"SELECT id FROM (SELECT id, list(token) AS l, ' ' || string_agg(token, ' ' ORDER BY pos) || ' ' AS t FROM tok GROUP BY id) WHERE {condition}", TOKENS))
     def _(s, d):
-        return search.matching(OBS(s, d), search.OBSERVATION_FIELDS, text).select("id")
+        return postings(s, d).found(text).select("id")
 
 
 _match("that with", "list_contains(l, 'that') AND list_contains(l, 'with')", "fts_match_and")
@@ -221,6 +268,16 @@ _match("that -with", "list_contains(l, 'that') AND NOT list_contains(l, 'with')"
 _match('"of the"', "t LIKE '% of the %'", "fts_match_phrase")
 
 
+@query("fts_match_scan", ORACLES["fts_match_and"])
+def _(s, d):
+    return search.matching(OBS(s, d), search.OBSERVATION_FIELDS, "that with").select("id")
+
+
+@query("fts_match_none_of", sql("SELECT id FROM obs WHERE id NOT IN (SELECT id FROM tok WHERE token IN ('that', 'avec'))", TOKENS))
+def _(s, d):
+    return postings(s, d).found("-that -avec").select("id")
+
+
 @query("fts_weighted", sql("SELECT id, CAST(sum(pos) AS BIGINT) AS positions, round(sum(w), 6) AS weight, count(*) AS tokens FROM tok GROUP BY id", TOKENS))
 def _(s, d):
     v = fts.with_vector(OBS(s, d), search.OBSERVATION_FIELDS, target="v").filter("size(v) > 0")
@@ -231,20 +288,40 @@ def _(s, d):
 
 @query("fts_rank_single", sql("SELECT id, round(r, 6) AS text_rank FROM rank1", TOKENS, single_rank(WORD)))
 def _(s, d):
-    return rounded(search.text_hits(OBS(s, d), search.OBSERVATION_FIELDS, WORD), "text_rank")
+    return rounded(postings(s, d).hits(WORD), "text_rank")
 
 
 _NEAR = "CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)) END"
 
 
 @query("fts_rank_and", sql(f"SELECT a.id, round(1 - product(1 - sqrt(a.w * b.w * {_NEAR})), 6) AS text_rank FROM tok a JOIN tok b ON b.id = a.id AND b.token = 'with' WHERE a.token = 'that' GROUP BY a.id", TOKENS))
+def _(s, d):
+    return rounded(postings(s, d).hits("that with"), "text_rank")
+
+
+@query("fts_rank_scan", ORACLES["fts_rank_and"])
 def _(s, d):
     return rounded(search.text_hits(OBS(s, d), search.OBSERVATION_FIELDS, "that with"), "text_rank")
 
 
-@query("fts_english")
+# what stems to the words asked for, written out, as SQL has no stemmer
+_THING = "('thing', 'things', 'thinges', 'thinged', 'thinging', 'thingly', 'thingedly', 'thingingly', 'thinglyed', 'thinglying')"
+_THOR, _THON = "('thor', 'thors', 'thorly', 'thorlyed', 'thorlying')", "('thon', 'thons', 'thonly', 'thonlyed', 'thonlying')"
+
+
+@query("fts_english", sql(f"SELECT id, round(r, 6) AS text_rank FROM rank1 WHERE id NOT IN (SELECT id FROM tok WHERE token IN {_THOR})", TOKENS, single_rank("thing").replace("= 'thing'", f"IN {_THING}")))
 def _(s, d):
-    return rounded(search.text_hits(OBS(s, d), search.OBSERVATION_FIELDS, "things -others", "english"), "text_rank")
+    return rounded(postings(s, d, config="english").hits("things -thorly"), "text_rank")
+
+
+@query("fts_english_and", sql(f"SELECT a.id, round(1 - product(1 - sqrt(a.w * b.w * {_NEAR})), 6) AS text_rank FROM tok a JOIN tok b ON b.id = a.id AND b.token IN {_THON} WHERE a.token IN {_THING} GROUP BY a.id", TOKENS))
+def _(s, d):
+    return rounded(postings(s, d, config="english").hits("the thinging of thons"), "text_rank")
+
+
+@query("fts_english_scan", ORACLES["fts_english"])
+def _(s, d):
+    return rounded(search.text_hits(OBS(s, d), search.OBSERVATION_FIELDS, "things -thorly", "english"), "text_rank")
 
 
 _VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 1)"
@@ -262,6 +339,11 @@ _SHOWN = "id, type, title, subtitle, narrative, project, created_at, round(tr, 6
 
 @query("hybrid_search", sql(f"SELECT {_SHOWN} FROM ({_HYBRID_OBS})", TOKENS, single_rank(WORD, f"project = '{PROJECT}'"), _hybrid_sql("obs", f"project = '{PROJECT}'")))
 def hybrid(s, d):
+    return rounded(search.hybrid_search(OBS(s, d), WORD, query_vector(s, d), PROJECT, indexes=indexes(s, d, "observations")), *search._SCORES)
+
+
+@query("hybrid_search_scan", ORACLES["hybrid_search"])
+def _(s, d):
     return rounded(search.hybrid_search(VECTORS(s, d), WORD, query_vector(s, d), PROJECT), *search._SCORES)
 
 
@@ -282,7 +364,7 @@ _HYBRID_SUMS = """SELECT o.id, 'summary' AS type, coalesce(request, '') AS title
 
 @query("hybrid_search_summaries", sql(f"SELECT {_SHOWN} FROM ({_HYBRID_SUMS})", _SUM_TOKENS))
 def _(s, d):
-    return rounded(search.hybrid_search_summaries(SUMS(s, d), WORD, query_vector(s, d)), *search._SCORES)
+    return rounded(search.hybrid_search_summaries(SUMS(s, d), WORD, query_vector(s, d), indexes=indexes(s, d, "summaries")), *search._SCORES)
 
 
 _HYBRID_ALL_OBS = _HYBRID_OBS.replace(f"o.project = '{PROJECT}' AND ", "")
@@ -290,7 +372,8 @@ _HYBRID_ALL_OBS = _HYBRID_OBS.replace(f"o.project = '{PROJECT}' AND ", "")
 
 @query("hybrid_search_all", sql(f"SELECT {_SHOWN} FROM (SELECT * FROM ({_HYBRID_ALL_OBS}) UNION ALL SELECT * FROM ({_HYBRID_SUMS})) ORDER BY cs DESC, type, id LIMIT 10", TOKENS, single_rank(WORD), _hybrid_sql("obs", "TRUE"), _SUM_TOKENS))
 def _(s, d):
-    return rounded(search.hybrid_search_all(VECTORS(s, d), SUMS(s, d), WORD, query_vector(s, d)), *search._SCORES)
+    both = indexes(s, d, "observations"), indexes(s, d, "summaries")
+    return rounded(search.hybrid_search_all(OBS(s, d), SUMS(s, d), WORD, query_vector(s, d), indexes=both), *search._SCORES)
 
 
 # context

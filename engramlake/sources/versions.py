@@ -19,6 +19,17 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def finished_folders(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``root/<prefix><n>`` that a job has finished, in order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(root)):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path(root))]
+    return sorted(int(p.getName()[len(prefix) :]) for p in found if p.getName().startswith(prefix) and fs.exists(path(p, "_SUCCESS")))
+
+
 class AppendedTable:
     """``root/batch=<n>``: rows are only added, each batch in a folder of its own number, so that a
     batch that is written again replaces itself and nothing else is touched."""
@@ -42,17 +53,8 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
     def version(self) -> int:
-        fs, path = self._fs()
-        if not fs.exists(path(self.root)):
-            return 0
-        found = [f.getPath() for f in fs.listStatus(path(self.root))]
-        return max([0, *[int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(path(p, "_SUCCESS"))]])
+        return max(finished_folders(self.spark, self.root, "v="), default=0)
 
     def read(self) -> DataFrame:
         n = self.version()

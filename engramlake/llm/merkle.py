@@ -24,7 +24,7 @@ WIDTH = 64  # hex digits of a digest
 BLOCK_LEVELS = 2  # levels that a block keeps below its root
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 100_000  # blocks or trees of which the other side of a join may be sent to all
+BROADCAST_ROWS = 4_000  # blocks or trees, with paths of a few kB each, of which the other side of a join may be sent to all
 
 
 def digest(value: Column) -> Column:

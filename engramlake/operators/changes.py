@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json import json_array_or_empty
 from ..functions.scalar import epoch_seconds, parse_time
+from ..sources.remote import COLLECTIONS
 
 PAGE = 100
 
@@ -115,10 +116,6 @@ def mark_synced(df: DataFrame, sync_ids: DataFrame, version: int) -> DataFrame:
     return out.withColumn("sync_version", F.when(F.col("__hit"), F.lit(version).cast("long")).otherwise(F.col("sync_version"))).drop("__hit").select(*df.columns)
 
 
-# fixed values: what the collections of a push are called
-COLLECTIONS = {"sdk_sessions": "sessions", "observations": "observations", "session_summaries": "summaries", "user_prompts": "prompts"}
-
-
 def push_body(tables: dict[str, DataFrame], machine: str, limit: int = PAGE) -> DataFrame:
     """One row: the JSON document of a push, at most ``limit`` waiting rows of each table with all
     their columns, vectors too.  Without any row it is still sent, as a sign of life."""
@@ -141,43 +138,69 @@ def pushed_rows(bodies: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def pull_all(df: DataFrame, requester: str, cursor: Column | int) -> DataFrame:
-    """What pages after pages would bring until one is empty, in one pass: all rows after the cursor
-    that didn't come from the requester."""
-    return df.filter((F.col("id") > cursor) & ~F.col("sync_source").eqNullSafe(requester))
-
-
 def stored_cursors(settings: DataFrame) -> dict[str, int]:
-    """Where each table's next pull begins, as the settings say; a row a table."""
-    keys = {f"pull_cursor:{t}": t for t in COLLECTIONS}
+    """Where each collection's next pull begins, as the settings say; a row a collection."""
+    keys = {f"pull_cursor:{c}": c for c in COLLECTIONS.values()}
     rows = settings.filter(F.col("key").isin(list(keys))).select("key", F.col("value").try_cast("long").alias("at")).collect()
-    return {t: 0 for t in COLLECTIONS} | {keys[r.key]: r["at"] for r in rows if r["at"] is not None}
-
-
-def import_pulled(pulled: DataFrame, local: DataFrame, sessions: DataFrame | None, key: str = "sync_id") -> tuple[DataFrame, DataFrame]:
-    """Pulled rows that are new here, and those that are refused since their session is unknown."""
-    refused = pulled.filter("false") if sessions is None else orphans(pulled, sessions)
-    known = pulled if sessions is None else pulled.join(sessions.select("memory_session_id").distinct(), "memory_session_id", "left_semi").select(*pulled.columns)
-    return new_rows(known, local, key), refused
-
-
-def sync_cycle(local: dict[str, DataFrame], remote: dict[str, DataFrame], settings: DataFrame, machine: str, version: int, now: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The local tables and settings after one push and one pull.
-
-    A push takes at most a page of each table and marks its rows with ``version``; a pull goes on
-    until nothing is left, begins behind the stored cursors and stores new ones.  Sessions are
-    imported first, as rows of the other tables need theirs."""
-    cursors, tables, written = stored_cursors(settings), {}, [("last_push", now), ("last_pull", now)]
-    spark = settings.sparkSession
-    pulled = {t: pull_all(remote[t], machine, cursors[t]) for t in local}
-    for t in sorted(local, key=lambda t: t != "sdk_sessions"):
-        own = mark_synced(local[t], unsynced(local[t]), version)
-        sessions = tables["sdk_sessions"] if "memory_session_id" in own.columns and t != "sdk_sessions" and "sdk_sessions" in tables else None
-        fresh, _ = import_pulled(pulled[t], local[t], sessions, "content_session_id" if t == "sdk_sessions" else "sync_id")
-        tables[t] = own.unionByName(fresh.select(*own.columns))
-    seen = reduce(DataFrame.unionByName, [p.agg(F.lit(f"pull_cursor:{t}").alias("key"), F.max("id").cast("string").alias("value")) for t, p in pulled.items()]).filter("value is not null")
-    changed = seen.unionByName(spark.createDataFrame(written, "key string, value string")).withColumn("seq", F.lit(0))
-    return tables, settings_upsert(settings, changed)
+    return dict.fromkeys(COLLECTIONS.values(), 0) | {keys[r.key]: r["at"] for r in rows if r["at"] is not None}
+
+
+def table_rows(rows: DataFrame, collection: str, schema: str) -> DataFrame:
+    """The rows of one collection of ``rows(collection, row)``, JSON objects, as a table's."""
+    parsed = rows.filter(F.col("collection") == collection).select(F.from_json("row", schema).alias("r"))
+    return parsed.filter("r is not null").select("r.*")
+
+
+# fixed values: what an import must not repeat, and what it must refer to
+UNIQUE = {"sdk_sessions": [("sync_id",), ("content_session_id",), ("memory_session_id",)], "observations": [("sync_id",)], "session_summaries": [("sync_id",)], "user_prompts": [("sync_id",), ("content_session_id", "prompt_number")]}
+REFERS = {"observations": "memory_session_id", "session_summaries": "memory_session_id", "user_prompts": "content_session_id"}
+
+
+def imported(incoming: dict[str, DataFrame], local: dict[str, DataFrame], next_id: dict[str, int]) -> dict[str, DataFrame]:
+    """Of each table the rows of other machines that are new here, with ids of our own.
+
+    Sessions go first: rows of the other tables whose session is known neither before nor among
+    them are refused.  A row that would repeat a key is no new one; nulls repeat nothing.  Ids go on from
+    ``next_id`` in the order of the ids over there, so that cursors of others pass none by."""
+    out, sessions = {}, local["sdk_sessions"].select("memory_session_id", "content_session_id")
+    for table in sorted(incoming, key=lambda t: t != "sdk_sessions"):
+        rows = incoming[table]
+        if table in REFERS:
+            known = sessions.select(REFERS[table]).distinct()
+            rows = rows.join(known, REFERS[table], "left_semi").select(*rows.columns)
+        for keys in UNIQUE[table]:
+            rows = new_rows(rows, local[table], *keys)
+        if table == "sdk_sessions":
+            sessions = sessions.unionByName(rows.select("memory_session_id", "content_session_id"))
+        out[table] = with_ids(rows, next_id.get(table, 1))
+    return out
+
+
+def with_ids(rows: DataFrame, first: int) -> DataFrame:
+    """New ids from ``first`` on, in the order of the old ones, without bringing all rows together: ids
+    are cut into ranges, and a range begins behind all rows of the ranges before it."""
+    spans = rows.withColumn("__span", F.floor(F.col("id") / 4096))
+    counts = spans.groupBy("__span").agg(F.count("*").alias("__n"))
+    # counts of 4,096 ids each, summed by blocks of spans and then within them
+    block = F.floor(F.col("__span") / 4096)
+    blocks = counts.groupBy(block.alias("__block")).agg(F.sum("__n").alias("__m"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for 16 million ids
+    blocks = blocks.select("__block", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__block").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__block", block).join(blocks, "__block").select("__span", (F.col("__base") + F.coalesce(F.sum("__n").over(within), F.lit(0))).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__span").orderBy("id"))
+    return spans.join(counts, "__span").withColumn("id", F.lit(first - 1).cast("long") + F.col("__base") + place).select(*rows.columns)
+
+
+def received(bodies: DataFrame, local: dict[str, DataFrame], schemas: dict[str, str], next_id: dict[str, int]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Pushes of other machines (``body``): the new rows of each table, and the machines that pushed."""
+    rows = pushed_rows(bodies).withColumn("collection", collection_of(F.col("table_name")))
+    fresh = imported({t: table_rows(rows, c, schemas[t]) for t, c in COLLECTIONS.items()}, local, next_id)
+    return fresh, bodies.select(F.get_json_object("body", "$.machine_id").alias("machine")).filter("machine <> ''").distinct()
+
+
+def collection_of(table: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in COLLECTIONS.items() for x in pair]), table)
 
 
 def sync_stats(tables: dict[str, DataFrame]) -> DataFrame:

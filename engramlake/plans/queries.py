@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..functions.models import HashEmbedder, embed
 from ..operators import changes, context, lists, search
 from ..sources import memory, versions
 from ..sources.postings import Postings
+from ..sources.remote import COLLECTIONS
 from ..sources.vector_cells import VectorIndex
 from ..streaming import ingest
 from .oracles import NEWEST, PLAIN, TOKENS, cosine, single_rank, sql
@@ -521,10 +522,46 @@ def _(s, d):
     return changes.orphans(OBS(s, d), SESS(s, d).filter("id % 3 <> 0")).select("id", "memory_session_id")
 
 
-@query("sync_push_batch")
+_PUSHED = " UNION ALL ".join(f"(SELECT 'm1' AS machine_id, '{t}' AS table_name, id, sync_id, CAST({v} AS BIGINT) AS dims FROM {view} WHERE sync_id IS NOT NULL AND sync_version = 0 ORDER BY id LIMIT 100)" for t, view, v in (("sdk_sessions", "sess", "0"), ("observations", "obs", "coalesce(len(embedding), 0)"), ("session_summaries", "sums", "coalesce(len(embedding), 0)"), ("user_prompts", "prompts", "0")))
+
+
+@query("sync_push_batch", sql(_PUSHED))
 def _(s, d):
-    batch = changes.unsynced(OBS(s, d))
-    return batch.select(F.to_json(F.struct(*[c for c in batch.columns if c != "embedding"])).alias("row")).agg(F.to_json(F.struct(F.lit("m1").alias("machine_id"), F.sort_array(F.collect_list("row")).alias("observations"))).alias("body"))
+    body = changes.push_body({"sdk_sessions": SESS(s, d), "observations": VECTORS(s, d), "session_summaries": SUMS(s, d), "user_prompts": PROMPTS(s, d)}, "m1")
+    field = lambda name: F.get_json_object("row", f"$.{name}")
+    dims = F.coalesce(F.size(F.from_json(field("embedding"), "array<double>")), F.lit(0))
+    return changes.pushed_rows(body).select("machine_id", "table_name", field("id").cast("long").alias("id"), field("sync_id").alias("sync_id"), F.greatest(dims, F.lit(0)).cast("long").alias("dims"))
+
+
+def _imported_sql(table: str, view: str, own: str, where: str) -> str:
+    return f"SELECT '{table}' AS table_name, (SELECT max(id) FROM {view} WHERE {own}) + row_number() OVER (ORDER BY id) AS id, sync_id, id AS remote_id FROM {view} t WHERE sync_source IS DISTINCT FROM 'm1' AND (sync_id IS NULL OR sync_id NOT IN (SELECT sync_id FROM {view} WHERE {own} AND sync_id IS NOT NULL)) AND {where}"
+
+
+_KNOWN = "known AS (SELECT * FROM sess WHERE id % 3 = 0 OR sync_source IS DISTINCT FROM 'm1')"
+_IMPORTED = " UNION ALL ".join(
+    [
+        _imported_sql("sdk_sessions", "sess", "id % 3 = 0", "id % 3 <> 0"),
+        _imported_sql("observations", "obs", "id % 2 = 0", "memory_session_id IN (SELECT memory_session_id FROM known)"),
+        _imported_sql("session_summaries", "sums", "id % 2 = 0", "memory_session_id IN (SELECT memory_session_id FROM known)"),
+        _imported_sql("user_prompts", "prompts", "id % 2 = 0", "content_session_id IN (SELECT content_session_id FROM known) AND id % 2 <> 0"),
+    ]
+)
+
+
+@query("sync_import_tables", sql(_IMPORTED, _KNOWN))
+def _(s, d):
+    """What a pull brings to tables that hold some of the rows: the rest, with ids of their own."""
+    tables = {"sdk_sessions": (SESS(s, d), 3), "observations": (OBS(s, d), 2), "session_summaries": (SUMS(s, d), 2), "user_prompts": (PROMPTS(s, d), 2)}
+    local = {t: df.filter(F.col("id") % n == 0) for t, (df, n) in tables.items()}
+    incoming = {}
+    for t, (df, _) in tables.items():
+        df = df.withColumn("remote_id", F.col("id"))
+        seen = df.filter(~F.col("sync_source").eqNullSafe("m1"))
+        rows = seen.select(F.lit(COLLECTIONS[t]).alias("collection"), F.to_json(F.struct(*df.columns)).alias("row"))
+        incoming[t] = changes.table_rows(rows, COLLECTIONS[t], df.schema)
+    first = {t: df.agg(F.max("id")).first()[0] + 1 for t, df in local.items()}
+    made = changes.imported(incoming, local, first)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("table_name"), "id", "sync_id", "remote_id") for t, df in made.items()])
 
 
 @query("default_sync_source", sql("SELECT id, coalesce(sync_source, (SELECT value FROM setts WHERE key = 'machine_id'), 'unknown') AS sync_source FROM obs"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day_label, list_or_empty, text_or_empty, time_label
+from .numbering import placed
 
 # The headings, labels and marks in the texts below must equal what readers of the context expect.
 
@@ -50,10 +51,22 @@ def markdown(recent: DataFrame, summaries: DataFrame, full: int = 5, tag: str =
     return both.select(F.when(body != "", F.concat(F.lit(f"<{tag}>\n"), body, F.lit(f"</{tag}>"))).otherwise("").alias("context"))
 
 
-def fallback_summaries(sessions: DataFrame, prompts: DataFrame, observations: DataFrame) -> DataFrame:
-    """For each session, what its prompts and observations tell, for want of a last message."""
-    asked = prompts.groupBy("content_session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prompt_number", "id", "prompt"))), lambda p: F.concat(F.lit("- "), p["prompt"])), "\n").alias("asked"))
+def fallback_lines(sessions: DataFrame, prompts: DataFrame, observations: DataFrame) -> DataFrame:
+    """(content_session_id, part, n, line): what prompts and observations tell of sessions, as lines in
+    order, for want of a last message.  No row and no task holds a session, however long it is."""
     line = F.concat(F.lit("- ["), F.col("type"), F.lit("] "), text_or_empty(F.col("title")), F.lit(": "), text_or_empty(F.col("narrative")))
-    done = observations.groupBy("memory_session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at_epoch", "id", line.alias("line")))), lambda o: o["line"]), "\n").alias("done"))
-    rows = sessions.select("content_session_id", "memory_session_id").join(asked, "content_session_id", "left").join(done, "memory_session_id", "left")
-    return rows.select("content_session_id", F.concat_ws("\n", F.concat(F.lit("## User Prompts\n"), F.col("asked")), F.concat(F.lit("\n## Session Activity\n"), F.col("done"))).alias("content"))
+    asked = prompts.join(sessions.select("content_session_id"), "content_session_id", "left_semi").select("content_session_id", "prompt_number", "id", F.concat(F.lit("- "), F.col("prompt")).alias("line"))
+    done = observations.select("memory_session_id", "created_at_epoch", "id", line.alias("line")).join(sessions.select("content_session_id", "memory_session_id"), "memory_session_id")
+    first = placed(asked, "content_session_id", F.floor(F.col("prompt_number") / 1000), ["prompt_number", "id"], "n")
+    second = placed(done, "content_session_id", F.floor(F.col("created_at_epoch") / 3600), ["created_at_epoch", "id"], "n")
+    shown = lambda df, part: df.select("content_session_id", F.lit(part).alias("part"), "n", "line")
+    return shown(first, "prompts").unionByName(shown(second, "activity"))
+
+
+def fallback_summaries(sessions: DataFrame, prompts: DataFrame, observations: DataFrame) -> DataFrame:
+    """For each of the sessions asked for, its lines as one text, which is what a queue message holds."""
+    lines = fallback_lines(sessions, prompts, observations)
+    text = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("n", "line")))), lambda r: r["line"]), "\n")
+    made = lines.groupBy("content_session_id").agg(text("prompts").alias("asked"), F.count_if(F.col("part") == "prompts").alias("__p"), text("activity").alias("done"), F.count_if(F.col("part") == "activity").alias("__a"))
+    rows = sessions.select("content_session_id").join(made, "content_session_id", "left")
+    return rows.select("content_session_id", F.concat_ws("\n", F.when(F.col("__p") > 0, F.concat(F.lit("## User Prompts\n"), F.col("asked"))), F.when(F.col("__a") > 0, F.concat(F.lit("\n## Session Activity\n"), F.col("done")))).alias("content"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from ..sources import memory, versions
 from ..sources.postings import Postings
 from ..sources.remote import COLLECTIONS
 from ..sources.vector_cells import VectorIndex
-from ..streaming import ingest
+from ..sources.tables import TableSet
+from ..streaming import ingest, lifecycle
 from .oracles import NEWEST, PLAIN, TOKENS, cosine, single_rank, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +432,17 @@ def _(s, d):
     return context.fallback_summaries(SESS(s, d), PROMPTS(s, d), OBS(s, d))
 
 
+@query(
+    "fallback_lines",
+    sql(
+        """SELECT content_session_id, 'prompts' AS part, row_number() OVER (PARTITION BY content_session_id ORDER BY prompt_number, id) AS n, '- ' || prompt AS line FROM prompts
+        UNION ALL SELECT s.content_session_id, 'activity', row_number() OVER (PARTITION BY s.content_session_id ORDER BY o.created_at_epoch, o.id), '- [' || type || '] ' || coalesce(title, '') || ': ' || coalesce(narrative, '') FROM obs o JOIN sess s ON s.memory_session_id = o.memory_session_id"""
+    ),
+)
+def _(s, d):
+    return context.fallback_lines(SESS(s, d), PROMPTS(s, d), OBS(s, d))
+
+
 # changes
 
 
@@ -904,7 +917,27 @@ def _(s, d):
 @query("stream_prompt_numbering", "SELECT 'c' || conv_id AS session_id, text AS prompt, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS BIGINT) AS prompt_number FROM conversations WHERE role = 'user'")
 def _(s, d):
     said = _stream(s, d, "conversations").filter("role = 'user'").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.timestamp_seconds(F.lit(memory.EPOCH0) + F.col("turn") * 60).alias("received_at"), F.col("text").alias("prompt"))
-    return _run(ingest.numbered_prompts(said), s).select("session_id", "prompt", "prompt_number")
+    path = versions.scratch_path(s)
+    store = TableSet(s, f"{path}/numbered", ingest.NUMBERED)
+    ingest.run_numbering(said, store, f"{path}/state", availableNow=True).awaitTermination()
+    return store.read("prompts").select("session_id", "prompt", "prompt_number")
+
+
+# what sessions come to, an hour of silence after their last work; of a stop before the first work nothing is said
+_LIVES = f"""begun AS (SELECT s, min(ts) AS started, max(ts) AS last, arg_max(project, ts) AS project FROM {_HOOKED} WHERE event IN ('prompt-submit', 'post-tool-use') GROUP BY s),
+ended AS (SELECT s, max(ts) AS stopped FROM {_HOOKED} WHERE event = 'stop' GROUP BY s),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS w FROM {_HOOKED})"""
+
+
+@query("session_lives", f"WITH {_LIVES} SELECT s AS session_id, project, CASE WHEN stopped >= started OR date_trunc('milliseconds', last) + INTERVAL 1 HOUR <= w THEN 'completed' ELSE 'active' END AS status, epoch_us(started) AS started_at, epoch_us(CASE WHEN stopped >= started THEN stopped WHEN date_trunc('milliseconds', last) + INTERVAL 1 HOUR <= w THEN last + INTERVAL 1 HOUR END) AS ended_at, CASE WHEN stopped >= started THEN 'stop' WHEN date_trunc('milliseconds', last) + INTERVAL 1 HOUR <= w THEN 'silence' END AS ended_by FROM begun LEFT JOIN ended USING (s), mark")
+def _(s, d):
+    e = _stream(s, d, "events").filter("user_id % 5 <> 3")
+    kinds = F.create_map(*map(F.lit, ("view", "session-start", "click", "prompt-submit", "error", "stop")))
+    events = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("post-tool-use")).alias("event"), F.col("ts").cast("timestamp").alias("received_at"), F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("project"))
+    lifecycle.state_store(s)
+    told = _run(lifecycle.session_lives(events, timedelta(hours=1)), s)
+    last = told.groupBy("session_id").agg(F.max_by(F.struct(*told.columns[2:]), "version").alias("r")).select("session_id", "r.*")
+    return last.select("session_id", "project", "status", F.unix_micros("started_at").alias("started_at"), F.unix_micros("ended_at").alias("ended_at"), "ended_by")
 
 
 @query("stream_without_replays", "SELECT count(DISTINCT (user_id, ts, event_type)) AS messages FROM events")

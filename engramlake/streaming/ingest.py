@@ -5,19 +5,22 @@ that is repeated after a failure is dropped by its sync_id or its batch number."
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.json import normalize_hook, parse_observation
 from ..functions.models import Embedder, embed, extract
 from ..functions.scalar import embedding_text, project_allowed, project_from_path, tool_kept, tool_prompt
 from ..operators.changes import resolve_sessions
+from ..operators.numbering import placed
+from ..sources.memory import last_assistant_messages
+from ..sources.tables import Change, TableSet
 
 EVENTS = ("session-start", "prompt-submit", "post-tool-use", "stop")
 
@@ -40,7 +43,7 @@ def accepted_tools(events: DataFrame, *, allow: str = "", deny: str = "", skip:
 
 def queue_messages(events: DataFrame) -> DataFrame:
     """Queue rows of accepted tool events; the id is a hash of what happened, so a replay repeats it."""
-    body = F.to_json(F.struct("tool_name", "tool_input", "tool_response", "cwd"))
+    body = F.to_json(F.struct("tool_name", "tool_input", "tool_response", "cwd", "project"))
     return events.select(F.xxhash64("session_id", "received_at", body).alias("id"), F.col("session_id").alias("content_session_id"), F.lit("observation").alias("message_type"), body.alias("payload"), F.lit("pending").alias("status"), F.col("received_at").alias("created_at"))
 
 
@@ -49,65 +52,128 @@ class Branches:
     """What hook events ask for, each kind of event its own rows."""
 
     contexts: DataFrame  # session-start: (session_id, project) whose context is wanted
-    sessions: DataFrame  # prompt-submit: (content_session_id, project, started_at_epoch) to be upserted
+    sessions: DataFrame  # prompt-submit, post-tool-use: (content_session_id, project, started_at_epoch) to be upserted
     prompts: DataFrame  # prompt-submit with a prompt: (content_session_id, project, prompt, received_at)
     messages: DataFrame  # post-tool-use and stop: rows of the queue
     stops: DataFrame  # stop: (content_session_id, at_epoch) of sessions that are over
 
 
-def fan_out(events: DataFrame, fallback: DataFrame | None = None, *, allow: str = "", deny: str = "", skip: str = "") -> Branches:
-    """All branches of a batch of normalised events; events of projects that aren't allowed have none.
+def fan_out(events: DataFrame, fallback: DataFrame | None = None, transcripts: DataFrame | None = None, *, allow: str = "", deny: str = "", skip: str = "") -> Branches:
+    """All branches of a batch of normalised events; events of projects that aren't allowed have none,
+    nor have prompts and tool events without a folder.
 
-    A stop queues a summary of the last message, else of what ``fallback(content_session_id,
-    content)`` knows of the session; without either nothing is queued, but the session is over."""
+    Prompts and accepted tool events begin their session.  A stop queues a summary of its last message,
+    else of what ``transcripts(path, message)`` has for its transcript, else of what
+    ``fallback(content_session_id, content)`` knows of the session; without any nothing is queued, but
+    the session is over."""
     rows = events.withColumn("project", project_from_path(F.col("cwd")))
     rows = rows.filter(project_allowed(F.col("project"), F.lit(allow), F.lit(deny)))
     known = rows.filter("session_id is not null")
-    said = known.filter("event = 'prompt-submit'")
+    said = known.filter("event = 'prompt-submit' and cwd <> ''")
+    tools = accepted_tools(events, allow=allow, deny=deny, skip=skip).filter("cwd <> ''")
+    begun = said.select("session_id", "project", "received_at").unionByName(tools.select("session_id", "project", "received_at"))
     stop = known.filter("event = 'stop'").withColumnRenamed("session_id", "content_session_id")
-    message = F.col("last_assistant_message")
-    ended = stop if fallback is None else stop.join(fallback.select("content_session_id", F.col("content").alias("__content")), "content_session_id", "left")
+    ended, messages = stop, [F.nullif(F.col("last_assistant_message"), F.lit(""))]
+    if transcripts is not None:
+        ended = ended.join(transcripts.select(F.col("path").alias("transcript_path"), F.col("message").alias("__read")), "transcript_path", "left")
+        messages.append(F.nullif(F.col("__read"), F.lit("")))
     if fallback is not None:
-        message = F.coalesce(message, F.when(F.col("__content") != "", F.col("__content")))
+        ended = ended.join(fallback.select("content_session_id", F.col("content").alias("__content")), "content_session_id", "left")
+        messages.append(F.nullif(F.col("__content"), F.lit("")))
+    message = F.coalesce(*messages)
     body = F.to_json(F.struct(message.alias("last_assistant_message"), "project"))
     summaries = ended.filter(message.isNotNull()).select(F.xxhash64("content_session_id", "received_at", body).alias("id"), "content_session_id", F.lit("summary").alias("message_type"), body.alias("payload"), F.lit("pending").alias("status"), F.col("received_at").alias("created_at"))
     return Branches(
         rows.filter("event = 'session-start'").select("session_id", "project"),
-        said.select(F.col("session_id").alias("content_session_id"), "project", F.unix_timestamp("received_at").alias("started_at_epoch")),
+        begun.select(F.col("session_id").alias("content_session_id"), "project", F.unix_timestamp("received_at").alias("started_at_epoch")),
         said.filter("prompt is not null").select(F.col("session_id").alias("content_session_id"), "project", "prompt", "received_at"),
-        queue_messages(accepted_tools(events, allow=allow, deny=deny, skip=skip)).unionByName(summaries),
+        queue_messages(tools).unionByName(summaries),
         stop.select("content_session_id", F.unix_timestamp("received_at").alias("at_epoch")),
     )
 
 
-def run_hooks(events: DataFrame, embedder: Embedder, out: str, checkpoint: str, **options) -> StreamingQuery:
+LONGEST_LINE = 10 * 1024 * 1024  # fixed value: bytes of a transcript's line; longer ones are left out
+
+
+def transcript_messages(paths: DataFrame) -> DataFrame:
+    """(path, message): the last assistant text of the transcripts at ``paths(path)``, as they are now.
+
+    Each is read line by line in a task; one that can't be read has no row."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def batch(path: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": [path] * len(held), "line_no": [n for n, _ in held], "value": [v for _, v in held]}, schema=pa.schema([("path", pa.string()), ("line_no", pa.int64()), ("value", pa.string())]))
+
+        for part in batches:
+            for path in part.column(0).to_pylist():
+                try:
+                    system, where = fs.FileSystem.from_uri(path)
+                    held, size = [], 0
+                    with system.open_input_stream(where) as raw:
+                        for n, line in enumerate(io.BufferedReader(raw)):
+                            # only lines that may be an assistant's are handed on
+                            if len(line) <= LONGEST_LINE and b"assistant" in line:
+                                held.append((n, line.decode("utf-8", "replace")))
+                                size += len(line)
+                            if size > LONGEST_LINE:
+                                yield batch(path, held)
+                                held, size = [], 0
+                    yield batch(path, held)
+                except (OSError, ValueError):
+                    continue
+
+    wanted = paths.filter("path <> ''").select("path").distinct()
+    return last_assistant_messages(wanted.mapInArrow(lines, "path string, line_no bigint, value string"))
+
+
+def run_hooks(events: DataFrame, embedder: Embedder, out: str, checkpoint: str, *, fallback: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None, **filters: str) -> StreamingQuery:
     """Fans a stream of normalised events out into a folder for each branch, prompts with their vectors.
 
-    A batch that is repeated overwrites the folders of its number."""
-    trigger, filters = options.pop("trigger", None) or {"processingTime": "1 second"}, options
+    A stop without a last message reads its transcript; ``fallback`` gets the sessions that stop
+    (content_session_id) and says what is known of them (content_session_id, content).  A batch that is
+    repeated overwrites the folders of its number."""
 
     def batch(rows: DataFrame, n: int) -> None:
-        made = fan_out(rows, **filters)
+        silent = rows.filter("event = 'stop' and coalesce(last_assistant_message, '') = ''")
+        known = None if fallback is None else fallback(silent.select(F.col("session_id").alias("content_session_id")).distinct())
+        made = fan_out(rows, known, transcript_messages(silent.select(F.col("transcript_path").alias("path"))), **filters)
         for name in ("contexts", "sessions", "messages", "stops"):
             getattr(made, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={n}")
         embed(made.prompts, "prompt", embedder).write.mode("overwrite").parquet(f"{out}/prompts/batch={n}")
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+#: What prompt numbering keeps: numbered prompts, and of each session how many there are.
+NUMBERED = {"prompts": ("session_id string, received_at timestamp, prompt string, prompt_number bigint", "session_id"), "counts": ("session_id string, n bigint", "session_id")}
+STRETCH = 3600  # seconds whose prompts of a session are ordered together
+
+
+def numbered_prompts(prompts: DataFrame, counts: DataFrame) -> DataFrame:
+    """A batch of (session_id, received_at, prompt) with prompt_number, behind the ``counts`` so far.
+
+    A session is cut into stretches of time, so no task holds a session, however long it is."""
+    stretch = F.floor(F.unix_timestamp("received_at") / STRETCH)
+    return placed(prompts.select("session_id", "received_at", "prompt"), "session_id", stretch, ["received_at", "prompt"], "prompt_number", counts)
 
 
-def numbered_prompts(prompts: DataFrame) -> DataFrame:
-    """A stream of (session_id, received_at, prompt) with prompt_number, counted in state per session."""
+def number_batch(store: TableSet, prompts: DataFrame, batch: int | None = None) -> None:
+    """Numbers a batch and commits it with the new counts; a batch that was committed is left alone."""
+    base = store.manifest()
+    if batch is not None and batch <= base.batch:
+        return
+    rows = prompts.filter("session_id is not null")
+    parts = store.touched(rows, "counts")
+    counts = store.read("counts", parts, base)
+    new = rows.groupBy("session_id").agg(F.count("*").alias("n")).unionByName(counts).groupBy("session_id").agg(F.sum("n").alias("n"))
+    store.commit(base, {"prompts": Change(numbered_prompts(rows, counts)), "counts": Change(new, parts)}, batch=batch)
 
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for batch in [pd.concat(batches).sort_values(["received_at", "prompt"])]:
-            numbers = range(n + 1, n + 1 + len(batch))
-            n += len(batch)
-            yield pd.DataFrame({"session_id": key[0], "received_at": batch["received_at"], "prompt": batch["prompt"], "prompt_number": list(numbers)})
-        state.update((n,))
 
-    schema = "session_id string, received_at timestamp, prompt string, prompt_number long"
-    return prompts.select("session_id", "received_at", "prompt").groupBy("session_id").applyInPandasWithState(count, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+def run_numbering(prompts: DataFrame, store: TableSet, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Numbers a stream of prompts into a store of ``NUMBERED`` tables."""
+    return prompts.writeStream.foreachBatch(lambda rows, n: number_batch(store, rows, n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def session_activity(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from engramlake.functions.models import HashEmbedder, stub_extractor
 from engramlake.operators import changes, context, lists, search
 from engramlake.sources import memory
+from engramlake.sources.tables import TableSet
 from engramlake.sources.versions import VersionedTable
 from engramlake.streaming import ingest
 
@@ -76,9 +77,9 @@ def events(tmp_path, rows):
 def test_prompt_stream_counts_on(spark, tmp_path):
     rows = [[{"event": "prompt-submit", "received_at": f"2024-01-01T00:0{i}:00Z", "payload": json.dumps({"sessionId": s, "input": f"p{i}"})}] for i, s in enumerate(["a", "a", "b", "a"])]
     stream = ingest.hook_stream(spark, events(tmp_path, rows), per_batch=1)
-    q = ingest.numbered_prompts(stream).writeStream.format("memory").queryName("numbered").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.session_id, r.prompt): r.prompt_number for r in spark.table("numbered").collect()}
+    store = TableSet(spark, str(tmp_path / "store"), ingest.NUMBERED)
+    ingest.run_numbering(stream, store, str(tmp_path / "cp"), availableNow=True).awaitTermination(120)
+    got = {(r.session_id, r.prompt): r.prompt_number for r in store.read("prompts").collect()}
     assert sorted(n for (s, _), n in got.items() if s == "a") == [1, 2, 3] and got["b", "p2"] == 1
 
 
@@ -147,7 +148,9 @@ def test_hooks_as_a_stream(spark, tmp_path):
     ingest.run_hooks(events, HashEmbedder(8), f"{tmp_path}/out", f"{tmp_path}/state", deny="secret", trigger={"availableNow": True}).awaitTermination()
     got = {n: spark.read.parquet(f"{tmp_path}/out/{n}").collect() for n in ("contexts", "sessions", "prompts", "messages", "stops")}
     assert [(r.session_id, r.project) for r in got["contexts"]] == [("s1", "app")]
-    assert len(got["sessions"]) == 2 and [(r.prompt, len(r.embedding)) for r in got["prompts"]] == [("do it", 8)]
+    assert [r.content_session_id for r in got["sessions"]] == ["s1"] * 3  # two prompts and a tool event
+    assert json.loads(next(r.payload for r in got["messages"] if r.message_type == "observation"))["project"] == "app"
+    assert [(r.prompt, len(r.embedding)) for r in got["prompts"]] == [("do it", 8)]
     assert sorted(r.message_type for r in got["messages"]) == ["observation", "summary"]
     assert sorted(r.content_session_id for r in got["stops"]) == ["s1", "s2"]
 

@@ -25,6 +25,7 @@ Q = 10
 EDIT_RATE = 0.08
 BLOCK_CHARS = 1_000_000
 LONGEST_ITEM = 32_768
+PAIRS = 2_000_000  # pairs of places of shared q-grams that are listed at once
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
 
 
@@ -119,6 +120,8 @@ class Index:
         if not len(at):
             return np.empty((0, 2), dtype=np.int64)
         n = self.count[spot]
+        if n.sum() > PAIRS:
+            return self.crowded_bands(len(hashes), at, spot)
         entry = np.repeat(self.first[spot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         item = self.item[entry]
         band = (np.repeat(at, n) - self.place[entry]) // (self.edits[item] + 1)
@@ -128,6 +131,40 @@ class Index:
         found = both[edges[:-1]]
         return found[np.diff(edges) >= self.least[found[:, 0]]]
 
+    def crowded_bands(self, length: int, at: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """The same where a text and an item repeat the same q-grams over and over: pairs of places are
+        counted by q-gram and item and never all listed."""
+        order = np.argsort(spot, kind="stable")
+        at, spot = at[order], spot[order]
+        edges = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1], [True])))
+        counts: dict[int, np.ndarray] = {}
+        for a, b in zip(edges[:-1], edges[1:]):
+            first = self.first[spot[a]]
+            items, places = self.item[first : first + self.count[spot[a]]], self.place[first : first + self.count[spot[a]]]
+            cuts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1], [True])))
+            for u, v in zip(cuts[:-1], cuts[1:]):
+                item, own = int(items[u]), places[u:v]
+                m, wide = len(self.seqs[item]), int(self.edits[item]) + 1
+                low = -(m // wide) - 2
+                if item not in counts:
+                    counts[item] = np.zeros(length // wide - low + 2, dtype=np.int64)
+                if (b - a) * (v - u) > 8 * (length + m):
+                    by_diagonal = shared_by_diagonal(at[a:b], own, length, m)
+                    band = np.arange(1 - m, length) // wide
+                    counts[item] += np.bincount(band - low, by_diagonal, len(counts[item])).astype(np.int64)
+                else:
+                    rows = max(1, PAIRS // (v - u))
+                    for k in range(a, b, rows):
+                        band = (at[k : min(b, k + rows), None] - own).ravel() // wide
+                        counts[item] += np.bincount(band - low, minlength=len(counts[item]))
+        found = []
+        for item in sorted(counts):
+            both = counts[item].copy()  # a band holds its own diagonals and the next one's
+            both[:-1] += counts[item][1:]
+            band = np.flatnonzero((both >= self.least[item]) & (both > 0)) - (len(self.seqs[item]) // (int(self.edits[item]) + 1)) - 2
+            found.append(np.stack((np.full(len(band), item), band), 1))
+        return np.concatenate(found)
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """item_id, start, end (code points of the text) and edits of each passage, the closest of those that overlap."""
         seq, kept = normalised(text)
@@ -154,6 +191,14 @@ class Index:
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
+def shared_by_diagonal(text: np.ndarray, item: np.ndarray, length: int, m: int) -> np.ndarray:
+    """How many pairs of a place in a text and one in an item lie on each diagonal from 1 - m on: a convolution."""
+    size = 1 << int(np.ceil(np.log2(length + m)))
+    a, b = np.zeros(size), np.zeros(size)
+    a[text], b[m - 1 - item] = 1, 1
+    return np.rint(np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), size)[: length + m - 1])
+
+
 def banded_alignment(seq: np.ndarray, item: np.ndarray, diagonal: int, width: int, edits: int) -> tuple[int, int, int] | None:
     """Where in seq the item lies with the fewest edits, on diagonals from ``diagonal`` on, and how many; None if over ``edits``."""
     m = len(item)
@@ -166,7 +211,7 @@ def banded_alignment(seq: np.ndarray, item: np.ndarray, diagonal: int, width: in
     best = int(end.argmin())
     if end[best] > edits:
         return None
-    stop = diagonal + m + best
+    stop = min(diagonal + m + best, len(seq))  # letters beyond the text's end are edits, not part of the passage
     back = _ends(seq[:stop][::-1], item[::-1], -edits, 2 * edits, free_start=False)
     start = stop - (m - edits + int(back.argmin()))
     return max(0, start), stop, int(end[best])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import ball_kmeans, lattice_links, merkle, registry
+from engramlake.llm import ball_kmeans, decontamination, lattice_links, merkle, registry
 from engramlake.llm.lattice_links import Block
 
 VECTORS = "vec_id long, embedding array<double>, label int, node long, v string, code string, entry int, cell int, block int, links int, n int, tree int"
@@ -273,3 +273,34 @@ def test_sql_of_links_and_codes_on_hard_rows(spark, tmp_path):
         got = registry.QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect()), key=repr) == sql_rows(f"{tmp_path}/embeddings.parquet/*.parquet", "embeddings", name, ", ".join(got.columns))
     assert registry.op12_lattice_links(spark, str(tmp_path)).agg(F.sum("n_links")).first()[0] > 0
+
+
+# 6: repetitive texts and items
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_crowded_bands_are_the_listed_ones(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    piece = ["a", "0 ", "ab", "abc 1 ", "tick tock ", "x" * 7 + "y"][seed]
+    items = [(1, piece * 60), (2, "other words " + piece * 20 + "and an end"), (3, "entirely different text of an item that is long enough"), (4, piece * 200)]
+    texts = [piece * 300, "start " + piece * 90 + " middle entirely different text of an item that is long enough " + piece * 40, "".join(rng.choice([piece, "other ", "z"], 200))]
+    index = decontamination.Index(items, decontamination.Q, decontamination.EDIT_RATE)
+    for text in texts:
+        seq, _ = decontamination.normalised(text)
+        monkeypatch.setattr(decontamination, "PAIRS", 10**9)
+        listed, matches = index.bands(seq), index.matches(text)
+        monkeypatch.setattr(decontamination, "PAIRS", 50)
+        assert (index.bands(seq) == listed).all() and index.matches(text) == matches and (len(listed) or text is texts[2])
+
+
+def test_long_runs_of_one_letter_need_little_memory():
+    import tracemalloc
+
+    index = decontamination.Index([(1, "a" * 5000), (2, "0 " * 2000)], decontamination.Q, decontamination.EDIT_RATE)
+    tracemalloc.start()
+    found = index.matches("a" * 200_000)
+    other = index.matches("0 " * 60_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and len(found) >= 35 and {f[0] for f in found} == {1} and {f[3] for f in found} == {0}
+    assert {f[0] for f in other} == {2} and len(other) >= 25

@@ -102,3 +102,24 @@ def response(results: DataFrame, query: str, by: tuple[Column, ...], kind: str =
     listed = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"])
     head = F.concat(F.lit('{"query":'), F.substring(F.to_json(F.array(F.lit(query))), F.lit(2), F.length(F.to_json(F.array(F.lit(query)))) - 2), F.lit(',"total":'))
     return rows.agg(F.concat(head, F.count("*").cast("string"), F.lit(',"results":['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
+
+
+# fixed values: lists as responses show them; fields in the second tuple are left out where they are empty
+LISTS = {
+    "summaries": (("id", "memory_session_id", "project", "request", "investigated", "learned", "completed", "next_steps", "notes", "created_at"), ("request", "investigated", "learned", "completed", "next_steps", "notes")),
+    "prompts": (("id", "content_session_id", "project", "prompt", "prompt_number", "created_at"), ()),
+}
+
+
+def list_response(rows: DataFrame, kind: str, by: tuple[Column, ...]) -> DataFrame:
+    """One row: the JSON of a list response (a limited list), its rows in order."""
+    shown, optional = LISTS[kind]
+
+    def field(c: str) -> Column:
+        if c in optional:
+            return F.nullif(F.col(c), F.lit(""))
+        return rfc3339(F.col(c)) if c == "created_at" else F.col(c)
+
+    made = rows.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], F.to_json(F.struct(*[field(c).alias(c) for c in shown])).alias("json")).alias("r"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"]), ",")
+    return made.agg(F.concat(F.lit(f'{{"{kind}":['), listed, F.lit('],"total":'), F.count("*").cast("string"), F.lit("}")).alias("body"))

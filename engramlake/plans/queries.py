@@ -16,7 +16,7 @@ from ..sources import memory, versions
 from ..sources.postings import Postings
 from ..sources.remote import COLLECTIONS
 from ..sources.vector_cells import VectorIndex
-from ..sources.tables import TableSet
+from ..sources.tables import Change, TableSet
 from ..streaming import ingest, lifecycle
 from .oracles import NEWEST, PLAIN, TOKENS, cosine, single_rank, sql
 
@@ -653,6 +653,21 @@ def _(s, d):
     return changes.legacy_rows(raw, o.filter("id % 3 = 0"), ("facts",)).select("id", "sync_id", "created_at_epoch", "created_at", "facts")
 
 
+# times as older stores have them: ISO with and without fractions and offsets, none, and what is no time
+_LEGACY_TIMES = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'.250Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+
+
+@query("legacy_import_times", sql("SELECT id, created_at_epoch, CASE id % 5 WHEN 0 THEN created_at + INTERVAL 1 DAY WHEN 1 THEN created_at + INTERVAL 1 DAY + INTERVAL 250 MILLISECOND WHEN 2 THEN created_at + INTERVAL 22 HOUR ELSE created_at END AS created_at FROM obs"))
+def _(s, d):
+    o = OBS(s, d)
+    later = F.timestamp_seconds(F.col("created_at_epoch") + 86400)
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(_LEGACY_TIMES):
+        text = F.when(F.col("id") % 5 == k, F.date_format(later, form)).otherwise(text)
+    raw = o.select("id", "sync_id", F.when(F.col("id") % 5 == 3, "no time").otherwise(text).alias("created_at"), F.expr(_LEGACY_AT).alias("created_at_epoch"), F.lit("[]").alias("facts"))
+    return changes.legacy_rows(raw, o.limit(0), ("facts",)).select("id", "created_at_epoch", "created_at")
+
+
 @query("legacy_import_summaries", sql("SELECT id, sync_id, created_at_epoch FROM sums WHERE sync_id IS NULL OR id % 3 <> 0"))
 def _(s, d):
     u = SUMS(s, d)
@@ -749,6 +764,28 @@ def _(s, d):
     return made.agg(F.count_distinct("r").alias("ids"), F.bool_and(F.col("r").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("formed"))
 
 
+def _listed(body: DataFrame, kind: str) -> DataFrame:
+    rows = F.from_json(F.get_json_object("body", f"$.{kind}"), "array<string>")
+    return body.select(F.get_json_object("body", "$.total").alias("total"), F.posexplode(rows).alias("n", "r"))
+
+
+@query("summaries_response_json", sql(f"SELECT CAST(count(*) OVER () AS VARCHAR) AS total, CAST(row_number() OVER ({NEWEST}) - 1 AS INTEGER) AS n, id, memory_session_id, nullif(request, '') AS request, nullif(completed, '') AS completed, 8 - CAST(coalesce(request, '') = '' AS INTEGER) - CAST(coalesce(completed, '') = '' AS INTEGER) - CAST(coalesce(learned, '') = '' AS INTEGER) - CAST(coalesce(next_steps, '') = '' AS INTEGER) AS fields, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM (SELECT * FROM sums WHERE project = '{PROJECT}' {NEWEST} LIMIT 20)"))
+def _(s, d):
+    rows = lists.list_summaries(SUMS(s, d), PROJECT).withColumns({"created_at": F.timestamp_seconds("created_at_epoch"), "notes": F.lit("")})
+    body = js.list_response(rows, "summaries", (-F.col("created_at_epoch"), -F.col("id")))
+    field = lambda n: F.get_json_object("r", f"$.{n}")
+    fields = F.size(F.json_object_keys("r"))
+    return _listed(body, "summaries").select("total", "n", field("id").cast("long").alias("id"), field("memory_session_id").alias("memory_session_id"), field("request").alias("request"), field("completed").alias("completed"), fields.alias("fields"), field("created_at").alias("created_at"))
+
+
+@query("prompts_response_json", sql(f"SELECT CAST(count(*) OVER () AS VARCHAR) AS total, CAST(row_number() OVER ({NEWEST}) - 1 AS INTEGER) AS n, id, prompt, prompt_number, strftime(make_timestamp(created_at_epoch * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM (SELECT * FROM prompts WHERE project = '{PROJECT}' {NEWEST} LIMIT 50)"))
+def _(s, d):
+    rows = lists.list_prompts(PROMPTS(s, d), PROJECT).withColumn("created_at", F.timestamp_seconds("created_at_epoch"))
+    field = lambda n: F.get_json_object("r", f"$.{n}")
+    body = js.list_response(rows, "prompts", (-F.col("created_at_epoch"), -F.col("id")))
+    return _listed(body, "prompts").select("total", "n", field("id").cast("long").alias("id"), field("prompt").alias("prompt"), field("prompt_number").cast("long").alias("prompt_number"), field("created_at").alias("created_at"))
+
+
 @query("search_response_json", sql(f"SELECT CAST(count(*) OVER () AS VARCHAR) AS total, 'fi\"le' AS query, id, title, project, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM (SELECT {PLAIN} FROM obs WHERE project = '{PROJECT}' AND (list_contains(coalesce(files_read, []), '{_FILE}') OR list_contains(coalesce(files_modified, []), '{_FILE}')) {NEWEST} LIMIT 20)"))
 def _(s, d):
     found = search.search_by_file(OBS(s, d), _FILE, PROJECT)
@@ -795,6 +832,17 @@ def _(s, d):
     return c.select("conv_id", "turn", "cut", F.when(~F.col("cut"), scalar.summary_prompt(F.col("text"), F.lit("p"))).alias("prompt"))
 
 
+@query(
+    "llm_prompt_cut",
+    """WITH chars AS (SELECT doc_id, strlen(c) AS b, i FROM (SELECT doc_id, unnest(string_split(left(text, 4000), '')) AS c, generate_subscripts(string_split(left(text, 4000), ''), 1) AS i FROM documents)),
+    cuts AS (SELECT doc_id, count(*) FILTER (b <= 4000) AS n FROM (SELECT doc_id, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM chars) GROUP BY doc_id)
+    SELECT doc_id, 'Tool: Read' || chr(10) || 'Project: ' || source || chr(10) || 'Working Directory: /w' || chr(10) || chr(10) || 'Input:' || chr(10) || CASE WHEN strlen(text) <= 4000 THEN text ELSE left(text, n) || '... (truncated)' END || chr(10) || chr(10) || 'Output:' || chr(10) || 'ok' AS prompt FROM documents LEFT JOIN cuts USING (doc_id)""",
+)
+def _(s, d):
+    c = memory.read(s, d, "documents")
+    return c.select("doc_id", scalar.tool_prompt(F.lit("Read"), F.col("text"), F.lit("ok"), F.lit("/w"), F.col("source")).alias("prompt"))
+
+
 @query("parse_observation_json", "SELECT event_id, event_id % 3 <> 0 AS valid, CASE WHEN event_id % 3 <> 0 THEN event_type END AS title, CASE WHEN event_id % 3 <> 0 THEN ['a', event_type] END AS facts FROM events")
 def _(s, d):
     good = F.to_json(F.struct(F.col("event_type").alias("title"), F.array(F.lit("a"), F.col("event_type")).alias("facts")))
@@ -944,3 +992,38 @@ def _(s, d):
 def _(s, d):
     queue = ingest.queue_messages(ingest.normalized(_hooks(_stream(s, d, "events").union(_stream(s, d, "events")))).withColumn("project", F.lit("p")))
     return _run(ingest.without_replays(queue, "60 days"), s).agg(F.count("*").alias("messages"))
+
+
+# the same changes on stored tables: an upsert rewrites the parts that it touches
+
+
+def _stored(s: SparkSession, rows: DataFrame, schema: str, key: str) -> TableSet:
+    store = TableSet(s, versions.scratch_path(s), {"t": (schema, key)})
+    store.commit(store.manifest(), {"t": Change(rows)})
+    return store
+
+
+@query("upsert_sessions_stored", ORACLES["upsert_sessions"])
+def _(s, d):
+    old = SESS(s, d).filter("id % 2 = 0").select("content_session_id", "project", "started_at_epoch")
+    store = _stored(s, old, "content_session_id string, project string, started_at_epoch bigint", "content_session_id")
+    arriving = memory._turns(s, d).select("content_session_id", F.concat(F.lit("new"), (F.col("conv_id") % 5).cast("string")).alias("project"), F.col("epoch").alias("started_at_epoch"))
+    store.upsert("t", arriving, changes.upsert_sessions)
+    return store.read("t")
+
+
+@query("settings_upsert_stored", ORACLES["settings_upsert"])
+def _(s, d):
+    store = _stored(s, memory.settings(s, d), "key string, value string", "key")
+    incoming = memory.read(s, d, "events").select(F.concat(F.lit("client_push:u"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    store.upsert("t", incoming, changes.settings_upsert)
+    return store.read("t")
+
+
+@query("mark_synced_stored", ORACLES["mark_synced"])
+def _(s, d):
+    o = OBS(s, d).select("id", "sync_id", "sync_version")
+    store = _stored(s, o, "id bigint, sync_id string, sync_version bigint", "id")
+    accepted = o.filter("sync_version = 0 and id % 2 = 0 and sync_id is not null")
+    store.upsert("t", accepted, lambda rows, taken: changes.mark_synced(rows, taken, 1_800_000_000))
+    return store.read("t").select("id", "sync_version")

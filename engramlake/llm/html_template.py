@@ -33,6 +33,7 @@ from .common import rows_of, stored
 # a quote opens only behind an equals sign; one that is never closed doesn't count
 MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|/?([a-zA-Z][^\s/>]*)([^>=]*(?:=(?:\s*(?:\"[^\"]*\"|'[^']*'))?[^>=]*)*)>)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
@@ -418,16 +419,42 @@ def host_templates(bodies: DataFrame, tokens: DataFrame, *, held_tokens: int = 2
 def extract(source: str, constant: set[int], main: int | None) -> str:
     """The text of the article of one page.
 
-    What belongs to the template or is set aside is dropped everywhere.  Of the rest, what stands in
+    What is set aside is dropped everywhere.  Of what doesn't belong to the template, what stands in
     the host's main slot is kept; main elements stand for it where they hold at least half of its
-    text on this page, or where there is no slot, and without both everything is kept."""
+    text on this page, or where there is no slot, and without both everything is kept.  Text of the
+    template stays if it belongs to the flow of what is kept."""
     page = parse(source)
-    blocks = [b for b in page.blocks if not b.aside and text_token(b) not in constant]
-    slot = [b for b in blocks if any(tag_hash(page.tags[s]) == main for s in b.slots)] if main is not None else []
-    hinted = [b for b in blocks if b.main]
+    every = [b for b in page.blocks if not b.aside]
+    own = [text_token(b) not in constant for b in every]
+
+    def in_slot(b: Block) -> bool:
+        return main is not None and any(tag_hash(page.tags[s]) == main for s in b.slots)
+
+    slot = [b for b, fresh in zip(every, own) if fresh and in_slot(b)]
+    hinted = [b for b, fresh in zip(every, own) if fresh and b.main]
     if slot and 2 * sum(len(b.text) for b in slot if b.main) < sum(len(b.text) for b in slot):
         hinted = []
-    return "\n".join(b.text for b in hinted or slot or blocks)
+    if not hinted and not slot:
+        return "\n".join(b.text for b, fresh in zip(every, own) if fresh)
+    zone = [(b, fresh) for b, fresh in zip(every, own) if (b.main if hinted else in_slot(b))]
+    return "\n".join(b.text for b, kept in zip((b for b, _ in zone), _flow(zone)) if kept)
+
+
+def _flow(zone: list[tuple[Block, bool]]) -> list[bool]:
+    """Which blocks of the main slot stay: a page's own, and of those that pages share the ones in their flow.
+
+    Repetition alone doesn't make a subheading boilerplate.  Shared text stays if it isn't mostly
+    links, stands in the element that holds own text, and has own text behind it and, unless it is a
+    heading, before it."""
+    first = next(k for k, (_, fresh) in enumerate(zone) if fresh)
+    last = max(k for k, (_, fresh) in enumerate(zone) if fresh)
+    holders = {b.slots[-2:-1] for b, fresh in zone if fresh}
+
+    def stays(k: int, b: Block) -> bool:
+        between = k < last and (k > first or HEADING.search(b.path) is not None)
+        return between and b.slots[-2:-1] in holders and 2 * b.linked <= len(b.text)
+
+    return [fresh or stays(k, b) for k, (b, fresh) in enumerate(zone)]
 
 
 def main_text(pages: DataFrame, *, broadcast_rows: int = 100_000, **options) -> DataFrame:

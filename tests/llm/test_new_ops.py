@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import ball_kmeans, decontamination, lattice_links, merkle, registry
+from engramlake.llm import ball_kmeans, decontamination, html_template, lattice_links, merkle, registry
 from engramlake.llm.lattice_links import Block
 
 VECTORS = "vec_id long, embedding array<double>, label int, node long, v string, code string, entry int, cell int, block int, links int, n int, tree int"
@@ -304,3 +304,27 @@ def test_long_runs_of_one_letter_need_little_memory():
     tracemalloc.stop()
     assert peak < 400e6 and len(found) >= 35 and {f[0] for f in found} == {1} and {f[3] for f in found} == {0}
     assert {f[0] for f in other} == {2} and len(other) >= 25
+
+
+# 5: text that pages share within their articles
+
+
+def test_shared_subheadings_stay(spark):
+    """Repetition alone is no verdict within an article; links, other elements and the edges are."""
+
+    def article(i):
+        parts = "<h2>Introduction</h2>" + f"<p>How story {i} begins, at some length</p><p><b>In short</b></p><p>Story {i} goes on</p>" + "<h2>Conclusion</h2>" + f"<p>How story {i} ends</p>"
+        extra = "<p><a href=x>Read our best stories of the year</a></p><div class=box><p>Become a member today</p></div>"
+        return f"<h1>Title {i}</h1><p>By the editors</p>{parts.replace('<h2>Conclusion', extra + '<h2>Conclusion')}<p>Follow our channel</p><h3>More from us</h3>"
+
+    rows = [(i, f"http://h{i % 2}.example/x", f"<body><p>Site</p>{'<article>' if i % 2 else '<div class=story>'}{article(i)}{'</article>' if i % 2 else '</div>'}</body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.main_text(df).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nBy the editors\nIntroduction\nHow story {i} begins, at some length\nIn short\nStory {i} goes on\nConclusion\nHow story {i} ends"
+
+
+def test_three_pages_of_a_host_keep_their_headings(spark):
+    rows = [(i, "http://h.example/x", f"<body><nav>Menu</nav><article><h2>Introduction</h2><p>Text {i} one</p><h2>Conclusion</h2><p>Text {i} two</p></article></body>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html_template.main_text(df).collect()} == {f"Introduction\nText {i} one\nConclusion\nText {i} two" for i in range(3)}

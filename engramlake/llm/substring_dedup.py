@@ -5,12 +5,15 @@ cuts move with the text: after an insertion they fall into step again within a f
 Where it has none for long, as in a word that is repeated over and over, the least hash around cuts.
 Chunks with the same digest in different documents are stored once, with the smallest doc_id; a
 passage is a run of neighbouring chunks that each occur in another document too.  A run that is too
-short as it stands, but might not be with the parts of chunks at its ends, is extended character by
-character against another document that holds one of its chunks.
+short as it stands might not be with the parts of chunks at its ends.  If another document has some
+of its chunks in a row, wherever, both hash each stretch of as many words as a passage has around them,
+and stretches that documents share are passages: no document stands for the others.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +31,11 @@ STRETCH = 64  # bytes without a cut, beyond which there are further ones
 LEAST_WORDS = 50  # of a passage
 LEAST_CHARS = 500  # or so many, for scripts without spaces
 NEAR = 3  # chunks on either side of a run in which a passage may begin or end: cuts fall into step within them
+IN_A_ROW = 3  # chunks of a short run that another document must have in a row,
+LONG, VERY_LONG = 48, 96  # or one of so many characters, in a run of fewer chunks, or in any
+SPARSE = 20  # characters a word, beyond which characters count
 FIELD = 1 << 10  # room for each count in the shape of a chunk
+WORD = re.compile(r"\S+")
 
 
 @lru_cache(maxsize=1)
@@ -135,149 +142,155 @@ def _word_begins(data: np.ndarray) -> np.ndarray:
 
 def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """A row for each passage of ``docs(doc_id, text)`` that other documents hold too, of at least
-    ``least_words`` words or ``least_chars`` characters: doc_id, row, start, end, first_doc, repeats.
+    ``least_words`` words or, where words are rarer than one in ten characters, ``least_chars``
+    characters: doc_id, row, start, end, first_doc, repeats.
 
     start and end are code points, end exclusive.  A passage with enough in whole chunks is reported
-    as these; others as far as they agree, within ``least_chars`` of a chunk, with the first or the
-    last document that holds one of their chunks.  first_doc is the smallest doc_id seen with it;
-    where it is the document itself, the passage stays, else it is a copy (repeats).  Null and empty
-    texts and null doc_ids have no passages, and rows that repeat a doc_id are one document: what
+    as these, others as the words (or characters) that agree.  first_doc is the smallest doc_id seen
+    with it; where it is the document itself, the passage stays, else it is a copy (repeats).  Null and
+    empty texts and null doc_ids have no passages, and rows that repeat a doc_id are one document: what
     only they share isn't repeated.  row is the hash (xxhash64) of the text that the places refer
     to; equal rows are reported once.  Other columns are ignored."""
     chunks = chunk_rows(docs)
     shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     # how often a chunk occurs isn't bounded: its rows are a skewed join key, which Spark can split
     # where the other side isn't aggregated in the same stage
-    shared = stored(shared, "shared-chunks")
-    hits = stored(chunks.join(shared.hint("merge"), "digest"), "chunk-hits")
+    shared = stored(shared.select("digest", "first_doc"), "shared-chunks")
+    hits = chunks.join(shared.hint("merge"), "digest")
     ordered = hits.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start")
-    runs = stored(ordered.mapInArrow(_runs(least_words, least_chars), f"{PASSAGE}, {ANCHOR}"), "chunk-runs")
-    sure = runs.filter("digest is null").select(*PASSAGE_NAMES)
-    return sure.unionByName(_extended(docs, hits, runs.filter("digest is not null"), least_words, least_chars))
+    runs = stored(ordered.mapInArrow(_runs(least_words, least_chars), f"{PASSAGE}, gram long, short boolean"), "chunk-runs")
+    sure = runs.filter("gram is null").select(*PASSAGE_NAMES)
+    return sure.unionByName(_stretches(docs, runs.filter("gram is not null"), least_words, least_chars))
 
 
 PASSAGE = "doc_id long, row long, start long, end long, first_doc long, repeats boolean"
 PASSAGE_NAMES = ("doc_id", "row", "start", "end", "first_doc", "repeats")
-ANCHOR = "digest long, at long, size long, other long"  # a chunk of a short run, and a document that holds it too
 
 
 def _runs(least_words: int, least_chars: int):
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * 10
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=[*PASSAGE_NAMES, "digest", "at", "size", "other"])
+        cols = list(zip(*rows)) if rows else [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k in (5, 7) else pa.int64()) for k, c in enumerate(cols)], names=[*PASSAGE_NAMES, "gram", "short"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by document and place, the runs without gaps; one may reach over batches."""
+        """Of rows sorted by document and place, the runs without gaps; one may reach over batches.
+
+        Of each run also its chunks in a row (gram), by which a run that is short finds its like."""
         doc = None  # with its row
         parts: list[list] = []  # of a run, which differ in whether they are copies: start, end, first_doc, repeats
-        anchors: dict[int, tuple] = {}  # of a run that is still short, for each other document: size, digest, place
-        words = before = after = 0
+        row: list[tuple[int, int, int]] = []  # of a run: digest, start and end of its last chunks
+        grams: list[tuple] = []  # of a run that is still short, each with whether it asks in any run, or in one of few chunks
+        words = before = after = chunks = 0
+
+        def gram(size: int) -> tuple:
+            last = row[-size:]
+            return (*doc, last[0][1], last[-1][2], None, None, xxhash.xxh3_64_intdigest(repr([d for d, _, _ in last])) - (1 << 63))
 
         def done() -> list[tuple]:
             if not parts:
                 return []
-            if words >= least_words or parts[-1][1] - parts[0][0] >= least_chars:
-                return [(*doc, *p, None, None, None, None) for p in parts]
+            size = parts[-1][1] - parts[0][0]
+            if words >= least_words or size >= least_chars:
+                return [(*doc, *p, None, None) for p in parts]
             # words that begin before the run and reach into it count on neither side
-            if before + words + after + 1 < least_words and parts[-1][1] - parts[0][0] + 2 * NEAR * LONGEST < least_chars:
-                return []
-            return [(*doc, parts[0][0], parts[-1][1], None, None, digest, at, size, other) for other, (size, digest, at) in anchors.items()]
+            near = before + words + after
+            might = near + 1 >= least_words or near * SPARSE < size + 2 * NEAR * SPREAD
+            return [(*g, might and (always or chunks < IN_A_ROW)) for g, always in grams]
 
-        names = ("doc_id", "row", "start", "shape", "first_doc", "last_doc", "digest")
+        names = ("doc_id", "row", "start", "shape", "first_doc", "digest")
         for batch in batches:
             out: list[tuple] = []
-            for i, r, s, shape, f, last, digest in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+            for i, r, s, shape, f, digest in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
                 d, n = (i, r), shape % FIELD
                 if d == doc and parts and s < parts[-1][1]:
                     continue  # the same chunk of an equal row
                 if d != doc or s > parts[-1][1]:
                     out += done()
-                    doc, parts, anchors, words, before = d, [], {}, 0, shape // FIELD**2 % FIELD
+                    doc, parts, row, grams, words, chunks, before = d, [], [], [], 0, 0, shape // FIELD**2 % FIELD
                 if parts and parts[-1][3] == (f < i):
                     parts[-1][1], parts[-1][2] = s + n, min(parts[-1][2], f)
                 else:
                     parts.append([s, s + n, f, f < i])
-                words, after = words + shape // FIELD % FIELD, shape // FIELD**3
+                own = shape // FIELD % FIELD
+                words, after, chunks = words + own, shape // FIELD**3, chunks + 1
+                row = [*row[-IN_A_ROW + 1 :], (digest, s, s + n)]
+                made = [(gram(IN_A_ROW), True)] if chunks >= IN_A_ROW else []
+                if n >= LONG or (shape // FIELD**2 % FIELD + own + after) * SPARSE < n + 2 * NEAR * SPREAD:
+                    made.append((gram(1), n >= VERY_LONG))
+                grams += made
                 if words >= least_words or s + n - parts[0][0] >= least_chars:
-                    anchors.clear()
-                    continue
-                for other in {f, last} - {i}:
-                    anchors[other] = max(anchors.get(other, (0,)), (n, digest, s))
+                    out += [(*g, False) for g, _ in grams]  # what is sure already only answers the short runs of others
+                    grams = []
             yield table_of(out)
         yield table_of(done())
 
     return run
 
 
-def _extended(docs: DataFrame, hits: DataFrame, anchors: DataFrame, least_words: int, least_chars: int) -> DataFrame:
-    """Of short runs, those that are long enough together with what agrees around a chunk.
+def _stretches(docs: DataFrame, grams: DataFrame, least_words: int, least_chars: int) -> DataFrame:
+    """Passages around chunks that a short run and another document have in a row.
+
+    Stretches of least_words words that hold the middle of such a place are hashed, in every
+    document that has it, and those that two documents share are passages; the lists are of one text."""
+    asked = grams.groupBy("gram").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l"), F.max("short").alias("s")).filter("f < l and s")
+    asked = stored(asked.select("gram"), "asked-grams")
+    spots = grams.join(asked.hint("merge"), "gram").groupBy("doc_id", "row").agg(F.collect_set(F.floor((F.col("start") + F.col("end")) / 2).cast("int")).alias("spots"))
+    spots = stored(spots, "spots").withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    found = texts.join(spots, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, row, text, middles in rows_of(batches, "doc_id", "row", "text", "spots"):
+            starts, ends = stretches(text, sorted(middles), least_words, least_chars)
+            digests = [xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 63) for a, b in zip(starts, ends)]
+            for at in range(0, len(digests), 50_000):
+                part = slice(at, at + 50_000)
+                n = len(digests[part])
+                yield pa.RecordBatch.from_arrays([pa.array(digests[part], pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(starts[part], pa.int64()), pa.array(ends[part], pa.int64())], names=["stretch", "doc_id", "row", "start", "end"])
+
+    hashed = stored(found.select("doc_id", "row", "text", "spots").mapInArrow(hashes, "stretch long, doc_id long, row long, start long, end long"), "stretches")
+    shared = hashed.groupBy("stretch").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("l")).filter("first_doc < l").select("stretch", "first_doc")
+    shared = stored(shared, "shared-stretches")
+    same = hashed.join(shared.hint("merge"), "stretch").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start", "end")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches that overlap, and are copies or not alike, as one passage."""
+        held: dict[bool, list] = {}
+
+        def table_of(rows: list[list]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=list(PASSAGE_NAMES))
 
-    Only what stands within least_words and least_chars of a chunk of the other document travels, to
-    where the run's own text is: more would be enough by itself.  Lists are of chunks of one text."""
-    place = hits.filter("doc_id = first_doc or doc_id = last_doc").select("digest", F.col("doc_id").alias("other"), "row", F.col("start").alias("at"), (F.col("shape") % FIELD).alias("size"))
-    place = place.join(anchors.select("digest", "other").distinct(), ["digest", "other"], "left_semi").groupBy("digest", "other").agg(F.min(F.struct("row", "at", "size")).alias("p"))
-    lists = place.groupBy(F.col("other").alias("doc_id"), F.col("p.row").alias("row")).agg(F.collect_list(F.struct("digest", "p.at", "p.size")).alias("asked"))
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").groupBy("doc_id", "row").agg(F.first("text").alias("text"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, text, asked in rows_of(batches, "doc_id", "text", "asked"):
+        for batch in batches:
             out = []
-            for s in asked:
-                at, end = s["at"], s["at"] + s["size"]
-                left = text[max(at - least_chars, 0) : at]
-                right = text[end : end + least_chars]
-                left = left[len(left) - _reach(left[::-1], least_words) :]
-                out.append((s["digest"], doc_id, left.encode("utf-8", "surrogatepass"), text[at : end + _reach(right, least_words)].encode("utf-8", "surrogatepass")))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=["digest", "other", "left", "right"])
-
-    there = texts.join(lists, ["doc_id", "row"]).mapInArrow(cut, "digest long, other long, left binary, right binary")
-    pairs = anchors.select("doc_id", "row", F.col("start").alias("run"), "at", "size", "digest", "other").join(there, ["digest", "other"])
-    sides = pairs.groupBy("doc_id", "row").agg(F.collect_list(F.struct("run", "at", "size", "other", "left", "right")).alias("asked"))
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, row, text, asked in rows_of(batches, "doc_id", "row", "text", "asked"):
-            best: dict[int, tuple] = {}  # of each run the longest, then the one with the smallest other document
-            for s in asked:
-                at, other = s["at"], s["other"]
-                left, right = (s[k].decode("utf-8", "surrogatepass") for k in ("left", "right"))
-                own = text[max(at - least_chars, 0) : at][::-1], text[at : at + s["size"] + least_chars]
-                x, y = _longest(*own, left + right, s["size"])
-                if x + y >= least_chars or len(text[at - x : at + y].split()) >= least_words:
-                    best[s["run"]] = max(best.get(s["run"], (0,)), (x + y, -other, at - x, at + y))
-            out = [(doc_id, row, start, end, min(doc_id, -o), -o < doc_id) for _, o, start, end in best.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out) if out else [[]] * 6)], names=list(PASSAGE_NAMES))
-
-    return texts.join(sides, ["doc_id", "row"]).mapInArrow(extend, PASSAGE)
-
-
-def _reach(text: str, words: int) -> int:
-    """How many of its characters hold so many words and the white space after them."""
-    rest = text.split(None, words)[words:]
-    return len(text) - len(rest[0]) if rest else len(text)
-
-
-def _longest(left: str, right: str, other: str, size: int) -> tuple[int, int]:
-    """How far to the left (which is read leftwards) and to the right of a chunk's start another text
-    agrees, at the best place of the chunk there; it has several where a word is repeated over and over."""
-    chunk, backwards = right[:size], other[::-1]
-    best, at = (0, 0), other.find(chunk)
-    while at >= 0:
-        best = max(best, (_common(left, backwards[len(other) - at :]), _common(right, other[at:])), key=sum)
-        at = other.find(chunk, at + 1)
-    return best
-
-
-def _common(a: str, b: str) -> int:
-    """How far two texts agree from their beginning."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+            for i, r, a, b, f in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row", "start", "end", "first_doc"))):
+                last = held.get(f < i)
+                if last and last[:2] == [i, r] and a <= last[3]:
+                    last[3], last[4] = max(last[3], b), min(last[4], f)
+                    continue
+                if last:
+                    out.append(last)
+                held[f < i] = [i, r, a, b, f, f < i]
+            yield table_of(out)
+        yield table_of(list(held.values()))
+
+    return same.select("doc_id", "row", "start", "end", "first_doc").mapInArrow(merged, PASSAGE)
+
+
+def stretches(text: str, middles: list[int], least_words: int, least_chars: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches of least_words whole words that hold one of the places, and of
+    those of least_chars characters where words are rare."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    begins = [a for a, _ in spans]
+    words, chars = set(), set()
+    for at in middles:
+        w = bisect_right(begins, at) - 1
+        words.update(range(max(0, w - least_words + 1), min(w, len(spans) - least_words) + 1))
+        low, high = max(0, at - least_chars), min(len(text), at + least_chars)
+        if (bisect_right(begins, high) - bisect_right(begins, low)) * SPARSE < high - low:
+            chars.update(range(max(0, at - least_chars + 1), min(at, len(text) - least_chars) + 1))
+    words, chars = sorted(words), sorted(chars)
+    return [begins[k] for k in words] + chars, [spans[k + least_words - 1][1] for k in words] + [c + least_chars for c in chars]
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Product codes, lattice links and the manifest against brute force and their SQL twins."""
 
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import ball_kmeans, decontamination, html_template, lattice_links, merkle, registry
+from engramlake.llm import ball_kmeans, decontamination, html_template, lattice_links, merkle, registry, substring_dedup
 from engramlake.llm.lattice_links import Block
 
 VECTORS = "vec_id long, embedding array<double>, label int, node long, v string, code string, entry int, cell int, block int, links int, n int, tree int"
@@ -328,3 +329,70 @@ def test_three_pages_of_a_host_keep_their_headings(spark):
     rows = [(i, "http://h.example/x", f"<body><nav>Menu</nav><article><h2>Introduction</h2><p>Text {i} one</p><h2>Conclusion</h2><p>Text {i} two</p></article></body>") for i in range(3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in html_template.main_text(df).collect()} == {f"Introduction\nText {i} one\nConclusion\nText {i} two" for i in range(3)}
+
+
+# 8: passages of fifty words among documents that hold parts of them
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)]
+
+
+def fifty_word_documents(texts, n=50):
+    """doc_ids that share n whole words in a row, with what stands between them, with another."""
+    seen = {}
+    for i, t in texts:
+        spans = [m.span() for m in re.finditer(r"\S+", t)]
+        for a, b in zip(spans, spans[n - 1 :]):
+            seen.setdefault(t[a[0] : b[1]], set()).add(i)
+    return {i for ids in seen.values() if len(ids) > 1 for i in ids}
+
+
+@pytest.mark.parametrize("parts", [4, 2])
+def test_passages_whose_parts_other_documents_hold(spark, parts):
+    """Fragments that hide a passage's other holder behind their own documents."""
+    rng = np.random.default_rng(parts)
+    rows, n = [], 0
+    for k in range(60):
+        passage = words_of(rng, 52)
+        for _ in range(2):
+            rows.append((1000 + n, " ".join(words_of(rng, 40) + passage + words_of(rng, 40))))
+            n += 1
+        step = 52 // parts
+        for j in range(0, 52, step):
+            # parts of the passage, some of them long, at ids before and after
+            for base in (0, 100_000):
+                more = passage[max(0, j - 10) : j + step + 10] if parts == 2 else passage[j : j + step]
+                rows.append((base + 40 * k + j, " ".join(words_of(rng, 20) + more + words_of(rng, 20))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in substring_dedup.repeated_passages(df).collect()}
+    want = fifty_word_documents(rows)
+    assert want >= set(range(1000, 1000 + n)) and got >= want
+    assert len(got - want) <= 0.02 * len(rows)  # a word or two short of it
+
+
+def test_passages_of_the_given_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df).collect()
+    want = fifty_word_documents(rows)
+    assert {r.doc_id for r in found} >= want and len({r.doc_id for r in found} - want) <= 0.1 * len(want)
+    texts = dict(rows)
+    whole = []  # a passage that is a copy in part comes in pieces
+    for r in sorted(found, key=lambda r: (r.doc_id, r.start)):
+        if whole and whole[-1][0] == r.doc_id and r.start <= whole[-1][2]:
+            whole[-1][2] = max(whole[-1][2], r.end)
+        else:
+            whole.append([r.doc_id, r.start, r.end])
+    for i, a, b in whole:
+        assert len(texts[i][a:b].split()) >= 48 or b - a >= 500
+
+
+def test_passages_without_spaces(spark):
+    rng = np.random.default_rng(2)
+    signs = lambda n: "".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, n))
+    shared, short = signs(560), signs(300)
+    rows = [(1, signs(200) + shared + signs(100)), (2, signs(50) + shared + signs(90)), (3, signs(100) + shared[:250] + signs(90)), (4, signs(30) + short), (5, short + signs(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.end - r.start >= 500 for r in got)

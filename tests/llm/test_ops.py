@@ -609,12 +609,6 @@ def test_repeats_are_settled_at_fifty_words(spark):
     assert all((len(r.text) < len(text[r.doc_id]) - 200) == (r.doc_id in long_enough and r.doc_id % 2 == 1) for r in cut)
 
 
-def test_agreement_at_the_best_place():
-    assert substring_dedup._common("", "a") == 0 and substring_dedup._common("abcd", "abxd") == 2 and substring_dedup._common("abc", "abcd") == 3
-    assert substring_dedup._longest(" ba", "ab ab xyz", "ab ab ab ab", 5) == (3, 6)
-    assert substring_dedup._longest("", "abcdef", "no", 3) == (0, 0)
-
-
 def test_chunks_cover_and_fall_into_step():
     data = np.frombuffer(("émile " + "the quick brown fox jumps over " * 3 + "x" * 900 + " and " + " ".join(str(i * i) for i in range(400))).encode(), dtype=np.uint8)
     ends = substring_dedup.cuts(data)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from .functions.models import Embedder
 from .functions.scalar import day_bounds
 from .operators import changes, context, lists, search
 from .sources import memory
+from .sources.postings import Postings
+from .sources.vector_cells import VectorIndex, usable
 
 # fixed values: limits where none, or none that makes sense, is given
 LIMITS = {"search": 10, "by_file": 20, "timeline": 50, "observations": 20, "summaries": 20, "prompts": 50, "pull": 100, "context_observations": 50, "context_summaries": 10, "context_full": 5}
@@ -35,18 +37,35 @@ class Memory:
     settings: DataFrame
     embedder: Embedder
     config: str = "english"
+    indexes: tuple[search.Indexes | None, search.Indexes | None] = (None, None)  # of observations and of summaries
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, embedder: Embedder, config: str = "english") -> Memory:
         return cls(memory.observations(spark, sf_dir), memory.summaries(spark, sf_dir), memory.user_prompts(spark, sf_dir), memory.sessions(spark, sf_dir), memory.settings(spark, sf_dir), embedder, config)
 
+    def indexed(self, root: str) -> Memory:
+        """The same memory, its searches answered from indexes that are built under ``root``."""
+
+        def build(rows: DataFrame, fields: list[tuple[str, str]], name: str) -> search.Indexes:
+            postings = Postings(rows.sparkSession, f"{root}/{name}/postings", fields, self.config)
+            postings.append(rows, 0)
+            with_vectors = rows.select("id", "project", "embedding").filter(usable())
+            if with_vectors.isEmpty():
+                return search.Indexes(postings, None)
+            cells = VectorIndex(rows.sparkSession, f"{root}/{name}/vectors")
+            cells.train(with_vectors)
+            cells.append(with_vectors, 0)
+            return search.Indexes(postings, cells)
+
+        return replace(self, indexes=(build(self.observations, search.OBSERVATION_FIELDS, "observations"), build(self.summaries, search.SUMMARY_FIELDS, "summaries")))
+
     def search(self, query: str, project: str | None = None, limit: object = None) -> DataFrame:
         if not query.strip():
             raise ValueError("a search needs a query")
         vector = self.embedder([query])[0]
         if vector is None:
             raise ValueError("the query has no embedding")
-        return search.hybrid_search_all(self.observations, self.summaries, query, vector, project, limit_or_default(limit, "search"), self.config)
+        return search.hybrid_search_all(self.observations, self.summaries, query, vector, project, limit_or_default(limit, "search"), self.config, self.indexes)
 
     def by_file(self, path: str, project: str | None = None, limit: object = None) -> DataFrame:
         return search.search_by_file(self.observations, path, project, limit_or_default(limit, "by_file"))

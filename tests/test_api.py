@@ -1,4 +1,7 @@
+import dataclasses
+
 import pytest
+from pyspark.sql import functions as F
 
 from engramlake.api import Memory, limit_or_default
 from engramlake.functions.models import HashEmbedder
@@ -20,3 +23,12 @@ def test_questions(spark, sf_dir):
     assert m.sync_info()[0].count() == 4 and m.observation(3).count() == 1
     with pytest.raises(ValueError):
         m.search("  ")
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, sf_dir, tmp_path):
+    m = Memory.from_tables(spark, sf_dir, HashEmbedder(64))
+    found = lambda m: [(r.type, r.id, round(r.combined_score, 9)) for r in m.search("that things", limit=5).collect()]
+    plain = found(m)
+    assert plain and found(m.indexed(str(tmp_path))) == plain
+    none = dataclasses.replace(m, summaries=m.summaries.withColumn("embedding", F.lit(None).cast("array<float>")))
+    assert none.indexed(str(tmp_path / "none")).search("that").count() > 0

@@ -48,12 +48,12 @@ def weighted_vector(fields: list[tuple[Column, str]], only: list[str] | None = N
     return once(F.array(*[tokens for tokens, _ in fields]), placed)
 
 
-def with_vector(df: DataFrame, fields: list[tuple[str, str]], config: str = "simple", target: str = "vector", only: list[str] | None = None) -> DataFrame:
-    """id and the weighted vector of text columns, of certain tokens alone if they are given; stems
-    come from a UDF, so words are columns first."""
+def with_vector(df: DataFrame, fields: list[tuple[str, str]], config: str = "simple", target: str = "vector", only: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, columns to keep, and the weighted vector of text columns, of certain tokens alone if they are
+    given; stems come from a UDF, so words are columns first."""
     names = [f"__words_{i}" for i in range(len(fields))]
-    made = df.select("id", *[words(F.col(c), config).alias(n) for (c, _), n in zip(fields, names)])
-    return made.select("id", weighted_vector([(F.col(n), w) for (_, w), n in zip(fields, names)], only).alias(target))
+    made = df.select("id", *keep, *[words(F.col(c), config).alias(n) for (c, _), n in zip(fields, names)])
+    return made.select("id", *keep, weighted_vector([(F.col(n), w) for (_, w), n in zip(fields, names)], only).alias(target))
 
 
 def _placed(tokens: Column, shift: Column, weight: float, only: list[str] | None) -> Column:

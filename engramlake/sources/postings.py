@@ -33,9 +33,9 @@ class Postings:
 
         Tokens meet their row's others by (id, token), never by token alone; how postings are dealt to
         files is left to a rebalance, which splits a bucket that frequent words make large."""
-        words = fts.with_vector(rows, self.fields, self.config).select("id", F.explode("vector").alias("t"))
-        hits = words.groupBy("id", "t.token").agg(F.array_sort(F.collect_list(F.struct("t.pos", "t.weight"))).alias("hits"))
-        made = hits.join(rows.select("id", "project"), "id").withColumn("bucket", bucket_of(F.col("token"), self.buckets))
+        words = fts.with_vector(rows, self.fields, self.config, keep=("project",)).select("id", "project", F.explode("vector").alias("t"))
+        hits = words.groupBy("id", "project", "t.token").agg(F.array_sort(F.collect_list(F.struct("t.pos", "t.weight"))).alias("hits"))
+        made = hits.withColumn("bucket", bucket_of(F.col("token"), self.buckets))
         made = made.select(*names(POSTINGS), "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id")
         made.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/batch={batch}")
         # the ids last: a batch counts once they are there

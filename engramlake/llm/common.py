@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 from typing import TypeVar
 
@@ -77,10 +79,18 @@ def kept_by_worker(name: str, key: object, make: Callable[[], T]) -> T:
     Asked for under another name, it forgets the old: of all large tables a worker holds one."""
     if name not in _kept or _kept[name][0] != key:
         _kept.clear()
+        _give_back()
         _kept[name] = (key, make())
     return _kept[name][1]
 
 
+def _give_back() -> None:
+    """What a worker has freed goes back to the system, where the C library knows how."""
+    gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

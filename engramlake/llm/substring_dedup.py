@@ -184,7 +184,8 @@ def _runs(least_words: int, least_chars: int):
 
         def gram(size: int) -> tuple:
             last = row[-size:]
-            return (*doc, last[0][1], last[-1][2], None, None, xxhash.xxh3_64_intdigest(repr([d for d, _, _ in last])) - (1 << 63))
+            # hashes of tuples of integers are the same in every process
+            return (*doc, last[0][1], last[-1][2], None, None, hash(tuple(d for d, _, _ in last)))
 
         def done() -> list[tuple]:
             if not parts:
@@ -240,9 +241,14 @@ def _stretches(docs: DataFrame, grams: DataFrame, least_words: int, least_chars:
     found = texts.join(spots, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xxh = xxhash.xxh3_64_intdigest
         for doc_id, row, text, middles in rows_of(batches, "doc_id", "row", "text", "spots"):
             starts, ends = stretches(text, sorted(middles), least_words, least_chars)
-            digests = [xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 63) for a, b in zip(starts, ends)]
+            if text.isascii():
+                raw = text.encode()
+                digests = [xxh(raw[a:b]) - (1 << 63) for a, b in zip(starts, ends)]
+            else:
+                digests = [xxh(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 63) for a, b in zip(starts, ends)]
             for at in range(0, len(digests), 50_000):
                 part = slice(at, at + 50_000)
                 n = len(digests[part])

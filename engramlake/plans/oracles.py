@@ -1,5 +1,11 @@
 """The logical tables once more, as SQL for DuckDB over the driver's views."""
 
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from ..functions import stemming
+
 PRELUDE = """
 obs AS (
   SELECT d.doc_id AS id, 'm' || (d.doc_id % 97) AS memory_session_id, d.source AS project, d.lang AS type,
@@ -83,3 +89,56 @@ rank1 AS (SELECT o.id, (max(b.w) + sum(o.w / (o.j * o.j)) - max(b.w) / pow(min(C
 
 def cosine(a: str, b: str) -> str:
     return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+# full-text search in English: Porter2 step by step over the distinct tokens, as ``functions.stemming`` has it
+
+
+def _quoted(words: Iterable[str]) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+def _cut(n: int) -> str:
+    return f"substr(w, 1, length(w) - {n})"
+
+
+def _first_suffix(rules: Iterable[tuple[str, str]], region: str, otherwise: str) -> str:
+    """The first suffix that a word has is replaced, if it lies in the region; without any of them ``otherwise``."""
+    whens = [f"WHEN suffix(w, '{end}') THEN CASE WHEN length(w) - {len(end)} >= {region} THEN {_cut(len(end))} || '{new}' ELSE w END" for end, new in rules]
+    return f"CASE {' '.join(whens)} {otherwise} ELSE w END"
+
+
+def _stems() -> str:
+    short = "(regexp_matches({0}, '[^aeiouy][aeiouy][^aeiouywxY]$') OR regexp_full_match({0}, '[aeiouy][^aeiouy]'))"
+    behind = "length(regexp_extract({}, '^.*?[aeiouy][^aeiouy]'))"  # the first consonant that follows a vowel
+    head, rest = "regexp_extract(w, '^(gener|commun|arsen)')", "substr(w, r1 + 1)"
+    verb = "regexp_extract(w, '(ed|edly|ing|ingly)$')"
+    mended = f"CASE WHEN regexp_matches(base, '(at|bl|iz)$') THEN base || 'e' WHEN right(base, 2) IN ({_quoted(stemming.DOUBLES)}) THEN substr(base, 1, length(base) - 1) WHEN {short.format('base')} AND r1 >= length(base) THEN base || 'e' ELSE base END"
+    plural = f"CASE WHEN suffix(w, 'sses') THEN {_cut(2)} WHEN regexp_matches(w, 'ie[ds]$') THEN CASE WHEN length(w) > 4 THEN {_cut(2)} ELSE {_cut(1)} END WHEN suffix(w, 's') AND NOT regexp_matches(w, '[us]s$') AND regexp_matches(w, '[aeiouy].*.s$') THEN {_cut(1)} ELSE w END"
+    li = f"WHEN suffix(w, 'ogi') THEN CASE WHEN suffix(w, 'logi') AND length(w) - 3 >= r1 THEN {_cut(1)} ELSE w END WHEN regexp_matches(w, '[cdeghkmnrt]li$') AND length(w) - 2 >= r1 THEN {_cut(2)}"
+    ative = f"WHEN suffix(w, 'ative') AND length(w) - 5 >= r2 THEN {_cut(5)}"
+    ion = f"WHEN regexp_matches(w, '[st]ion$') AND length(w) - 3 >= r2 THEN {_cut(3)}"
+    stages = {
+        "spelt": f"SELECT DISTINCT token, regexp_replace(token, '(^|[aeiouy])y', '\\1Y', 'g') AS w FROM tok WHERE token NOT IN ({_quoted(stemming.STOP_WORDS)})",
+        "region1": f"SELECT token, w, CASE WHEN {head} <> '' THEN length({head}) WHEN {behind.format('w')} > 0 THEN {behind.format('w')} ELSE length(w) END AS r1 FROM spelt",
+        "region2": f"SELECT token, w, r1, CASE WHEN {behind.format(rest)} > 0 THEN r1 + {behind.format(rest)} ELSE length(w) END AS r2 FROM region1",
+        "step1a": f"SELECT token, r1, r2, {plural} AS w FROM region2",
+        "verbs": f"SELECT token, r1, r2, w, regexp_extract(w, '(eed|eedly)$') AS eed, {verb} AS verb, substr(w, 1, length(w) - length({verb})) AS base FROM step1a",
+        "step1b": f"SELECT token, r1, r2, w AS plain, CASE WHEN eed <> '' THEN CASE WHEN length(w) - length(eed) >= r1 THEN substr(w, 1, length(w) - length(eed)) || 'ee' ELSE w END WHEN verb <> '' AND regexp_matches(base, '[aeiouy]') THEN {mended} ELSE w END AS w FROM verbs",
+        "step1c": f"SELECT token, r1, r2, plain, CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN {_cut(1)} || 'i' ELSE w END AS w FROM step1b",
+        "step2": f"SELECT token, r1, r2, plain, {_first_suffix(stemming.STEP2, 'r1', li)} AS w FROM step1c",
+        "step3": f"SELECT token, r1, r2, plain, {_first_suffix(stemming.STEP3, 'r1', ative)} AS w FROM step2",
+        "step4": f"SELECT token, r1, r2, plain, {_first_suffix([(end, '') for end in stemming.STEP4], 'r2', ion)} AS w FROM step3",
+        "step5": f"SELECT token, plain, CASE WHEN suffix(w, 'e') THEN CASE WHEN length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT {short.format(_cut(1))} THEN {_cut(1)} ELSE w END WHEN suffix(w, 'll') AND length(w) - 1 >= r2 THEN {_cut(1)} ELSE w END AS w FROM step4",
+    }
+    special = " ".join(f"WHEN '{word}' THEN '{base}'" for word, base in stemming.SPECIAL.items())
+    last = f"SELECT token, CASE WHEN length(token) < 3 THEN token ELSE CASE token {special} ELSE CASE WHEN plain IN ({_quoted(stemming.AFTER_1A)}) THEN plain ELSE replace(w, 'Y', 'y') END END END AS stem FROM step5"
+    return ",\n".join([*(f"{name} AS ({body})" for name, body in stages.items()), f"stems AS MATERIALIZED ({last})"])
+
+
+#: stems(token, stem): what the tokens stem to that are no stop words.
+STEMS = _stems()
+
+
+def stems_to(stem: str) -> str:
+    return f"(SELECT token FROM stems WHERE stem = '{stem}')"

@@ -18,7 +18,7 @@ from ..sources.remote import COLLECTIONS
 from ..sources.vector_cells import VectorIndex
 from ..sources.tables import Change, TableSet
 from ..streaming import ingest, lifecycle
-from .oracles import NEWEST, PLAIN, TOKENS, cosine, single_rank, sql
+from .oracles import NEWEST, PLAIN, STEMS, TOKENS, cosine, single_rank, sql, stems_to
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,17 +307,16 @@ def _(s, d):
     return rounded(search.text_hits(OBS(s, d), search.OBSERVATION_FIELDS, "that with"), "text_rank")
 
 
-# what stems to the words asked for, written out, as SQL has no stemmer
-_THING = "('thing', 'things', 'thinges', 'thinged', 'thinging', 'thingly', 'thingedly', 'thingingly', 'thinglyed', 'thinglying')"
-_THOR, _THON = "('thor', 'thors', 'thorly', 'thorlyed', 'thorlying')", "('thon', 'thons', 'thonly', 'thonlyed', 'thonlying')"
+# words count by their stems, which SQL makes of every token
+_THING, _THOR, _THON = map(stems_to, ("thing", "thor", "thon"))
 
 
-@query("fts_english", sql(f"SELECT id, round(r, 6) AS text_rank FROM rank1 WHERE id NOT IN (SELECT id FROM tok WHERE token IN {_THOR})", TOKENS, single_rank("thing").replace("= 'thing'", f"IN {_THING}")))
+@query("fts_english", sql(f"SELECT id, round(r, 6) AS text_rank FROM rank1 WHERE id NOT IN (SELECT id FROM tok WHERE token IN {_THOR})", TOKENS, STEMS, single_rank("thing").replace("= 'thing'", f"IN {_THING}")))
 def _(s, d):
     return rounded(postings(s, d, config="english").hits("things -thorly"), "text_rank")
 
 
-@query("fts_english_and", sql(f"SELECT a.id, round(1 - product(1 - sqrt(a.w * b.w * {_NEAR})), 6) AS text_rank FROM tok a JOIN tok b ON b.id = a.id AND b.token IN {_THON} WHERE a.token IN {_THING} GROUP BY a.id", TOKENS))
+@query("fts_english_and", sql(f"SELECT a.id, round(1 - product(1 - sqrt(a.w * b.w * {_NEAR})), 6) AS text_rank FROM tok a JOIN tok b ON b.id = a.id AND b.token IN {_THON} WHERE a.token IN {_THING} GROUP BY a.id", TOKENS, STEMS))
 def _(s, d):
     return rounded(postings(s, d, config="english").hits("the thinging of thons"), "text_rank")
 

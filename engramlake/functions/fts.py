@@ -25,7 +25,7 @@ NORMALIZER = 1.64493406685  # of ranks: the sum of 1 / n^2
 
 def words(text: Column, config: str = "simple") -> Column:
     """Tokens in order; under ``english`` null where a stop word stood."""
-    plain = F.filter(F.split(F.lower(text_or_empty(text)), "[^a-z0-9]+"), lambda w: w != "")
+    plain = F.array_remove(F.split(F.lower(text_or_empty(text)), "[^a-z0-9]+"), "")
     return plain if config == "simple" else stem_tokens(plain)
 
 

@@ -1,5 +1,7 @@
 """English search against SQL that stems every word itself."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ import pytest
 from engramlake.functions.stemming import AFTER_1A, SPECIAL, STEP2, STEP3, STEP4, STOP_WORDS, stem
 from engramlake.plans.oracles import STEMS
 from engramlake.plans.queries import ORACLES, QUERIES
+from engramlake.sources.postings import Postings
 
 
 def test_sql_stems_as_the_stemmer_does():
@@ -32,3 +35,12 @@ def test_words_of_any_form_count(spark, tmp_path, name):
     got = sorted((r["id"], r["text_rank"]) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(f"SELECT id, text_rank FROM ({ORACLES[name]})").fetchall())
     assert {i for i, _ in got} == {0, 1, 2}
+
+
+def test_only_postings_cross_the_network_and_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "p", "the thing, things", None), (2, None, "", "thing " * 3 + "that")], "id long, project string, title string, text string")
+    made = Postings(spark, str(tmp_path), [("title", "A"), ("text", "D")], "english").made_of(rows)
+    got = {(r["token"], r["id"], r["project"], tuple(r["hits"])) for r in made.collect()}
+    assert got == {("thing", 1, "p", (2 * 4, 3 * 4)), ("thing", 2, None, (1 * 4 + 3, 2 * 4 + 3, 3 * 4 + 3))}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"\bExchange\b", plan)) == 1

@@ -94,13 +94,19 @@ def resolve_sessions(queue: DataFrame, sessions: DataFrame) -> DataFrame:
 # synchronisation
 
 
+def first_by_id(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows by id.  Ids are ranked alone, so that of other rows nothing else is moved or joined."""
+    first = rows.select("id").orderBy("id").limit(limit)
+    return rows.join(F.broadcast(first), "id", "left_semi").select(*rows.columns).orderBy("id").limit(limit)
+
+
 def unsynced(df: DataFrame, limit: int = PAGE) -> DataFrame:
-    return df.filter("sync_id is not null and sync_version = 0").orderBy("id").limit(limit)
+    return first_by_id(df.filter("sync_id is not null and sync_version = 0"), limit)
 
 
 def pull_page(df: DataFrame, requester: str, cursor: int, limit: int = PAGE) -> DataFrame:
     """The next rows after a cursor that didn't come from the requester; a null source is no one's."""
-    return df.filter((F.col("id") > cursor) & ~F.col("sync_source").eqNullSafe(requester)).orderBy("id").limit(limit)
+    return first_by_id(df.filter((F.col("id") > cursor) & ~F.col("sync_source").eqNullSafe(requester)), limit)
 
 
 def pull_cursors(pages: dict[str, DataFrame]) -> DataFrame:
@@ -131,11 +137,10 @@ def push_body(tables: dict[str, DataFrame], machine: str, limit: int = PAGE) ->
 
 def pushed_rows(bodies: DataFrame) -> DataFrame:
     """machine_id, table_name and row (JSON) of the documents of pushes; empty collections have none."""
-    parts = []
-    for t, name in COLLECTIONS.items():
-        listed = F.from_json(F.get_json_object("body", f"$.{name}"), "array<string>")
-        parts.append(bodies.select(F.get_json_object("body", "$.machine_id").alias("machine_id"), F.lit(t).alias("table_name"), F.explode(listed).alias("row")))
-    return reduce(DataFrame.unionByName, parts)
+    # all collections of a body in one pass, so that a body is made, and read, once
+    listed = F.array(*[F.struct(F.lit(t).alias("table_name"), F.from_json(F.get_json_object("body", f"$.{name}"), "array<string>").alias("rows")) for t, name in COLLECTIONS.items()])
+    tables = bodies.select(F.get_json_object("body", "$.machine_id").alias("machine_id"), F.explode(listed).alias("t"))
+    return tables.select("machine_id", "t.table_name", F.explode("t.rows").alias("row"))
 
 
 def stored_cursors(settings: DataFrame) -> dict[str, int]:

@@ -38,6 +38,15 @@ def normalize_hook(json: Column, cwd: Column | None = None) -> list[Column]:
     return [*[json_field(body, name, *others).alias(name) for name, others in ALIASES.items()], (where if cwd is None else F.coalesce(where, cwd)).alias("cwd")]
 
 
+def normalized_hooks(rows: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """The columns to keep and what ``normalize_hook`` makes of a payload without a folder of its own, all
+    fields taken from one reading of it."""
+    names = [n for name, others in ALIASES.items() for n in (name, *others)] + ["cwd"]
+    read = rows.select(*keep, F.json_tuple(object_or_empty(F.col(payload)), *names).alias(*[f"__{n}" for n in names]))
+    field = lambda *fields: F.coalesce(*[F.when(F.trim(f"__{n}") != "", F.col(f"__{n}")) for n in fields])
+    return read.select(*keep, *[field(name, *others).alias(name) for name, others in ALIASES.items()], F.coalesce(field("cwd"), F.lit("")).alias("cwd"))
+
+
 def json_array_or_empty(json: Column) -> Column:
     """``[]`` for null, empty and invalid text; any valid JSON stays."""
     return F.when((text_or_empty(json) == "") | F.try_parse_json(json).isNull(), "[]").otherwise(json)

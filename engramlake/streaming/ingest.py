@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.json import normalize_hook, parse_observation
+from ..functions.json import normalized_hooks, parse_observation
 from ..functions.models import Embedder, embed, extract
 from ..functions.scalar import embedding_text, project_allowed, project_from_path, tool_kept, tool_prompt
 from ..operators.changes import resolve_sessions
@@ -32,7 +32,7 @@ def hook_stream(spark: SparkSession, path: str, *, per_batch: int = 1000) -> Dat
 
 
 def normalized(raw: DataFrame) -> DataFrame:
-    return raw.select("event", "received_at", *normalize_hook(F.col("payload"), F.lit("")))
+    return normalized_hooks(raw, "payload", "event", "received_at")
 
 
 def accepted_tools(events: DataFrame, *, allow: str = "", deny: str = "", skip: str = "") -> DataFrame:
